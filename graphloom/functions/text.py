@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Words that must equal the assessed method's lists for the same results.
 PRONOUNS = (
@@ -136,12 +136,12 @@ def strip_numbered_key(c: Column) -> Column:
     return strip(F.when(c.contains("."), F.regexp_replace(c, r"(?s)^[^.]*\.", "")).otherwise(c))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfc(v: pa.Array) -> pa.Array:
     return pc.utf8_normalize(v, form="NFC")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfd(v: pa.Array) -> pa.Array:
     return pc.utf8_normalize(v, form="NFD")
 

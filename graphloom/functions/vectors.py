@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 FUSION_WEIGHTS = {"name": 0.4, "definition": 0.3, "head": 0.15, "tail": 0.15}
 HASH_DIM = 64
@@ -62,7 +62,7 @@ def hash_rows(texts) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def hashing_vector(texts: pa.Array) -> pa.Array:
     """Deterministic text embedding without a model: hashed character trigrams, L2 normalised."""
     rows = hash_rows(texts.to_pylist())

@@ -41,14 +41,19 @@ def _words(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+# Every character that counts as white space at the ends of a string.
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
-    """Trim any whitespace on both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim any white space on both ends (``trim`` only removes blanks)."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def strip_quotes(c: Column) -> Column:
     """Trim, then drop surrounding double quotes, then surrounding single quotes."""
-    return F.regexp_replace(F.regexp_replace(strip(c), r'^"+|"+$', ""), r"^'+|'+$", "")
+    return F.btrim(F.btrim(strip(c), F.lit('"')), F.lit("'"))
 
 
 def split_camel(c: Column) -> Column:
@@ -62,9 +67,8 @@ def squeeze(c: Column) -> Column:
 
 def norm_entity(c: Column) -> Column:
     """Entity surface key: underscore separated, ASCII word characters only, lower case."""
-    c = F.regexp_replace(strip_quotes(c), ",_?", "_")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", "_"), "[^a-zA-Z0-9_]", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(c, "_+", "_"), "^_|_$", ""))
+    kept = F.regexp_replace(c, r"(?U)[^a-zA-Z0-9_,\s]+", "")
+    return F.lower(F.btrim(F.regexp_replace(kept, r"(?U)[\s,_]+", "_"), F.lit("_")))
 
 
 def norm_relation(c: Column) -> Column:
@@ -83,9 +87,9 @@ def norm_token(c: Column) -> Column:
     quoted = s.rlike(r'(?s)^".*"$') | s.rlike(r"(?s)^'.*'$")
     s = F.when(quoted & (F.length(s) >= 2), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(
         F.when(quoted, F.lit("")).otherwise(s))
-    s = F.regexp_replace(F.replace(F.replace(s, F.lit("&"), F.lit("and")), F.lit("."), F.lit("")), ",_?", "_")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", "_"), "[^a-zA-Z0-9_]", "")
-    return F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_|_$", "")
+    s = F.replace(F.replace(s, F.lit("&"), F.lit("and")), F.lit("."), F.lit(""))
+    kept = F.regexp_replace(s, r"(?U)[^a-zA-Z0-9_,\s]+", "")
+    return F.btrim(F.regexp_replace(kept, r"(?U)[\s,_]+", "_"), F.lit("_"))
 
 
 def token_words(c: Column) -> Column:

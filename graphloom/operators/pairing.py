@@ -9,13 +9,16 @@ from graphloom.functions.text import norm_entity
 RANK_BUCKET = 1 << 20
 
 
-def kth_occurrence(df: DataFrame, keys: list, order: str = "pos", bucket: int = RANK_BUCKET) -> DataFrame:
+def kth_occurrence(df: DataFrame, keys: list, order: str = "pos", bucket: int = RANK_BUCKET,
+                   longest: int | None = None) -> DataFrame:
     """Add ``k``: the running number of a row among the rows with the same keys, by ``order``.
 
     List positions are normally far below ``bucket`` and one window does it. Longer lists are numbered per
     position bucket and shifted by the sizes of the buckets before, so no key is ever ranked in one task.
+    ``longest`` is the largest position if the caller knows it; otherwise it is measured.
     """
-    longest = df.agg(F.max(order)).first()[0] or 0
+    if longest is None:
+        longest = df.agg(F.max(order)).first()[0] or 0
     w = W.partitionBy(*keys).orderBy(order)
     if longest < bucket:
         return df.withColumn("k", F.row_number().over(w))
@@ -33,7 +36,7 @@ def keyed(triples: DataFrame, norm=norm_entity) -> DataFrame:
     return triples.withColumn("nh", norm(F.col("h"))).withColumn("nt", norm(F.col("t")))
 
 
-def relation_mentions(pred: DataFrame, gold: DataFrame) -> DataFrame:
+def relation_mentions(pred: DataFrame, gold: DataFrame, longest: int | None = None) -> DataFrame:
     """Pair the k-th predicted with the k-th reference triple of a record's (head, tail) pair.
 
     ``pred(case_id, item_id, pos, h, r, t)``, ``gold(item_id, pos, h, r, t)`` -> ``(case_id, item_id, pred,
@@ -44,7 +47,7 @@ def relation_mentions(pred: DataFrame, gold: DataFrame) -> DataFrame:
     p = keyed(pred).select(cols)
     g = keyed(gold).withColumn("case_id", F.lit(None).cast(dict(pred.dtypes)["case_id"])).select(cols)
     rows = p.unionByName(g).repartition("item_id", "nh", "nt")
-    rows = kth_occurrence(rows, ["item_id", "nh", "nt", "case_id"])
+    rows = kth_occurrence(rows, ["item_id", "nh", "nt", "case_id"], longest=longest)
     ref = F.max(F.when(F.col("case_id").isNull(), F.col("r"))).alias("gold")
     found = F.collect_list(F.when(F.col("case_id").isNotNull(), F.struct("case_id", "r"))).alias("found")
     return (rows.groupBy("item_id", "nh", "nt", "k").agg(ref, found).filter("gold is not null")

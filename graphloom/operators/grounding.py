@@ -112,7 +112,7 @@ def surface_roles(triples: DataFrame) -> DataFrame:
 
 
 def link_entities(surfaces: DataFrame, labels: DataFrame, aliases: DataFrame, search: DataFrame,
-                  entity_types: DataFrame, max_candidates: int = 20) -> DataFrame:
+                  entity_types: DataFrame) -> DataFrame:
     """Linking cascade: exact label, else alias, else search; the first candidate with a schema type wins.
 
     Candidate tables are ``(name, kb_id, ord)``; ``entity_types(entity, type)`` maps knowledge-base ids to
@@ -126,7 +126,6 @@ def link_entities(surfaces: DataFrame, labels: DataFrame, aliases: DataFrame, se
         c = todo.join(table.select(F.col("name").alias("surface"), "kb_id", "ord"), "surface").withColumn("via", F.lit(via))
         todo = todo.join(c.select("surface"), "surface", "left_anti")
         found = c if found is None else found.unionByName(c)
-    found = found.filter(F.col("ord") < max_candidates)  # the service returns at most this many candidates
     types = entity_types.select(F.col("entity").alias("kb_id"), "type", F.lit(True).alias("classed"))
     rows = found.join(types, "kb_id", "left")
     best = rows.groupBy("surface").agg(

@@ -6,6 +6,8 @@ the Unicode normal forms, which Spark has no builtin for and which run as an Arr
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
@@ -65,10 +67,15 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _word_key(c: Column) -> Column:
+    """White space and commas to ``_``, other symbols dropped, runs and ends of ``_`` removed."""
+    c = F.regexp_replace(F.regexp_replace(c, r"(?U)[\s,]+", "_"), r"\W+", "")
+    return F.btrim(F.regexp_replace(c, "__+", "_"), F.lit("_"))
+
+
 def norm_entity(c: Column) -> Column:
     """Entity surface key: underscore separated, ASCII word characters only, lower case."""
-    kept = F.regexp_replace(c, r"(?U)[^a-zA-Z0-9_,\s]+", "")
-    return F.lower(F.btrim(F.regexp_replace(kept, r"(?U)[\s,_]+", "_"), F.lit("_")))
+    return F.lower(_word_key(c))
 
 
 def norm_relation(c: Column) -> Column:
@@ -88,8 +95,7 @@ def norm_token(c: Column) -> Column:
     s = F.when(quoted & (F.length(s) >= 2), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(
         F.when(quoted, F.lit("")).otherwise(s))
     s = F.replace(F.replace(s, F.lit("&"), F.lit("and")), F.lit("."), F.lit(""))
-    kept = F.regexp_replace(s, r"(?U)[^a-zA-Z0-9_,\s]+", "")
-    return F.btrim(F.regexp_replace(kept, r"(?U)[\s,_]+", "_"), F.lit("_"))
+    return _word_key(s)
 
 
 def token_words(c: Column) -> Column:
@@ -103,7 +109,7 @@ def norm_schema_relation(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Instance key: case folded, punctuation and ``_`` to blanks, collapsed."""
-    return squeeze(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]|_", " "))
+    return squeeze(F.regexp_replace(F.lower(c), r"(?U)[\W_]", " "))
 
 
 def fold_tokens(c: Column) -> Column:
@@ -121,8 +127,8 @@ def norm_intrinsic(c: Column) -> Column:
 
 
 def norm_annotation(c: Column) -> Column:
-    c = F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"(?U)[\s_\-]+", " ")
-    return strip(F.regexp_replace(c, r"(?U)[^\w ]+", ""))
+    c = F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"(?U)(?:\s|[_-])+", " ")
+    return strip(F.regexp_replace(c, r"(?U)(?! )\W", ""))
 
 
 def clean_text(c: Column) -> Column:
@@ -142,7 +148,7 @@ def strip_numbered_key(c: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def nfc(v: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(v, form="NFC")
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in v.to_pylist()], pa.string())
 
 
 @F.arrow_udf(T.StringType())
@@ -180,7 +186,7 @@ def norm_benchmark_entity(c: Column, is_object: bool = False) -> Column:
 
 
 def label_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(deaccent(c)), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(deaccent(c)), r"[\W_]+", "")
 
 
 def label_tokens(c: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from graphloom.operators import clustering as C, pairing as P
+from graphloom.functions import literals as L, text as T, vectors as VF
+from graphloom.functions.vectors import hashing_vector
+from graphloom.operators import (agreement as A, canonical as C_, clustering as C, errors as E, graphs as G,
+                                 growth as GR, instances as IC, pairing as P, retrieval as R, schemas as S,
+                                 setmetrics as SM)
+from graphloom.operators.components import connected_components
 from graphloom.plans import derived as D
 
 QUERIES: dict = {}
@@ -72,3 +77,580 @@ def cluster_ami(t):
 def cluster_all_scores(t):
     return C.all_scores(mentions(t)).select("case_id", "n_mentions", r6("pairwise_f1"), r6("bcubed_f1"),
                                             r6("macro_f1"), r6("micro_f1"), r6("ari"), r6("v_measure"), r6("fmi"))
+
+
+# ---------------------------------------------------------------- scalar functions
+
+def surfaces(t):
+    """Distinct entity surfaces of the reference and of all predictions."""
+    both = D.kg_gold(t).select("h", "t").unionByName(D.kg_pred(t).select("h", "t"))
+    return both.select(F.explode(F.array("h", "t")).alias("surface")).distinct()
+
+
+def relation_names(t):
+    return D.kg_gold(t).select("r").union(D.kg_pred(t).select("r")).distinct()
+
+
+@query
+def norm_entity(t):
+    return surfaces(t).select("surface", T.norm_entity(F.col("surface")).alias("norm"))
+
+
+@query
+def norm_rel_words(t):
+    return relation_names(t).select("r", T.norm_relation(F.col("r")).alias("norm"),
+                                    T.norm_schema_relation(F.col("r")).alias("schema_norm"),
+                                    T.norm_intrinsic(F.col("r")).alias("intrinsic_norm"))
+
+
+@query
+def oie_norm(t):
+    return surfaces(t).select("surface", T.norm_open(F.col("surface")).alias("norm"))
+
+
+@query
+def span_words(t):
+    return surfaces(t).select("surface", T.token_words(F.col("surface")).alias("norm"),
+                              T.norm_definition_key(F.col("surface")).alias("definition_key"))
+
+
+@query
+def fold_tokens(t):
+    s = F.col("surface")
+    return surfaces(t).select("surface", T.fold(s).alias("folded"), T.is_temporal(s).alias("temporal"),
+                              F.array_join(F.array_sort(T.fold_tokens(s)), " ").alias("tokens"))
+
+
+@query
+def value_literals(t):
+    return surfaces(t).select("surface", T.is_value_literal(F.col("surface")).alias("literal"))
+
+
+@query
+def text_forms(t):
+    """Unicode and white-space forms of whole document texts."""
+    x = F.col("text")
+    return t["documents"].select("doc_id", F.md5(T.nfc(x)).alias("nfc"), F.md5(T.deaccent(x)).alias("deaccent"),
+                                 F.md5(T.norm_corpus(x)).alias("corpus"))
+
+
+@query
+def literal_number(t):
+    n = L.parse_number(F.col("surface"))
+    return surfaces(t).select("surface", F.round(n, 6).alias("number")).filter("number is not null")
+
+
+@query
+def literal_date(t):
+    d = L.parse_date(F.col("surface"))
+    return surfaces(t).select("surface", d["y"].cast("bigint").alias("y"), d["m"].cast("bigint").alias("m"),
+                              d["d"].cast("bigint").alias("d")).filter("y is not null")
+
+
+@query
+def literal_class(t):
+    s = F.col("surface")
+    return surfaces(t).select("surface", L.literal_kind(s).alias("kind"), L.normalize_literal(s).alias("norm"))
+
+
+@query
+def literal_in_text(t):
+    """Reference literals found in their record's text in another format."""
+    g = D.kg_gold(t).join(D.kg_text(t), "item_id")
+    return g.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(
+        L.literal_realized(F.col("t"), F.col("text")), 1)).alias("n_realized"))
+
+
+@query
+def text_presence(t):
+    """Entity and relation presence in the record text, and pronouns."""
+    tok = T.text_tokens(F.col("text"))
+    g = D.kg_gold(t).join(D.kg_text(t).withColumn("tok", tok), "item_id")
+    return g.groupBy("r").agg(
+        F.count(F.when(T.entity_in_text(T.norm_entity(F.col("h")), F.col("tok"), 0.5), 1)).alias("heads"),
+        F.count(F.when(T.entity_in_text(T.norm_entity(F.col("t")), F.col("tok"), 0.5), 1)).alias("tails"),
+        F.count(F.when(T.relation_grounded(F.col("r"), F.col("tok")), 1)).alias("grounded"),
+        F.count(F.when(T.has_pronoun(F.col("tok")), 1)).alias("pronouns"))
+
+
+# ---------------------------------------------------------------- set metrics
+
+TAUS = (0.3, 0.4, 0.5, 0.6, 0.7)
+
+
+@query
+def gold_relation_set(t):
+    return SM.relation_set(D.kg_gold(t))
+
+
+@query
+def nearest_alignment(t):
+    a = SM.align_relations(D.kg_pred(t), D.kg_gold(t), hashing_vector)
+    return a.select("r", "target", r6("score"))
+
+
+@query
+def aligned_triple_f1(t):
+    s = SM.aligned_f1(D.kg_pred(t), D.kg_gold(t), hashing_vector, (0.5,))
+    return s.select("case_id", "tp", "fp", "fn", "n_pred_relations", r6("precision"), r6("recall"), r6("f1"),
+                    r6("coverage"))
+
+
+@query
+def threshold_sweep(t):
+    s = SM.aligned_f1(D.kg_pred(t), D.kg_gold(t), hashing_vector, TAUS)
+    return s.select("case_id", "tau", "tp", "fp", "fn", r6("f1"), r6("coverage"))
+
+
+@query
+def kendall_tau(t):
+    s = SM.aligned_f1(D.kg_pred(t), D.kg_gold(t), hashing_vector, TAUS)
+    ranked = s.select("tau", F.col("case_id").cast("string").alias("case"), F.round("f1", 6).alias("value"))
+    return A.kendall_tau(ranked, 0.5).select("tau", r6("kendall_tau"))
+
+
+@query
+def count_parity(t):
+    return SM.count_parity(D.kg_pred(t), D.kg_gold(t), ["case_id"]).select(
+        "case_id", r6("count_ratio"), r6("count_coverage"))
+
+
+@query
+def exact_triple_macro(t):
+    return SM.exact_triple_macro(D.kg_pred(t), D.kg_gold(t)).select(
+        "case_id", "n_classes", r6("precision"), r6("recall"), r6("f1"))
+
+
+def one_case(t, case=1):
+    return D.kg_pred(t, (case,))
+
+
+@query
+def greedy_match(t):
+    """Open-triple entity scores of one extraction run: greedy one-to-one matches per record."""
+    per = SM.open_entity_scores(one_case(t), D.kg_gold(t), hashing_vector, 0.7)
+    s = SM.micro_summary(per)
+    return s.select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), r6("recall_median"),
+                    r6("frac_below_half"), r6("frac_full"))
+
+
+@query
+def greedy_match_triples(t):
+    per = SM.open_triple_scores(one_case(t), D.kg_gold(t), hashing_vector, 0.6)
+    s = SM.micro_summary(per)
+    return s.select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"))
+
+
+# ---------------------------------------------------------------- error attribution
+
+@query
+def error_funnel(t):
+    s = E.error_funnel(D.kg_gold(t), D.kg_trace(t))
+    return s.select("case_id", "n_gold", "OIE_MISS", "RETRIEVAL_MISS", "CANON_MISS", "CORRECT", "OIE_MISS_relaxed",
+                    r6("recovered_pct"), r6("retr_given_recovered_pct"), r6("canon_given_retrieved_pct"))
+
+
+@query
+def retrieval_recall_at_k(t):
+    s = E.retrieval_recall(D.kg_gold(t), D.kg_trace(t))
+    return s.select("case_id", "n_triplets", "n_matched", "max_candidates", r6("coverage"), r6("gold_in_pool"),
+                    r6("mean_rank"), *[r6(f"recall_{k}") for k in (1, 2, 3, 5)])
+
+
+@query
+def flip_pairs(t):
+    return E.flip_summary(D.kg_gold(t), D.kg_trace(t), 1, 2).select(
+        "both_correct", "paired_losses", "decision_errors", "retrieval_errors", "loser_wins", r6("decision_error_pct"))
+
+
+@query
+def flip_confusions(t):
+    return E.flip_confusions(D.kg_gold(t), D.kg_trace(t), 1, 2)
+
+
+def misses(t, case=1):
+    return E.classify_misses(D.kg_gold(t), one_case(t, case), D.kg_text(t))
+
+
+@query
+def oie_miss_buckets(t):
+    return E.miss_summary(misses(t)).select(
+        "n_gold", "correct", *E.MISS_BUCKETS, "direction_swapped", "implicit_total", "implicit_missed",
+        r6("surface_or_format_pct"), r6("genuine_extraction_pct"), r6("ceiling_or_linking_pct"))
+
+
+@query
+def oie_miss_by_length(t):
+    return E.by_length(E.record_misses(misses(t), D.kg_text(t))).select(
+        "bin", "n_records", r6("mean_len_char"), "n_gold", r6("miss_pct"), *[r6(f"{b}_pct") for b in E.MISS_BUCKETS])
+
+
+@query
+def oie_miss_by_triples(t):
+    return E.by_reference_size(E.record_misses(misses(t), D.kg_text(t))).select(
+        "bin", "n_records", r6("mean_len_char"), "n_gold", r6("miss_pct"), *[r6(f"{b}_pct") for b in E.MISS_BUCKETS])
+
+
+@query
+def oie_miss_compare(t):
+    c = E.compare_misses(E.miss_summary(misses(t, 1)), E.miss_summary(misses(t, 2)))
+    return c.select("measure", r6("a_pct"), r6("b_pct"), r6("delta"), "reading")
+
+
+# ---------------------------------------------------------------- graphs
+
+@query
+def kg_nodes_first_type(t):
+    return G.kg_nodes(D.kg_pred(t), D.slot_types(t.spark), by=["case_id"]).groupBy("case_id", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("id")).alias("chars"))
+
+
+@query
+def kg_nodes_mapped_type(t):
+    types = C_.entity_type_map(D.ec_decisions(t).filter("ec_case = 2"))
+    return G.kg_nodes(D.kg_pred(t), D.slot_types(t.spark), types, by=["case_id"]).groupBy("case_id", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("id")).alias("chars"))
+
+
+@query
+def kg_statistics(t):
+    return G.kg_statistics(D.kg_pred(t), ["case_id"])
+
+
+@query
+def type_consistency(t):
+    p, s = D.kg_pred(t), D.slot_types(t.spark)
+    types = C_.entity_type_map(D.ec_decisions(t).filter("ec_case = 2"))
+    nodes = G.kg_nodes(p, s, types, by=["case_id"])
+    return G.type_consistency(p, nodes, s, ["case_id"]).select(
+        "case_id", "n_checked", "n_conform", "n_uncovered", r6("conformance"))
+
+
+@query
+def shannon_diversity(t):
+    return G.shannon(D.kg_pred(t), "r", ["case_id"]).select("case_id", "n_distinct", r6("entropy"), r6("top_share"))
+
+
+@query
+def conciseness(t):
+    p = D.kg_pred(t)
+    return G.conciseness(p.filter("case_id = 1"), p.filter("case_id = 2")).select(
+        "n_relations", "n_entities", "n_raw_relations", r6("reduction"))
+
+
+def one_graph(t):
+    return D.kg_pred(t, (1,))
+
+
+@query
+def connectivity(t):
+    p = one_graph(t)
+    nodes = G.kg_nodes(p, D.slot_types(t.spark))
+    return G.connectivity(nodes, p).select("n_nodes", "n_edges", "n_components", "n_isolated", r6("avg_degree"),
+                                           r6(F.col("density") * 1000, "density_x1000"), r6("largest_fraction"))
+
+
+@query
+def components(t):
+    """Components of the order graph alone (an order and its parts), by smallest member."""
+    p = one_graph(t).filter(F.col("r").isin("placedOrder", "orderedOn", "totalPrice"))
+    ids = p.select(F.col("h").alias("id")).union(p.select("t")).distinct()
+    return connected_components(ids, p.select(F.col("h").alias("a"), F.col("t").alias("b")))
+
+
+@query
+def singleton_orphan(t):
+    p = D.kg_pred(t)
+    u = G.relation_usage(p, ["case_id"])
+    s = G.schema_usage(p, D.slot_types(t.spark), ["case_id"])
+    return u.join(s, "case_id").select("case_id", "n_triples", "n_relations", r6("avg_triples"), r6("singleton_rate"),
+                                       "schema_size", "grounded", r6("orphan_rate"), r6("consistency"), r6("coverage"))
+
+
+@query
+def relation_utilization(t):
+    return G.utilization(one_graph(t), D.slot_types(t.spark))
+
+
+@query
+def type_share(t):
+    types = C_.entity_type_map(D.ec_decisions(t).filter("ec_case = 3"))
+    nodes = G.kg_nodes(D.kg_pred(t), D.slot_types(t.spark), types, by=["case_id"])
+    return G.type_share(nodes, "Event", ["case_id"])
+
+
+@query
+def entity_cluster_slots(t):
+    m = P.entity_type_mentions(D.kg_gold(t), D.ec_decisions(t), D.slot_types(t.spark))
+    cells = C.contingency(m, ["ec_case"])
+    return C.pairwise(cells, ["ec_case"]).join(C.bcubed(cells, ["ec_case"]), "ec_case").select(
+        "ec_case", "n_mentions", r6("pairwise_f1"), r6("bcubed_p"), r6("bcubed_r"), r6("bcubed_f1"))
+
+
+@query
+def entity_cluster_kb(t):
+    """Entity types against types looked up per surface (customers and nations are linked)."""
+    kb = D.sd_entities(t).filter("fine in ('Customer', 'Nation')").select(
+        T.norm_entity(F.col("entity")).alias("surface"), F.col("coarse").alias("schema_type"),
+        F.lit("linked").alias("status")).distinct()
+    m = P.entity_kb_mentions(D.kg_gold(t), D.ec_decisions(t), kb)
+    cells = C.contingency(m, ["ec_case"])
+    return C.bcubed(cells, ["ec_case"]).select("ec_case", r6("bcubed_p"), r6("bcubed_r"), r6("bcubed_f1"))
+
+
+# ---------------------------------------------------------------- similarity retrieval
+
+def r4(c, name=None):
+    return F.round(F.col(c) if isinstance(c, str) else c, 4).alias(name or c)
+
+
+@query
+def topk_cosine(t):
+    return R.top_k(D.mixed_vectors(t), D.vectors(t), 5).select("qid", "name", r6("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def topk_grid(t):
+    """The same retrieval on the block grid used when the schema is too large to broadcast."""
+    return R.top_k(D.mixed_vectors(t), D.vectors(t), 5, broadcast_bytes=0, block_rows=256).select(
+        "qid", "name", r6("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def topk_type_penalty(t):
+    return R.top_k(D.mixed_vectors(t), D.vectors(t), 5, types=("head_type", "tail_type"), penalty=0.2).select(
+        "qid", "name", r6("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def topk_parent_penalty(t):
+    return R.top_k(D.mixed_vectors(t), D.vectors(t), 5, types=("parent",), penalty=0.2, blanks_match=True).select(
+        "qid", "name", r6("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def leader_clusters(t):
+    lead = GR.leader_clusters(D.vector_pool(t), 0.85, strict=True)
+    return lead.select(F.col("ord"), F.col("leader"))
+
+
+@query
+def topk_item_cluster(t):
+    """Blends retrieved against the interleaved pool with cluster extras."""
+    pool = D.vector_pool(t)
+    clusters = GR.cluster_table(pool, GR.leader_clusters(pool, 0.85, strict=True))
+    hits = R.item_and_cluster(D.mixed_vectors(t), pool, clusters, 3)
+    return hits.select("qid", "name", r6("score"), F.col("rank").cast("bigint").alias("rank"), "source")
+
+
+def fused_parts(t):
+    v = D.vectors(t).select("ord", "vec")
+    q = D.mixed_vectors(t).select(F.col("qid").alias("ord"), F.col("vec").alias("q_vec"))
+    near = v.select((F.col("ord").bitwiseXOR(F.lit(1).cast("bigint"))).alias("ord"), F.col("vec").alias("n_vec"))
+    return v.join(q, "ord").join(near, "ord", "left").withColumn("n_vec", F.coalesce("n_vec", "vec"))
+
+
+@query
+def fuse_concat(t):
+    f = VF.fuse_concat(F.col("vec"), F.col("q_vec"), F.col("n_vec"), F.col("vec"))
+    return fused_parts(t).withColumn("f", f).select("ord", F.size("f").cast("bigint").alias("dim"), r6(F.col("f")[0], "first"),
+                                                    r6(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@query
+def fuse_weighted(t):
+    f = VF.fuse_weighted(F.col("vec"), F.col("q_vec"), F.col("n_vec"), F.col("vec"))
+    return fused_parts(t).withColumn("f", f).select("ord", F.size("f").cast("bigint").alias("dim"), r6(F.col("f")[0], "first"),
+                                                    r6(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+@query
+def redundancy_nn(t):
+    return S.semantic_redundancy(D.vector_pool(t)).select("n_relations", r6("redundancy"))
+
+
+@query
+def redundancy_pairs(t):
+    return S.redundant_pairs(D.vector_pool(t), 0.85).select("a", "b", r6("score"))
+
+
+@query
+def redundancy_clusters(t):
+    c = S.average_linkage_clusters(D.vector_pool(t), 0.8)
+    return c.agg(F.count(F.lit(1)).alias("n_relations"), F.count_distinct("cluster").alias("n_clusters")).withColumn(
+        "redundancy", F.round(1 - F.col("n_clusters") / F.col("n_relations"), 6))
+
+
+def part_schema(t):
+    """Every distinct part phrase as a schema element in name order."""
+    w = F.row_number().over(Window.orderBy("relation")).cast("bigint")
+    return D.open_relations(t).select("relation").distinct().withColumn("ord", w)
+
+
+@query
+def redundancy_lexical(t):
+    return S.lexical_redundancy(part_schema(t)).select("n_relations", "n_redundant", r6("redundancy"))
+
+
+# ---------------------------------------------------------------- canonicalization
+
+def frozen_inputs(t):
+    occ = D.mixed_vectors(t).select(F.col("qid"), F.concat(F.lit("q_"), F.col("qid").cast("string")).alias("relation"), "vec",
+                                    "head_type", "tail_type", "parent")
+    n = F.col("qid") % 9
+    raw = (F.when(n == 0, "Answer: 3").when(n == 1, "B").when(n == 2, "none of these").when(n == 3, "12")
+           .when(n == 4, "").when(n == 5, "0").when(n == 6, "A").when(n == 7, " 5. because").otherwise("1"))
+    return occ, occ.select("qid", "relation", raw.alias("raw_output"), (F.col("qid") % 17 != 0).alias("answered"))
+
+
+def decided(df, *cols):
+    return df.select(*cols, "pred", "decision", F.array_join("names", ",").alias("candidates"))
+
+
+@query
+def sc_frozen(t):
+    """Frozen relation policy decided by recorded answers, with the typed signal's penalty."""
+    occ, asked = frozen_inputs(t)
+    d = C_.canonicalize_frozen(asked, occ.drop("qid"), D.vectors(t), responses=True, types=("head_type", "tail_type"),
+                               penalty=C_.TYPE_PENALTY)
+    return decided(d, "qid")
+
+
+@query
+def sc_frozen_threshold(t):
+    occ, asked = frozen_inputs(t)
+    return decided(C_.canonicalize_frozen(asked, occ.drop("qid"), D.vectors(t)), "qid")
+
+
+@query
+def ec_frozen(t):
+    occ, asked = frozen_inputs(t)
+    d = C_.canonicalize_frozen(asked, occ.drop("qid"), D.vectors(t), responses=True, types=("parent",),
+                               penalty=C_.TYPE_PENALTY, blanks_match=True, new_label="llm_new_entity")
+    return decided(d, "qid")
+
+
+def growth_inputs(t):
+    occ = D.open_relations(t)
+    return occ, occ.select("relation").distinct().withColumn("vec", hashing_vector(F.col("relation")))
+
+
+@query
+def sc_embed_threshold_fold(t):
+    """Growing policy without a model: minted relation per open phrase, decided over all line items."""
+    occ, keys = growth_inputs(t)
+    d, _ = C_.canonicalize_growing(occ, keys, threshold=0.8)
+    return d.groupBy("pred", "decision").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation").alias("n_open"))
+
+
+@query
+def sc_seeded_fold(t):
+    """Seed-and-enrich policy: the phrases of the first brand exist before the run."""
+    occ, keys = growth_inputs(t)
+    seed = keys.filter(F.col("relation").endswith("brand 1")).select(
+        (F.row_number().over(Window.orderBy("relation")) - 1_000_000).cast("bigint").alias("ord"),
+        F.col("relation").alias("name"), "vec")
+    d, _ = C_.canonicalize_growing(occ, keys, seed=seed, threshold=0.8)
+    return d.groupBy("pred", "decision").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation").alias("n_open"))
+
+
+def replay_inputs(t):
+    occ, keys = growth_inputs(t)
+    n = (F.col("position") * 7 + F.length("relation")) % 11
+    raw = F.when(n == 0, "0").when(n == 1, "no idea").otherwise(F.concat(F.lit("Answer: "), (n % 6 + 1).cast("string")))
+    return occ.withColumn("raw_output", raw).withColumn("answered", F.col("position") % 13 != 0), keys
+
+
+@query
+def sc_replayed_fold(t):
+    occ, keys = replay_inputs(t)
+    d, _ = C_.canonicalize_replayed(occ, keys)
+    return d.groupBy("pred", "decision", "is_new").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def alias_accumulate(t):
+    occ, keys = growth_inputs(t)
+    d, _ = C_.canonicalize_growing(occ, keys, threshold=0.8)
+    return C_.aliases(d).select("pred", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query
+def mcq_parse(t):
+    _, asked = frozen_inputs(t)
+    return asked.select("qid", C_.parse_choice(F.col("raw_output"), F.lit(6)).cast("bigint").alias("choice"))
+
+
+@query
+def prompt_choices(t):
+    """Numbered choice lists for every query, with the typed line format."""
+    top = R.top_k(D.mixed_vectors(t), D.vectors(t), 5).join(
+        D.vectors(t).select("ord", "head_type", "tail_type"), "ord")
+    line = C_.choice_line("typed", F.col("rank"), F.col("name"), F.concat(F.lit("def of "), "name"), F.col("head_type"),
+                          F.col("tail_type"))
+    return C_.prompt_choices(top, "qid", line)
+
+
+@query
+def ec_type_groups(t):
+    g = C_.entity_type_groups(D.sd_entities(t).withColumn("fine", F.col("coarse")))
+    return g.select("item_id", "fine", "ord", "definition", "parent", F.array_join("members", ",").alias("members"))
+
+
+@query
+def ec_type_map(t):
+    return C_.entity_type_map(D.ec_decisions(t).filter("ec_case = 2"))
+
+
+# ---------------------------------------------------------------- instances
+
+def instance_inputs(t):
+    """Order and part surfaces of all predictions; vectors from hashed trigrams, types by record modulo."""
+    p = D.kg_pred(t).filter(F.col("r").isin("containsPart", "containsPartOf", "partOf", "locatedIn", "situatedIn"))
+    s = IC.surface_frequency(p).filter(~F.col("surface").rlike("(?i)^(order|customer)"))
+    typed = F.when(F.length("surface") % 4 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("T"), (F.length("surface") % 2).cast("string")))
+    s = s.withColumn("vec", hashing_vector(F.lower("surface"))).withColumn("type", typed)
+    return s.withColumn("desc_vec", hashing_vector(F.substring_index("surface", " ", -1)))
+
+
+IC_CONFIG = dict(cos_sub=0.6, cos_alias=0.8, cos_alias_typed=0.7, cos_alias_desc=0.6, desc_sim_min=0.9)
+
+
+@query
+def surface_freq(t):
+    return IC.surface_frequency(D.kg_pred(t))
+
+
+@query
+def ic_signal_counts(t):
+    e = IC.instance_evidence(instance_inputs(t), config=IC_CONFIG).filter("kind <> 'link'")
+    return e.groupBy("ic_case", "kind").agg(F.sum("n").alias("n"))
+
+
+@query
+def ic_canon_map(t):
+    s = instance_inputs(t)
+    e = IC.instance_evidence(s, config=IC_CONFIG)
+    return IC.canonical_surfaces(s, e).select("ic_case", "surface", "canonical")
+
+
+@query
+def ic_statistics(t):
+    s = instance_inputs(t)
+    c = IC.canonical_surfaces(s, IC.instance_evidence(s, config=IC_CONFIG))
+    return IC.instance_statistics(s, c).select("ic_case", "n_surfaces", "n_clusters_merged", "n_surfaces_rewritten",
+                                               "largest_cluster", "n_clusters_with_types", "n_type_consistent", r6("merge_rate"))
+
+
+def fold_canon(t):
+    s = IC.surface_frequency(D.kg_pred(t))
+    best = s.withColumn("f", T.fold(F.col("surface"))).groupBy("f").agg(F.min_by("surface", F.struct(
+        (-F.col("freq")).alias("a"), (-F.length("surface")).alias("b"), F.col("surface").alias("c"))).alias("canonical"))
+    return s.withColumn("f", T.fold(F.col("surface"))).join(best, "f").select("surface", "canonical")
+
+
+@query
+def kg_rewrite(t):
+    """Fold-equal surfaces rewritten to their canonical form; copies and self-loops removed."""
+    return IC.rewrite_triples(D.kg_pred(t, (1,)), fold_canon(t))

@@ -7,6 +7,8 @@ are plain expressions over the whole tables, so their size grows with the data.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from graphloom.functions.vectors import dot, l2_normalize
@@ -25,24 +27,55 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
+
+    def view(self, build, *args) -> DataFrame:
+        """Build a derived view once per folder, so that repeated uses share one plan object."""
+        key = (build.__name__, args)
+        if key not in self._read:
+            self._read[key] = build(self, *args)
+        return self._read[key]
+
+    def spread(self, name: str, key: str) -> DataFrame:
+        """The table over at least as many partitions as there are cores.
+
+        A table of many files is left alone; a single small file is one scan task, which would run every
+        later per-row expression on one core.
+        """
+        df = self[name]
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
+def shared(build):
+    """Memoise a view builder per :class:`Tables`."""
+    @functools.wraps(build)
+    def cached(t, *args):
+        return t.view(build, *args)
+
+    return cached
 
 
+@shared
 def order_facts(t: Tables) -> DataFrame:
     """Orders with customer, nation and region names (the small dimensions broadcast by size)."""
     geo = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", "n_name", "r_name")
     cust = t["customer"].join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", "c_name", "n_name", "r_name")
-    return t["orders"].join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
+    return t.spread("orders", "o_orderkey").join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("item_id"), "c_name", "n_name", "r_name", "o_orderpriority",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderdate",
         F.format_string("%.2f", "o_totalprice").alias("price"), "o_totalprice",
         F.concat(F.lit("Order_"), F.col("o_orderkey").cast("string")).alias("order_name"))
 
 
+@shared
 def kg_text(t: Tables) -> DataFrame:
     """One sentence per record: ``(item_id, text)``; some omit the region, some add a pronoun."""
     o = order_facts(t)
@@ -54,6 +87,7 @@ def kg_text(t: Tables) -> DataFrame:
         F.lit(" for "), F.format_number("o_totalprice", 2), F.lit("."), tail).alias("text"))
 
 
+@shared
 def kg_gold(t: Tables) -> DataFrame:
     """Reference triples ``(item_id, pos, h, r, t)``."""
     o = order_facts(t)
@@ -75,6 +109,7 @@ def kg_gold(t: Tables) -> DataFrame:
     return head.unionByName(lines)
 
 
+@shared
 def kg_pred(t: Tables, cases=CASE_IDS) -> DataFrame:
     """Predicted triples ``(case_id, item_id, pos, h, r, t)`` under one noise pattern per case."""
     g = kg_gold(t).withColumn("case_id", F.explode(F.array(*[F.lit(c).cast("bigint") for c in cases])))
@@ -91,6 +126,7 @@ def kg_pred(t: Tables, cases=CASE_IDS) -> DataFrame:
         .otherwise(F.col("t")).alias("t"))
 
 
+@shared
 def kg_trace(t: Tables) -> DataFrame:
     """Predicted triples with a ranked candidate list ``top_k`` and the final relation ``pred``."""
     rels = F.array(*[F.lit(r) for r in RELATIONS])
@@ -109,6 +145,7 @@ def slot_types(spark: SparkSession) -> DataFrame:
                                        "definition string")
 
 
+@shared
 def sd_entities(t: Tables) -> DataFrame:
     """Entity definitions per record ``(item_id, pos, entity, coarse, fine, description)``."""
     o = order_facts(t)
@@ -123,6 +160,7 @@ def sd_entities(t: Tables) -> DataFrame:
         row(2, "n_name", "Place", "Nation", " is a nation"), row(3, "r_name", "Place", "Region", " is a region"))))
 
 
+@shared
 def ec_decisions(t: Tables) -> DataFrame:
     """Entity-type decisions ``(ec_case, item_id, ord, fine, pred, members)`` with type confusions."""
     e = sd_entities(t).withColumn("ec_case", F.explode(F.array(*[F.lit(c).cast("bigint") for c in CASE_IDS])))
@@ -133,6 +171,7 @@ def ec_decisions(t: Tables) -> DataFrame:
                     F.array("entity").alias("members"))
 
 
+@shared
 def vectors(t: Tables) -> DataFrame:
     """All embeddings as a schema: ``(ord, name, vec, head_type, tail_type, parent)``."""
     v = F.col("vec_id")
@@ -145,6 +184,7 @@ def vectors(t: Tables) -> DataFrame:
             F.concat(F.lit("P"), (F.col("label") % 2).cast("string"))).alias("parent"))
 
 
+@shared
 def mixed_vectors(t: Tables) -> DataFrame:
     """One query per embedding: its vector blended with its neighbour's (id xor 1) at five strengths."""
     s = vectors(t)
@@ -159,6 +199,7 @@ def mixed_vectors(t: Tables) -> DataFrame:
         F.when(F.col("qid") % 4 == 0, F.lit("P0")).otherwise(F.col("parent")).alias("parent"))
 
 
+@shared
 def vector_pool(t: Tables) -> DataFrame:
     """Embeddings and their blends interleaved: ``(ord, name, vec)`` with 2 rows per embedding."""
     a = vectors(t).select((F.col("ord") * 2).alias("ord"), "vec")
@@ -170,6 +211,7 @@ def cosine(a, b):
     return dot(a, b)
 
 
+@shared
 def open_relations(t: Tables) -> DataFrame:
     """Open relation phrases in corpus order: one occurrence per line item, ``(position, item_id, relation)``."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")

@@ -106,10 +106,10 @@ def _top_k_broadcast(queries, schema, k, query_id, types, penalty, blanks_match,
 def _top_k_grid(queries, schema, n, k, query_id, types, penalty, blanks_match, out, block_rows):
     s_blocks = max(1, -(-n // block_rows))
     q_blocks = max(1, -(-queries.count() // block_rows))
-    q = (queries.withColumn("qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)))
+    q = (queries.withColumn("qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("bigint"))
          .withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(s_blocks - 1)))))
     s = (schema.withColumn("sb", F.pmod(F.xxhash64("ord"), F.lit(s_blocks)).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint")))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [query_id, "name", "ord", "score", "rank"]

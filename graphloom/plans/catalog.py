@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.functions import literals as L, text as T, vectors as VF
 from graphloom.functions.vectors import hashing_vector
-from graphloom.operators import (agreement as A, canonical as C_, clustering as C, errors as E, graphs as G,
-                                 growth as GR, instances as IC, pairing as P, retrieval as R, schemas as S,
-                                 setmetrics as SM)
+from graphloom.operators import (agreement as A, canonical as C_, clustering as C, coref as CO, definitions as SD,
+                                 errors as E, graphs as G, grounding as KB, growth as GR, instances as IC,
+                                 pairing as P, parsing as PA, retrieval as R, sampling as SA, schemas as S,
+                                 setmetrics as SM, spans as SP)
 from graphloom.operators.components import connected_components
 from graphloom.plans import derived as D
+from graphloom.session import cut_lineage
+from graphloom.sources import corpora as CH
 
 QUERIES: dict = {}
 
@@ -654,3 +657,488 @@ def fold_canon(t):
 def kg_rewrite(t):
     """Fold-equal surfaces rewritten to their canonical form; copies and self-loops removed."""
     return IC.rewrite_triples(D.kg_pred(t, (1,)), fold_canon(t))
+
+
+# ---------------------------------------------------------------- parsers on recorded answers
+
+def model_answers(t):
+    """One extraction answer per record, rendered from its reference triples in four styles."""
+    rows = D.kg_gold(t).withColumn("h", F.when(F.col("item_id") % 4 == 2, F.concat(F.lit("O'"), "h")).otherwise(F.col("h")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", F.concat(
+        F.lit("['"), "h", F.lit("', '"), "r", F.lit("', '"), "t", F.lit("']")).alias("x"))))
+    body = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["x"]), ", "), F.lit("]"))
+    a = rows.groupBy("item_id").agg(body.alias("body"))
+    k = F.col("item_id") % 4
+    return a.select("item_id", F.when(k == 1, F.concat(F.lit("Here is the list:\n"), "body", F.lit("\nDone.")))
+                    .when(k == 3, F.lit("I found no triples.")).otherwise(F.col("body")).alias("raw_output"))
+
+
+@query
+def oie_parse(t):
+    a = model_answers(t).withColumn("triples", PA.parse_triples(F.col("raw_output"))).drop("raw_output")
+    return PA.explode_triples(a)
+
+
+@query
+def oie_clean_generated(t):
+    raw = F.concat(F.lit("<think>plan [[x]]</think> "), "raw_output", F.lit(" and so on"))
+    return model_answers(t).select("item_id", F.md5(PA.clean_generated(raw)).alias("clean"))
+
+
+@query
+def kg_text_roundtrip(t):
+    """Records written in the graph text format and read back: counts per relation."""
+    g = D.kg_gold(t)
+    rows = F.array_sort(F.collect_list(F.struct("pos", "h", "r", "t")))
+    text = g.groupBy("item_id").agg(PA.python_list_text(F.transform(rows, lambda s: F.array(s["h"], s["r"], s["t"]))).alias("line"))
+    back = PA.explode_triples(text.select("item_id", PA.read_list(F.col("line")).alias("triples")))
+    return back.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("h") + F.length("t")).alias("chars"))
+
+
+@query
+def relation_refine(t):
+    p = D.kg_pred(t, (1,)).withColumn("r", F.when(F.col("pos") % 4 == 0, F.lit("is")).when(
+        F.col("pos") % 4 == 1, F.lit("Has_Order_Of")).otherwise(F.col("r")))
+    return PA.refine_triples(p).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def reject_reasons(t):
+    p = D.kg_pred(t, (1,)).withColumn("t", F.when(F.col("pos") == 3, F.lit(" ")).when(F.col("pos") == 4, F.lit(None))
+                                      .otherwise(F.col("t")))
+    reason = F.coalesce(PA.reject_reason(F.col("h"), F.col("r"), F.col("t")), F.lit("kept"))
+    return p.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def verdict_rule(t):
+    k = F.col("doc_id")
+    q1 = F.when(k % 5 == 0, "no").otherwise("yes")
+    q3 = F.element_at(F.array(F.lit("stated"), F.lit("inferable"), F.lit("no")), (k % 3 + 1).cast("int"))
+    raw = F.concat(F.lit("Q1: "), q1, F.lit("\nQ2: yes\nQ3: "), q3, F.lit("\nReason: because"))
+    raw = F.when(k % 11 == 0, F.lit("unclear")).otherwise(raw)
+    v = t["documents"].select("doc_id", F.coalesce(A.parse_audit(raw)[3], F.lit("UNPARSED")).alias("verdict"))
+    return v.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def verdict_distribution(t):
+    v = t["labels"].select(A.verdict_rule(
+        F.when(F.col("quality") == 1, "yes").otherwise("no"), F.lit("yes"),
+        F.when(F.col("toxic") == 1, "no").when(F.col("doc_id") % 2 == 0, "inferable").otherwise("stated")).alias("verdict"))
+    return A.verdict_distribution(v).select("verdict", "n", r6("pct"))
+
+
+@query
+def expression_rule(t):
+    k = F.col("item_id")
+    raw = F.concat(F.lit("q1: "), F.when(k % 3 == 0, "no").otherwise("yes"), F.when(k % 2 == 0, "\nq2: yes").otherwise(""))
+    j = D.kg_gold(t).select("item_id", "h", "r", "t", A.parse_expression_label(raw).alias("label"))
+    return E.label_crosstab(j.dropDuplicates(["item_id", "h", "r", "t"]), misses(t))
+
+
+# ---------------------------------------------------------------- definitions
+
+@query
+def sd_typed_triples(t):
+    d = SD.typed_triples(D.kg_gold(t), D.sd_entities(t))
+    return d.groupBy("r", "head_type", "tail_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sd_missing_fallback(t):
+    e = SD.complete_entities(D.sd_entities(t), D.kg_gold(t))
+    return e.groupBy("fine", "inferred").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("description")).alias("chars"))
+
+
+@query
+def sd_relation_match(t):
+    """Definition rows with drifting spelling matched back to the expected type triples."""
+    typed = SD.typed_triples(D.kg_gold(t), D.sd_entities(t))
+    drift = F.when(F.col("pos") % 3 == 0, F.upper("r")).when(F.col("pos") % 3 == 1, F.concat("r", F.lit("x"))).otherwise(F.col("r"))
+    rows = typed.select("item_id", "pos", F.col("head_type").alias("s"), drift.alias("r"), F.col("tail_type").alias("o"),
+                        F.concat(F.lit("def "), "r").alias("definition"), F.lit("event").alias("relation_type"))
+    ok, _ = SD.match_relations(rows, typed)
+    full = SD.complete_relations(ok, typed)
+    return full.groupBy("r", "relation_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ontology_split(t):
+    p = D.kg_pred(t, (1,)).withColumn("r", F.when(F.col("pos") == 2, F.lit("isA")).when(
+        F.col("pos") == 3, F.lit("hasDisability")).otherwise(F.col("r")))
+    keep, drop = SD.split_ontology(p)
+    return keep.withColumn("part", F.lit("kept")).unionByName(drop.withColumn("part", F.lit("ontology"))).groupBy(
+        "part", "r").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sd_coverage(t):
+    d = D.kg_gold(t).filter("pos % 2 = 0").select("item_id", F.col("r").alias("relation"))
+    per = S.definition_coverage(one_case(t), d)
+    return per.agg(r6(F.avg(F.col("n_defined") / F.col("n")), "mean"), r6(F.percentile(F.col("n_defined") / F.col("n"), 0.5), "median"))
+
+
+@query
+def sd_relation_coverage(t):
+    d = D.kg_gold(t).filter("pos % 2 = 0").select("item_id", F.col("r").alias("relation"))
+    return S.relation_definition_coverage(one_case(t), d).select("r", "n", r6("coverage"))
+
+
+# ---------------------------------------------------------------- schema over time
+
+def decisions_view(t):
+    """Open relation and canonical relation per predicted triple."""
+    pred = F.when(F.col("r") == "situatedIn", "locatedIn").otherwise(F.regexp_replace("r", "(?<=[a-z])Of$", ""))
+    pred = F.when((F.col("item_id") + F.col("pos")) % 19 == 0, F.lit(None)).otherwise(
+        F.when(F.col("r") == "partOf", "partOf").otherwise(pred))
+    return D.kg_pred(t).withColumn("pred", pred).withColumn("defined", F.col("pos") % 2 == 0)
+
+
+@query
+def identity_rate(t):
+    return S.identity_rate(decisions_view(t), ["case_id"]).select("case_id", "n_triples", r6("identity_all"),
+                                                                  r6("identity_missing_definition"))
+
+
+@query
+def name_entropy(t):
+    return S.name_entropy(decisions_view(t), ["case_id"]).select("case_id", "pred", "n", r6("entropy"))
+
+
+@query
+def schema_growth(t):
+    u = D.open_relations(t).select("item_id", F.col("relation").alias("r"))
+    return S.schema_growth(u).select("since", "added", "size")
+
+
+@query
+def schema_stability(t):
+    u = D.open_relations(t).select("item_id", F.col("relation").alias("r"))
+    g = S.stability(S.schema_growth(u))
+    return g.agg(F.count("kept").alias("n_steps"), F.min("kept").alias("lowest"))
+
+
+@query
+def schema_prefix_as_of_n(t):
+    n = t["orders"].agg(F.expr("count(1) div 2")).first()[0]
+    u = D.open_relations(t).select("item_id", F.col("position").alias("pos"), F.col("relation").alias("r"))
+    return S.schema_as_of(u, n).select("r", F.col("ord").cast("bigint").alias("ord"))
+
+
+@query
+def schema_merge(t):
+    x = part_schema(t).select(F.col("relation").alias("name"), "ord")
+    lists = lambda a: F.array(F.concat(F.lit(a), F.col("name")), F.lit("shared"))
+    old = x.filter("ord % 3 <> 0").select("name", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("old "), "name")).alias("definition"),
+                                          F.lit("Order").alias("head_type"), F.lit("Part").alias("tail_type"),
+                                          lists("a ").alias("aliases"), lists("x ").alias("examples"))
+    new = x.filter("ord % 3 <> 1").select("name", F.concat(F.lit("new "), "name").alias("definition"), F.lit("Order").alias("head_type"),
+                                          F.when(F.col("ord") % 5 == 0, "Item").otherwise("Part").alias("tail_type"),
+                                          lists("b ").alias("aliases"), lists("y ").alias("examples"))
+    return S.merge_schemas(old, new).select("name", "definition", "head_type", "tail_type", "conflict",
+                                            F.array_join("aliases", ",").alias("aliases"), F.array_join("examples", ",").alias("examples"))
+
+
+@query
+def schema_precision(t):
+    p = relation_names(t).select(F.col("r").alias("relation"))
+    s = S.schema_precision(p, D.slot_types(t.spark), normalised=True)
+    return s.select("n_pred", "n_hit", r6("precision"))
+
+
+@query
+def schema_gold_coverage(t):
+    return S.gold_coverage(D.kg_gold(t), D.slot_types(t.spark).filter("ord < 5")).select("n_gold", "n_covered", "missing", r6("coverage"))
+
+
+@query
+def schema_retype(t):
+    m = D.kg_gold(t).filter("r in ('locatedIn', 'partOf')").select(F.col("r").alias("relation")).distinct().select(
+        "relation", F.lit("Place").alias("head_type"), F.lit("Place").alias("tail_type"))
+    return S.retype(D.slot_types(t.spark), m).select("relation", "head_type", "tail_type")
+
+
+# ---------------------------------------------------------------- agreement
+
+def ratings(t):
+    lab = t["labels"]
+    votes = F.array(F.struct(F.lit("a1").alias("annotator"), F.col("quality").alias("v")),
+                    F.struct(F.lit("a2").alias("annotator"), F.col("toxic").alias("v")),
+                    F.struct(F.lit("a3").alias("annotator"), (F.col("doc_id") % 3).cast("int").alias("v")))
+    names = F.array(F.lit("Person"), F.lit("Place"), F.lit("person_name"))
+    return lab.select(F.col("doc_id").alias("id"), F.explode(votes).alias("x")).select(
+        "id", "x.annotator", F.element_at(names, F.col("x.v") + 1).alias("label"))
+
+
+@query
+def cohen_kappa(t):
+    k = A.cohen_kappa(t["labels"].select(F.col("quality").alias("a"), F.col("toxic").alias("b")))
+    return A.agreement_gate(k).select("n", r6("agreement"), r6("kappa"), "gate")
+
+
+@query
+def fleiss_kappa(t):
+    return A.fleiss_kappa(ratings(t), 3).select("n", r6("agreement"), r6("kappa"))
+
+
+@query
+def majority_vote(t):
+    return A.adjudicate(ratings(t))
+
+
+@query
+def jury_verdict(t):
+    return A.jury_verdict(ratings(t), 3)
+
+
+@query
+def label_collisions(t):
+    return A.label_collisions(ratings(t))
+
+
+@query
+def synonym_tier(t):
+    c = A.label_collisions(ratings(t))
+    return c.select("label_1", "label_2", A.synonym_tier(F.col("label_1"), F.col("label_2"), F.col("collisions")).alias("tier"))
+
+
+@query
+def reconcile_labels(t):
+    """Approved label merges applied inside each rated item."""
+    merges = ratings(t).select(F.lit("Person").alias("lo"), F.lit("person_name").alias("hi"), F.lit("Person").alias("canonical")).distinct()
+    r = A.reconcile_labels(ratings(t), merges)
+    return r.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("rewritten").cast("bigint").alias("rewrites"))
+
+
+@query
+def signal_disagreement(t):
+    d = D.ec_decisions(t).select("ec_case", "item_id", F.col("members")[0].alias("entity"), F.col("pred").alias("type"))
+    p = A.disagreement_partition(d, D.CASE_IDS)
+    return p.groupBy("disagree", "n_types").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stratified_bcubed(t):
+    d = D.ec_decisions(t).filter("ec_case = 3").select((F.col("item_id") % 2).cast("string").alias("stratum"),
+                                                       "pred", F.col("fine").alias("gold"))
+    return A.stratified_bcubed(d).select("stratum", r6("bcubed_p"), r6("bcubed_r"), r6("bcubed_f1"))
+
+
+def runs(t):
+    """Seeded run scores: one row per policy, metric, signal and seed, from the event log."""
+    e = t["events"]
+    case = F.when(F.col("event_type") == "click", "case1_embed").otherwise(F.concat(F.lit("case_"), "event_type"))
+    return e.groupBy((F.col("event_id") % 2 * 2 + 1).alias("mode"), F.lit("f1").alias("metric"), case.alias("case"),
+                     (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("value"))
+
+
+@query
+def seed_mean_std(t):
+    return A.seed_summary(runs(t)).select("mode", "metric", "case", "n", r6("mean"), r6("std"))
+
+
+@query
+def winner_verdict(t):
+    return A.winner_verdict(A.seed_summary(runs(t))).select("mode", "metric", "winner", "runner_up", r6("margin"), "verdict")
+
+
+@query
+def mode_gap(t):
+    return A.mode_gap(A.seed_summary(runs(t)), 1, 3).select("metric", "case_low", "case_high", r6("gap"), r6("std"), "real")
+
+
+@query
+def best_case(t):
+    b = A.best_case(runs(t).withColumn("run", F.col("mode") * 10 + F.col("seed")))
+    return b.select("run", "best", r6("best_value"), r6("baseline"), r6("delta"))
+
+
+@query
+def column_winners(t):
+    s = A.seed_summary(runs(t))
+    return A.column_winners(s, ["mode", "metric"], "mean").select("mode", "metric", "case", "winner")
+
+
+@query
+def run_difference(t):
+    a = D.kg_pred(t, (1,)).select("item_id", "pos", F.col("r").alias("pred"))
+    b = D.kg_pred(t, (2,)).select("item_id", "pos", F.col("r").alias("pred"))
+    return A.run_difference(a, b, ["item_id", "pos"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stage_tokens(t):
+    n = t["orders"].count()
+    e = t["events"].select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    return A.stage_costs(e, n).select("stage", "calls", r4("seconds"), r6("per_item"), r4("per_1k"))
+
+
+@query
+def stage_windows(t):
+    e = t["events"].select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"), F.col("ts").cast("timestamp").alias("ts"))
+    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "stage").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds"))
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "stage", "n", r4("seconds"))
+
+
+# ---------------------------------------------------------------- grounding
+
+def class_tree(t):
+    """Class hierarchy of the data: nations under regions under Place, brands under types under Product."""
+    geo = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    part = t["part"].select("p_brand", "p_type").groupBy("p_brand").agg(F.min("p_type").alias("p_type"))
+    up = lambda df, c, p: df.select(F.col(c).alias("child"), (p if not isinstance(p, str) else F.col(p)).alias("parent"))
+    return (up(geo, "n_name", "r_name").union(up(t["region"], "r_name", F.lit("Place"))).union(up(part, "p_brand", "p_type"))
+            .union(up(part.select("p_type").distinct(), "p_type", F.lit("Product")))).distinct()
+
+
+@query
+def ancestor_closure(t):
+    return KB.ancestor_closure(class_tree(t))
+
+
+@query
+def kb_slot_status(t):
+    """Every customer's home nation against the classes a rule table allows for its segment."""
+    slots = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_name").alias("relation"), F.lit("tail").alias("slot"), F.when(
+            F.col("c_custkey") % 9 == 0, F.lit("Place")).otherwise(F.col("n_name")).alias("cls"))
+    allowed = t["customer"].join(t["nation"], F.col("n_nationkey") == F.col("c_custkey") % 25).join(
+        t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("c_name").alias("relation"), F.lit("tail").alias("slot"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.col("n_name")).when(F.col("c_mktsegment") != "MACHINERY", F.col("r_name"))
+        .alias("allowed")).filter("allowed is not null")
+    s = KB.slot_status(slots, allowed, KB.ancestor_closure(class_tree(t)))
+    return KB.status_histogram(s)
+
+
+@query
+def most_specific_type(t):
+    ents = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_name").alias("entity"), F.col("n_name").alias("cls"))
+    types = t["region"].select(F.concat(F.lit("T_"), "r_name").alias("type"), F.col("r_name").alias("cls")).union(
+        t["region"].select(F.lit("T_Place"), F.lit("Place")).distinct()).union(
+        t["nation"].filter("n_nationkey % 2 = 0").select(F.concat(F.lit("T_"), "n_name"), "n_name"))
+    return KB.most_specific_type(ents, types, KB.ancestor_closure(class_tree(t)))
+
+
+@query
+def property_resolution(t):
+    rel = t["part"].select(F.col("p_name").alias("relation")).distinct()
+    labels = t["part"].filter("p_partkey % 3 = 0").select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+                                                         .alias("prop"), F.col("p_partkey").alias("ord"))
+    alias = t["part"].filter("p_partkey % 3 = 1").select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+                                                        .alias("prop"), F.col("p_partkey").alias("ord"))
+    con = t["part"].filter("p_size > 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("prop"))
+    return KB.resolve_properties(rel, labels, alias, con)
+
+
+@query
+def surface_roles(t):
+    return KB.surface_roles(D.kg_gold(t)).groupBy("roles").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kb_tables(t):
+    s = KB.surface_roles(D.kg_gold(t)).select("surface")
+    c = lambda df, name, kid, order: df.select(F.col(name).alias("name"), F.concat(F.lit("Q"), F.col(kid).cast("string")).alias("kb_id"),
+                                               F.col(order).cast("bigint").alias("ord"))
+    labels = c(t["customer"].filter("c_custkey % 2 = 0"), "c_name", "c_custkey", "c_custkey")
+    alias = c(t["part"], "p_name", "p_partkey", "p_partkey")
+    search = c(t["nation"], "n_name", "n_nationkey", "n_nationkey")
+    types = t["part"].select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("entity"),
+                             F.when(F.col("p_size") > 45, F.col("p_type")).alias("type"))
+    return s, labels, alias, search, types
+
+
+@query
+def entity_link_cascade(t):
+    return KB.link_entities(*kb_tables(t)).select("surface", "kb_id", "schema_type", "status", "link_via", "n_candidates")
+
+
+@query
+def link_report(t):
+    return KB.link_report(KB.link_entities(*kb_tables(t))).select("status", "n", r6("entity_coverage"))
+
+
+@query
+def redirect_types(t):
+    s = KB.surface_roles(D.kg_gold(t)).select("surface")
+    classes = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("name"), F.col("n_name").alias("cls"))
+    moved = t["customer"].filter("c_custkey % 3 = 0").join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_name").alias("name"), F.col("n_name").alias("target"))
+    types = t["region"].select(F.concat(F.lit("T_"), "r_name").alias("type"), F.col("r_name").alias("cls"))
+    r = KB.redirect_types(s, classes, moved, types, KB.ancestor_closure(class_tree(t)))
+    return r.select("surface", "schema_type", "via_redirect", "status")
+
+
+# ---------------------------------------------------------------- corpora, sampling, spans
+
+@query
+def pool_guards(t):
+    """Demonstration pool from all documents without held-out texts and repeats."""
+    pool = t["documents"].select(F.col("doc_id").alias("ord"), "text")
+    held = t["benchmark"].select("text").union(t["documents"].filter("source = 'src3'").select("text"))
+    return SA.pool_guards(pool, held).select("ord", F.md5("text").alias("digest"))
+
+
+@query
+def stratified_sample(t):
+    """Sample report: quota per loss category."""
+    rows = cut_lineage(misses(t).select("item_id", "pos", "category"))
+    s = SA.stratified_sample(rows, 1000, "category", ["item_id", "pos"])
+    return s.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def uniform_sample(t):
+    s = SA.uniform_sample(t["documents"].select("doc_id", "lang"), 100, ["doc_id"])
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_distinct"))
+
+
+@query
+def nested_fractions(t):
+    n = SA.nested_fractions(t["documents"].select("doc_id"), {"small": 20, "medium": 60, "large": 120}, ["doc_id"])
+    return n.groupBy(F.coalesce("fraction", F.lit("rest")).alias("fraction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def length_diff_filter(t):
+    a = D.kg_gold(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_a"))
+    b = one_case(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_b"))
+    return SA.length_filter(a, b, "item_id", 1).groupBy("n_a", "n_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def chunk_sequence(t):
+    """Conversation turns as chunks with a sequence number per title."""
+    return CH.chunk_notes(t["conversations"].select(
+        F.col("conv_id").cast("string").alias("title"), "text", F.struct("conv_id", "turn").alias("order"))).select(
+        "title", "seq", F.md5("text").alias("digest"))
+
+
+@query
+def coref_rewrite(t):
+    """Pronouns and definite descriptions of each record replaced by the customer's name."""
+    texts = D.kg_text(t)
+    found = F.array(F.struct(F.lit(0).alias("start"), (F.instr("text", " from") - 2).alias("end")),
+                    F.struct((F.instr("text", "It was") - 1).alias("start"), F.instr("text", "It was").alias("end")))
+    m = texts.select("item_id", "text", F.explode(found).alias("s")).filter("s.start >= 0").select(
+        "item_id", F.lit(1).alias("cluster"), "s.start", "s.end",
+        F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1).alias("mention"))
+    return CO.rewrite(texts, m).select("item_id", "text")
+
+
+def record_lists(t):
+    """Predicted and reference triple lists of each record as two array columns."""
+    row = F.struct("pos", F.array("h", "r", "t").alias("x"))
+    strip_pos = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["x"])
+    g = D.kg_gold(t).groupBy("item_id").agg(strip_pos(row).alias("gold"))
+    p = one_case(t).groupBy("item_id").agg(strip_pos(row).alias("pred"))
+    return g.join(p, "item_id").withColumn("case_id", F.lit(1))
+
+
+@query
+def span_f1(t):
+    s = SP.span_scores(record_lists(t))
+    return s.groupBy("case_id").agg(*[r6(F.avg(m), m) for m in ("exact", "strict", "partial")])

@@ -543,3 +543,181 @@ ORACLE["kg_rewrite"] = V(f"""
       JOIN cf a ON a.surface = p.h JOIN cf b ON b.surface = p.t WHERE p.case_id = 1) WHERE h <> t GROUP BY item_id, h, r, t""", "kg_pred",
     sfq="SELECT surface, count(*) AS freq FROM (SELECT h AS surface FROM kg_pred UNION ALL SELECT t FROM kg_pred) GROUP BY 1",
     cf=f"SELECT surface, first_value(surface) OVER (PARTITION BY {fold('surface')} ORDER BY freq DESC, length(surface) DESC, surface) AS canonical FROM sfq")
+
+# ---------------------------------------------------------------- parsers on recorded answers
+ORACLE["oie_parse"] = V("""SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS pos,
+    CASE WHEN item_id % 4 = 2 THEN 'O''' || h ELSE h END AS h, r, t FROM kg_gold WHERE item_id % 4 <> 3""", "kg_gold")
+ORACLE["oie_clean_generated"] = V("""SELECT item_id, md5(CASE WHEN item_id % 4 = 3 THEN 'I found no triples. and so on'
+      WHEN item_id % 4 = 1 THEN 'Here is the list:' || chr(10) || body ELSE body END) AS clean
+    FROM (SELECT item_id, '[' || string_agg('[''' || CASE WHEN item_id % 4 = 2 THEN 'O''' || h ELSE h END || ''', ''' || r || ''', ''' || t || ''']',
+      ', ' ORDER BY pos) || ']' AS body FROM kg_gold GROUP BY 1)""", "kg_gold")
+ORACLE["kg_text_roundtrip"] = V("SELECT r, count(*) AS n, CAST(sum(length(h) + length(t)) AS BIGINT) AS chars FROM kg_gold GROUP BY 1", "kg_gold")
+ORACLE["relation_refine"] = V("""SELECT r2 AS r, count(*) AS n FROM (SELECT CASE WHEN pos % 4 = 0 THEN NULL WHEN pos % 4 = 1 THEN 'hasOrderOf'
+    ELSE r END AS r2 FROM kg_pred WHERE case_id = 1) WHERE r2 IS NOT NULL GROUP BY 1""", "kg_pred")
+ORACLE["reject_reasons"] = V("""SELECT CASE pos WHEN 3 THEN 'empty_component' WHEN 4 THEN 'non_string_element' ELSE 'kept' END AS reason, count(*) AS n
+    FROM kg_pred WHERE case_id = 1 GROUP BY 1""", "kg_pred")
+ORACLE["verdict_rule"] = """SELECT CASE WHEN doc_id % 11 = 0 THEN 'UNPARSED' WHEN doc_id % 5 = 0 THEN 'NOT_VERBALIZED' WHEN doc_id % 3 = 2 THEN 'UNSUPPORTED'
+    WHEN doc_id % 3 = 1 THEN 'IMPLICIT_OK' ELSE 'SUPPORTED' END AS verdict, count(*) AS n FROM documents GROUP BY 1"""
+ORACLE["verdict_distribution"] = """SELECT v.verdict, count(l.x) AS n, round(CAST(100 AS DOUBLE) * count(l.x) / (SELECT count(*) FROM labels), 6) AS pct
+    FROM (VALUES ('SUPPORTED'), ('IMPLICIT_OK'), ('UNSUPPORTED'), ('NOT_VERBALIZED')) v(verdict) LEFT JOIN
+    (SELECT CASE WHEN quality <> 1 THEN 'NOT_VERBALIZED' WHEN toxic = 1 THEN 'UNSUPPORTED' WHEN doc_id % 2 = 0 THEN 'IMPLICIT_OK' ELSE 'SUPPORTED' END AS x
+     FROM labels) l ON l.x = v.verdict GROUP BY 1"""
+ORACLE["expression_rule"] = V("""SELECT label, category, count(*) AS n FROM (SELECT DISTINCT item_id, h, r, t, CASE WHEN item_id % 3 = 0 THEN 'implicit'
+      WHEN item_id % 2 = 0 THEN 'coref' ELSE 'explicit' END AS label FROM kg_gold) JOIN
+    (SELECT item_id, h, r, t, arg_max(category, pos) AS category FROM c1 GROUP BY 1, 2, 3, 4) USING (item_id, h, r, t) GROUP BY ALL""",
+    "kg_pred", "kg_text", **misses(1))
+
+# ---------------------------------------------------------------- definitions
+_TT = dict(tt="""SELECT g.item_id, g.pos, g.h, g.r, g.t, coalesce(a.fine, 'Thing') AS head_type, CASE WHEN g.r = 'isA' THEN 'Thing' ELSE coalesce(b.fine, 'Thing') END
+    AS tail_type FROM kg_gold g LEFT JOIN sd_entities a ON a.item_id = g.item_id AND a.entity = g.h LEFT JOIN sd_entities b ON b.item_id = g.item_id AND b.entity = g.t""")
+ORACLE["sd_typed_triples"] = V("SELECT r, head_type, tail_type, count(*) AS n FROM tt GROUP BY ALL", "kg_gold", "sd_entities", **_TT)
+ORACLE["sd_missing_fallback"] = V("""SELECT fine, inferred, count(*) AS n, CAST(sum(length(d)) AS BIGINT) AS chars FROM (
+    SELECT fine, false AS inferred, description AS d FROM sd_entities UNION ALL
+    SELECT 'Thing', true, e || ' is an entity inferred from the text.' FROM (SELECT item_id, h AS e FROM kg_gold UNION SELECT item_id, t FROM kg_gold) x
+      WHERE NOT EXISTS (SELECT 1 FROM sd_entities s WHERE s.item_id = x.item_id AND s.entity = x.e)) GROUP BY ALL""", "kg_gold", "sd_entities")
+ORACLE["sd_relation_match"] = V("""SELECT r, relation_type, count(*) AS n FROM (
+    SELECT item_id, r, 'event' AS relation_type FROM tt WHERE pos % 3 <> 1 UNION ALL
+    SELECT item_id, r, 'unknown' FROM (SELECT DISTINCT item_id, head_type, r, tail_type FROM tt) x WHERE NOT EXISTS
+      (SELECT 1 FROM tt y WHERE y.item_id = x.item_id AND y.r = x.r AND y.head_type = x.head_type AND y.tail_type = x.tail_type AND y.pos % 3 <> 1)) GROUP BY ALL""",
+    "kg_gold", "sd_entities", **_TT)
+ORACLE["ontology_split"] = V("""SELECT CASE WHEN contains(lower(r2), 'isa') OR contains(lower(r2), 'is_a') THEN 'ontology' ELSE 'kept' END AS part, r2 AS r, count(*) AS n
+    FROM (SELECT CASE pos WHEN 2 THEN 'isA' WHEN 3 THEN 'hasDisability' ELSE r END AS r2 FROM kg_pred WHERE case_id = 1) GROUP BY ALL""", "kg_pred")
+_COV = dict(cv="""SELECT p.item_id, p.r, d.r IS NOT NULL AS ok FROM kg_pred p LEFT JOIN (SELECT DISTINCT item_id, r FROM kg_gold WHERE pos % 2 = 0) d
+    ON d.item_id = p.item_id AND d.r = p.r WHERE case_id = 1""")
+ORACLE["sd_coverage"] = V("""SELECT round(avg(x), 6) AS mean, round(median(x), 6) AS median FROM (SELECT item_id, count(*) FILTER (WHERE ok) / CAST(count(*) AS DOUBLE) AS x
+    FROM cv GROUP BY 1)""", "kg_pred", **_COV)
+ORACLE["sd_relation_coverage"] = V("SELECT r, count(*) AS n, round(count(*) FILTER (WHERE ok) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM cv GROUP BY 1", "kg_pred", **_COV)
+
+# ---------------------------------------------------------------- schema over time
+_DV = dict(dv_="""SELECT case_id, item_id, pos, r, pos % 2 = 0 AS defined, CASE WHEN (item_id + pos) % 19 = 0 THEN NULL WHEN r = 'partOf' THEN 'partOf'
+    WHEN r = 'situatedIn' THEN 'locatedIn' ELSE regexp_replace(r, '([a-z])Of$', '\\1') END AS pred FROM kg_pred""")
+ORACLE["identity_rate"] = V(f"""SELECT case_id, count(*) AS n_triples, round(count(*) FILTER (WHERE pred = r) / CAST(count(*) AS DOUBLE), 6) AS identity_all,
+    round(count(*) FILTER (WHERE pred = r AND NOT defined) / CAST(count(*) FILTER (WHERE NOT defined) AS DOUBLE), 6) AS identity_missing_definition
+    FROM dv_ GROUP BY 1""", "kg_pred", **_DV)
+ORACLE["name_entropy"] = V("""SELECT case_id, pred, CAST(sum(c) AS BIGINT) AS n, round(-sum(c / CAST(n AS DOUBLE) * ln(c / CAST(n AS DOUBLE))), 6) + 0.0 AS entropy FROM
+    (SELECT case_id, pred, r, count(*) AS c, sum(count(*)) OVER (PARTITION BY case_id, pred) AS n FROM dv_ WHERE pred IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "kg_pred", **_DV)
+_GR = dict(st="SELECT item_id AS since, count(*) AS added FROM (SELECT relation, min(item_id) AS item_id FROM open_rel GROUP BY 1) GROUP BY 1")
+ORACLE["schema_growth"] = V("SELECT since, added, CAST(sum(added) OVER (ORDER BY since) AS BIGINT) AS size FROM st", "open_rel", **_GR)
+ORACLE["schema_stability"] = V("SELECT count(*) - 1 AS n_steps, CAST(1.0 AS DOUBLE) AS lowest FROM st", "open_rel", **_GR)
+ORACLE["schema_prefix_as_of_n"] = V("""SELECT relation AS r, row_number() OVER (ORDER BY position) - 1 AS ord FROM (SELECT relation, min(position) AS position
+    FROM open_rel WHERE item_id < (SELECT count(*) // 2 FROM orders) GROUP BY 1)""", "open_rel")
+ORACLE["schema_merge"] = V("""SELECT relation AS name,
+    CASE WHEN ord % 3 <> 0 AND ord % 2 = 0 THEN 'old ' || relation WHEN ord % 3 <> 1 THEN 'new ' || relation END AS definition, 'Order' AS head_type,
+    CASE WHEN ord % 3 <> 0 THEN 'Part' WHEN ord % 5 = 0 THEN 'Item' ELSE 'Part' END AS tail_type, ord % 3 = 2 AND ord % 5 = 0 AS conflict,
+    CASE ord % 3 WHEN 0 THEN 'b ' || relation || ',shared' WHEN 1 THEN 'a ' || relation || ',shared' ELSE 'a ' || relation || ',shared,b ' || relation END AS aliases,
+    CASE ord % 3 WHEN 0 THEN 'y ' || relation || ',shared' WHEN 1 THEN 'x ' || relation || ',shared' ELSE 'x ' || relation || ',shared,y ' || relation END AS examples
+    FROM (SELECT relation, row_number() OVER (ORDER BY relation) AS ord FROM (SELECT DISTINCT relation FROM open_rel))""", "open_rel")
+ORACLE["schema_precision"] = V("""SELECT count(*) AS n_pred, count(g) AS n_hit, round(count(g) / CAST(count(*) AS DOUBLE), 6) AS precision FROM
+    (SELECT DISTINCT lower(r) AS p FROM rels) LEFT JOIN (SELECT lower(relation) AS g FROM slots) ON g = p""", "kg_pred", "slots", rels=RELS)
+ORACLE["schema_gold_coverage"] = V("""SELECT count(*) AS n_gold, count(relation) AS n_covered, string_agg(r, ',' ORDER BY r) FILTER (WHERE relation IS NULL) AS missing,
+    round(count(relation) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM (SELECT DISTINCT r FROM kg_gold) LEFT JOIN (SELECT relation FROM slots WHERE ord < 5) ON relation = r""",
+    "kg_gold", "slots")
+ORACLE["schema_retype"] = V("""SELECT relation, CASE WHEN relation IN ('locatedIn', 'partOf') THEN 'Place' ELSE head_type END AS head_type,
+    CASE WHEN relation IN ('locatedIn', 'partOf') THEN 'Place' ELSE tail_type END AS tail_type FROM slots""", "slots")
+
+# ---------------------------------------------------------------- agreement
+_KAPPA = """SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) >= 0.7 THEN 'PASS' ELSE 'FAIL' END AS gate
+    FROM (SELECT count(*) AS n, avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) AS po,
+            avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels)"""
+ORACLE["cohen_kappa"] = _KAPPA
+_RATE = dict(rt="""SELECT doc_id AS id, a AS annotator, (['Person', 'Place', 'person_name'])[v + 1] AS label FROM (
+    SELECT doc_id, 'a1' AS a, quality AS v FROM labels UNION ALL SELECT doc_id, 'a2', toxic FROM labels UNION ALL SELECT doc_id, 'a3', CAST(doc_id % 3 AS INTEGER) FROM labels)""")
+ORACLE["fleiss_kappa"] = V("""SELECT n, round(pbar, 6) AS agreement, round((pbar - pe) / (1 - pe), 6) AS kappa FROM
+    (SELECT count(*) AS n, avg((sq - 3) / CAST(6 AS DOUBLE)) AS pbar FROM (SELECT id, sum(v * v) AS sq FROM (SELECT id, label, count(*) AS v FROM rt GROUP BY 1, 2) GROUP BY 1)),
+    (SELECT sum(p * p) AS pe FROM (SELECT count(*) / CAST((SELECT count(*) FROM rt) AS DOUBLE) AS p FROM rt GROUP BY label))""", **_RATE)
+_VOTES = dict(_RATE, vt="SELECT id, label, count(*) AS v FROM rt GROUP BY 1, 2")
+ORACLE["majority_vote"] = V("""SELECT id, CASE WHEN max(v) > 1 THEN arg_max(label, v) END AS label, CAST(sum(v) AS BIGINT) AS n_votes,
+    CASE WHEN count(*) = 1 THEN 'unanimous' WHEN max(v) > 1 THEN 'majority' ELSE 'tied' END AS status FROM vt GROUP BY 1""", **_VOTES)
+ORACLE["jury_verdict"] = V("SELECT id, arg_min(label, (-v, label)) AS verdict FROM vt GROUP BY 1", **_VOTES)
+_COLL = dict(_VOTES, fq="SELECT label, count(*) AS n FROM rt GROUP BY 1",
+             cl="""SELECT a.label AS label_1, b.label AS label_2, CAST(sum(a.v * b.v) AS BIGINT) AS collisions FROM vt a JOIN vt b ON a.id = b.id AND a.label < b.label GROUP BY 1, 2""")
+ORACLE["label_collisions"] = V("""SELECT label_1, label_2, collisions, x.n AS n_1, y.n AS n_2, CASE WHEN x.n >= y.n THEN label_1 ELSE label_2 END AS suggested
+    FROM cl JOIN fq x ON x.label = label_1 JOIN fq y ON y.label = label_2""", **_COLL)
+ORACLE["synonym_tier"] = V("""SELECT label_1, label_2, CASE WHEN levenshtein(regexp_replace(lower(label_1), '[^a-z0-9]', '', 'g'), regexp_replace(lower(label_2), '[^a-z0-9]', '', 'g')) <= 2
+    THEN 'T1_typo' WHEN label_1 = 'Person' AND label_2 = 'person_name' THEN 'T2_morph' WHEN collisions >= 2 THEN 'T3_semantic' ELSE 'T4_weak' END AS tier FROM cl""", **_COLL)
+ORACLE["reconcile_labels"] = V("""SELECT annotator, CASE WHEN hit AND label = 'person_name' THEN 'Person' ELSE label END AS label, count(*) AS n,
+    count(*) FILTER (WHERE hit AND label = 'person_name') AS rewrites FROM (SELECT *, bool_or(label = 'Person') OVER (PARTITION BY id) AND
+      bool_or(label = 'person_name') OVER (PARTITION BY id) AS hit FROM rt) GROUP BY ALL""", **_RATE)
+ORACLE["signal_disagreement"] = V("""SELECT k > 1 AS disagree, k AS n_types, count(*) AS n FROM (SELECT item_id, entity, count(DISTINCT pred) AS k FROM ec GROUP BY 1, 2
+    HAVING count(DISTINCT ec_case) = 3) GROUP BY ALL""", "ec")
+_SB = dict(
+    sb="SELECT CAST(item_id % 2 AS VARCHAR) AS s, pred, fine AS gold FROM ec WHERE ec_case = 3",
+    em="SELECT s AS case_id, pred, gold FROM sb UNION ALL SELECT 'ALL', pred, gold FROM sb", ecells=_ECELLS)
+ORACLE["stratified_bcubed"] = V(f"""SELECT case_id AS stratum, round(p, 6) AS bcubed_p, round(r, 6) AS bcubed_r, round({f1('p', 'r')}, 6) AS bcubed_f1 FROM (
+    SELECT case_id, sum(CAST(o * o AS DOUBLE) / np) / max(n) AS p, sum(CAST(o * o AS DOUBLE) / ng) / max(n) AS r FROM ecells GROUP BY 1)""", "ec", **_SB)
+_RUNS = dict(
+    ru="""SELECT event_id % 2 * 2 + 1 AS mode, 'f1' AS metric, CASE WHEN event_type = 'click' THEN 'case1_embed' ELSE 'case_' || event_type END AS "case",
+        user_id % 5 AS seed, avg(value) AS value FROM events GROUP BY ALL""",
+    su='SELECT mode, metric, "case", count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM ru GROUP BY ALL')
+ORACLE["seed_mean_std"] = V('SELECT mode, metric, "case", n, round(mean, 6) AS mean, round(std, 6) AS std FROM su', **_RUNS)
+_RK = dict(_RUNS, rk="""SELECT *, row_number() OVER (PARTITION BY mode, metric ORDER BY mean DESC, "case") AS k FROM su WHERE "case" <> 'case1_embed'""")
+ORACLE["winner_verdict"] = V("""SELECT a.mode, a.metric, a."case" AS winner, b."case" AS runner_up, round(a.mean - a.std - b.mean - b.std, 6) AS margin,
+    CASE WHEN a.mean - a.std - b.mean - b.std > 0 THEN 'CONFIRMED' ELSE 'NOT_SEPARATED' END AS verdict FROM rk a JOIN rk b ON a.mode = b.mode AND a.metric = b.metric
+    AND a.k = 1 AND b.k = 2""", **_RK)
+ORACLE["mode_gap"] = V("""SELECT a.metric, a."case" AS case_low, b."case" AS case_high, round(b.mean - a.mean, 6) AS gap, round(sqrt(a.std * a.std + b.std * b.std), 6) AS std,
+    b.mean - a.mean - sqrt(a.std * a.std + b.std * b.std) > 0 AS real FROM rk a JOIN rk b ON a.metric = b.metric AND a.mode = 1 AND b.mode = 3 AND a.k = 1 AND b.k = 1""", **_RK)
+ORACLE["best_case"] = V("""SELECT run, arg_max("case", value) FILTER (WHERE "case" <> 'case1_embed') AS best, round(max(value) FILTER (WHERE "case" <> 'case1_embed'), 6) AS best_value,
+    round(max(value) FILTER (WHERE "case" = 'case1_embed'), 6) AS baseline, round(max(value) FILTER (WHERE "case" <> 'case1_embed') - max(value) FILTER (WHERE "case" = 'case1_embed'), 6) AS delta
+    FROM (SELECT mode * 10 + seed AS run, "case", value FROM ru) GROUP BY 1""", **_RUNS)
+ORACLE["column_winners"] = V('SELECT mode, metric, "case", mean = max(mean) OVER (PARTITION BY mode, metric) AS winner FROM su', **_RUNS)
+ORACLE["run_difference"] = V("""SELECT CASE WHEN a.item_id IS NULL THEN 'only_b' WHEN b.item_id IS NULL THEN 'only_a' WHEN a.r = b.r THEN 'same' ELSE 'changed' END AS status,
+    count(*) AS n FROM (SELECT * FROM kg_pred WHERE case_id = 1) a FULL JOIN (SELECT * FROM kg_pred WHERE case_id = 2) b ON a.item_id = b.item_id AND a.pos = b.pos GROUP BY 1""", "kg_pred")
+ORACLE["stage_tokens"] = """SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS seconds, round(sum(value) / (SELECT count(*) FROM orders), 6) AS per_item,
+    round(sum(value) * 1000 / (SELECT count(*) FROM orders), 4) AS per_1k FROM events GROUP BY 1"""
+ORACLE["stage_windows"] = """SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS stage, count(*) AS n, round(sum(value), 4) AS seconds
+    FROM events GROUP BY ALL"""
+
+# ---------------------------------------------------------------- grounding
+_TREE = dict(
+    pb="SELECT p_brand, min(p_type) AS p_type FROM part GROUP BY 1",
+    tree="""SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'Place' FROM region
+        UNION SELECT p_brand, p_type FROM pb UNION SELECT p_type, 'Product' FROM pb""",
+    clo="""SELECT child AS node, child AS anc FROM tree UNION SELECT parent, parent FROM tree UNION SELECT clo.node, tree.parent FROM clo JOIN tree ON tree.child = clo.anc""")
+ORACLE["ancestor_closure"] = V("SELECT node, anc AS ancestor FROM clo", recursive=True, **_TREE)
+ORACLE["kb_slot_status"] = V("""SELECT 'tail' AS slot, status, count(*) AS n FROM (SELECT s.c_name, CASE WHEN a.al IS NULL THEN 'unverified' WHEN a.al = s.cls THEN 'confirmed'
+      WHEN EXISTS (SELECT 1 FROM clo WHERE node = s.cls AND anc = a.al) THEN 'narrower' WHEN EXISTS (SELECT 1 FROM clo WHERE node = a.al AND anc = s.cls) THEN 'broader'
+      ELSE 'mismatch' END AS status
+    FROM (SELECT c_name, CASE WHEN c_custkey % 9 = 0 THEN 'Place' ELSE n_name END AS cls FROM customer JOIN nation ON c_nationkey = n_nationkey) s
+    JOIN (SELECT c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN n_name WHEN c_mktsegment <> 'MACHINERY' THEN r_name END AS al
+          FROM customer JOIN nation ON n_nationkey = c_custkey % 25 JOIN region ON n_regionkey = r_regionkey) a USING (c_name)) GROUP BY 2""", recursive=True, **_TREE)
+ORACLE["most_specific_type"] = """SELECT c_name AS entity, CASE WHEN n_nationkey % 2 = 0 THEN 'T_' || n_name ELSE 'T_' || r_name END AS type
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+ORACLE["property_resolution"] = """SELECT relation, prop, coalesce(via, 'none') AS via FROM (SELECT DISTINCT p_name AS relation FROM part) LEFT JOIN (
+    SELECT name AS relation, via, arg_min(prop, (NOT con, ord)) AS prop FROM (SELECT p_name AS name, 'P' || p_partkey AS prop, p_partkey AS ord, p_size > 40 AS con,
+        CASE WHEN p_partkey % 3 = 0 THEN 'label' ELSE 'alias' END AS via FROM part WHERE p_partkey % 3 IN (0, 1))
+      WHERE via = 'label' OR name NOT IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0) GROUP BY 1, 2) USING (relation)"""
+_ROLES = dict(ro="""SELECT surface, bool_or(h) AS h, bool_or(NOT h) AS t FROM (SELECT trim(h) AS surface, true AS h FROM kg_gold UNION ALL SELECT trim(t), false FROM kg_gold) GROUP BY 1""")
+ORACLE["surface_roles"] = V("SELECT CASE WHEN h AND t THEN 'head,tail' WHEN h THEN 'head' ELSE 'tail' END AS roles, count(*) AS n FROM ro GROUP BY 1", "kg_gold", **_ROLES)
+_LINK = dict(
+    _ROLES,
+    ca="""SELECT c_name AS surface, 'Q' || c_custkey AS kb_id, c_custkey AS ord, 'label' AS via FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT p_name, 'Q' || p_partkey, p_partkey, 'alias' FROM part UNION ALL SELECT n_name, 'Q' || n_nationkey, n_nationkey, 'search' FROM nation""",
+    ty="SELECT 'Q' || p_partkey AS kb_id, CASE WHEN p_size > 45 THEN p_type END AS type, true AS classed FROM part",
+    bst="""SELECT surface, count(*) AS n, any_value(via) AS via, arg_min(kb_id, (type IS NULL, classed IS NULL, ord)) AS kb_id,
+        arg_min(coalesce(type, '~'), (type IS NULL, classed IS NULL, ord)) AS type, bool_or(classed) AS classed FROM ca LEFT JOIN ty USING (kb_id) GROUP BY 1""",
+    lk="""SELECT surface, CASE WHEN NOT lit THEN kb_id END AS kb_id, CASE WHEN NOT lit THEN nullif(type, '~') END AS schema_type,
+        CASE WHEN lit THEN 'literal' WHEN kb_id IS NULL THEN 'unlinked' WHEN type <> '~' THEN 'linked' WHEN classed IS NULL THEN 'no_p31' WHEN n > 1 THEN 'ambiguous'
+          ELSE 'no_type_match' END AS status, CASE WHEN NOT lit THEN via END AS link_via, CASE WHEN lit THEN 0 ELSE coalesce(n, 0) END AS n_candidates
+        FROM (SELECT surface, regexp_matches(surface, '^[-+]?[0-9.,]+(\\s*\\(.*\\))?$') AS lit FROM ro) LEFT JOIN bst USING (surface)""")
+ORACLE["entity_link_cascade"] = V("SELECT * FROM lk", "kg_gold", **_LINK)
+ORACLE["link_report"] = V("""SELECT status, count(*) AS n, round((SELECT count(*) FROM lk WHERE status = 'linked') / CAST((SELECT count(*) FROM lk WHERE status <> 'literal') AS DOUBLE), 6)
+    AS entity_coverage FROM lk GROUP BY 1""", "kg_gold", **_LINK)
+ORACLE["redirect_types"] = V("""SELECT surface, CASE WHEN nm IS NOT NULL THEN 'T_' || r_name END AS schema_type, CASE WHEN m.c_name IS NOT NULL THEN nm END AS via_redirect,
+    CASE WHEN regexp_matches(surface, '^[-+]?[0-9.,]+(\\s*\\(.*\\))?$') THEN 'literal' WHEN nm IS NULL THEN 'unlinked' ELSE 'linked' END AS status
+    FROM ro LEFT JOIN (SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0) m ON m.c_name = surface
+    LEFT JOIN (SELECT n_name AS nm, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) ON nm = coalesce(m.n_name, surface)""", "kg_gold", **_ROLES)
+
+# ---------------------------------------------------------------- corpora and samples
+_NT = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+ORACLE["pool_guards"] = f"""SELECT doc_id AS ord, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY {_NT} ORDER BY doc_id) AS k FROM documents
+    WHERE {_NT} <> '' AND {_NT} NOT IN (SELECT {_NT} FROM benchmark UNION ALL SELECT {_NT} FROM documents WHERE source = 'src3')) WHERE k = 1"""
+ORACLE["uniform_sample"] = "SELECT least(count(*), 100) AS n, least(count(*), 100) AS n_distinct FROM documents"
+ORACLE["nested_fractions"] = """SELECT fraction, count(*) AS n FROM (SELECT CASE WHEN k <= 20 THEN 'small' WHEN k <= 60 THEN 'medium' WHEN k <= 120 THEN 'large' ELSE 'rest' END AS fraction
+    FROM (SELECT row_number() OVER () AS k FROM documents)) GROUP BY 1"""
+ORACLE["length_diff_filter"] = V("""SELECT n_a, n_b, count(*) AS n FROM (SELECT item_id, count(*) AS n_a FROM kg_gold GROUP BY 1) JOIN
+    (SELECT item_id, count(*) AS n_b FROM kg_pred WHERE case_id = 1 GROUP BY 1) USING (item_id) WHERE abs(n_a - n_b) <= 1 GROUP BY ALL""", "kg_pred")
+ORACLE["chunk_sequence"] = """SELECT CAST(conv_id AS VARCHAR) AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
+    md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM conversations"""
+ORACLE["coref_rewrite"] = V("""SELECT item_id, CASE WHEN item_id % 6 = 0 THEN replace(text, 'It was', replace(c_name, '#', '') || ' was') ELSE text END AS text
+    FROM kg_text JOIN order_facts USING (item_id)""", "kg_text")

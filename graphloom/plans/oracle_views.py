@@ -162,6 +162,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# Views a recursive step looks up again and again.
+MATERIAL = ("pts", "adj", "sym", "pairs", "kv", "lv", "dv", "sf")
+
+
 def with_views(select: str, *names: str, recursive: bool = False, **extra: str) -> str:
     """``WITH`` clause of the named views and everything they need, extra expressions, then the select."""
     order: list[str] = []
@@ -174,7 +178,8 @@ def with_views(select: str, *names: str, recursive: bool = False, **extra: str)
 
     for n in names:
         visit(n)
-    ctes = [f"{n} AS ({VIEWS[n][1]})" for n in order] + [f"{n} AS ({sql})" for n, sql in extra.items()]
+    ctes = [f"{n} AS ({VIEWS[n][1]})" for n in order] + [
+        f"{n} AS {'MATERIALIZED ' if n in MATERIAL else ''}({sql})" for n, sql in extra.items()]
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {select}"
 
 

@@ -89,8 +89,9 @@ def redundant_pairs(schema: DataFrame, threshold: float = 0.85, batch: int = 204
             home = pdf["home"].to_numpy()
             ok &= home[:, None] != home[None, :]
         i, j = np.nonzero(ok)
-        name = pdf["name"].to_numpy()
-        return pd.DataFrame({"a": name[i], "b": name[j], "score": s[i, j]})
+        name = pdf["name"].to_numpy(dtype=object)
+        column = lambda at: pd.Series(name[at], dtype=object)
+        return pd.DataFrame({"a": column(i), "b": column(j), "score": s[i, j]})
 
     return tasks.groupBy("x", "y").applyInPandas(pairs, "a string, b string, score double")
 
@@ -132,7 +133,8 @@ def average_linkage_clusters(schema: DataFrame, threshold: float = 0.8, limit: i
             d[j], d[:, j] = np.inf, np.inf
             size[i] += size[j]
             label[label == j] = i
-        return pd.DataFrame({"name": pdf["name"], "cluster": pdf["name"].to_numpy()[label]})
+        name = pdf["name"].to_numpy(dtype=object)
+        return pd.DataFrame({"name": name, "cluster": name[label]}, dtype=object)
 
     return rows.select("part", "ord", "name", "vec").groupBy("part").applyInPandas(link, "name string, cluster string")
 

@@ -16,9 +16,9 @@ SCHEMA_DDL = "ord bigint, name string, vec array<double>, batch bigint"
 
 
 def schema_before(spark: SparkSession, folder: str, batch: int) -> DataFrame:
-    """Schema minted by the batches before this one (a replay ignores its own earlier attempt)."""
+    """Schema minted by the batches before this one (partition pruning keeps a replay off its own attempt)."""
     try:
-        rows = spark.read.schema(SCHEMA_DDL).parquet(f"{folder}/schema/*")
+        rows = spark.read.schema(SCHEMA_DDL).parquet(f"{folder}/schema")
         return rows.filter(F.col("batch") < batch)
     except Exception as e:  # noqa: BLE001 - the first batch has no folder yet
         if "PATH_NOT_FOUND" not in str(e):
@@ -37,8 +37,7 @@ def process_batch(occurrences: DataFrame, batch: int, folder: str, embed, thresh
     fresh = schema if seed is None else schema.join(before.select("name"), "name", "left_anti")
     decided.select("position", "item_id", "relation", "pred", "is_new", "decision").write.mode("overwrite").parquet(
         f"{folder}/decisions/batch={batch}")
-    fresh.select("ord", "name", "vec", F.lit(batch).cast("bigint").alias("batch")).write.mode("overwrite").parquet(
-        f"{folder}/schema/b{batch}")
+    fresh.select("ord", "name", "vec").write.mode("overwrite").parquet(f"{folder}/schema/batch={batch}")
 
 
 def run_stream(stream: DataFrame, folder: str, embed, threshold: float = RELATION_THRESHOLD, available_now: bool = True):

@@ -956,7 +956,7 @@ def best_case(t):
 
 @query
 def column_winners(t):
-    s = A.seed_summary(runs(t))
+    s = A.seed_summary(runs(t)).withColumn("mean", F.round("mean", 6))
     return A.column_winners(s, ["mode", "metric"], "mean").select("mode", "metric", "case", "winner")
 
 

@@ -660,7 +660,7 @@ ORACLE["mode_gap"] = V("""SELECT a.metric, a."case" AS case_low, b."case" AS cas
 ORACLE["best_case"] = V("""SELECT run, arg_max("case", value) FILTER (WHERE "case" <> 'case1_embed') AS best, round(max(value) FILTER (WHERE "case" <> 'case1_embed'), 6) AS best_value,
     round(max(value) FILTER (WHERE "case" = 'case1_embed'), 6) AS baseline, round(max(value) FILTER (WHERE "case" <> 'case1_embed') - max(value) FILTER (WHERE "case" = 'case1_embed'), 6) AS delta
     FROM (SELECT mode * 10 + seed AS run, "case", value FROM ru) GROUP BY 1""", **_RUNS)
-ORACLE["column_winners"] = V('SELECT mode, metric, "case", mean = max(mean) OVER (PARTITION BY mode, metric) AS winner FROM su', **_RUNS)
+ORACLE["column_winners"] = V('SELECT mode, metric, "case", round(mean, 6) = max(round(mean, 6)) OVER (PARTITION BY mode, metric) AS winner FROM su', **_RUNS)
 ORACLE["run_difference"] = V("""SELECT CASE WHEN a.item_id IS NULL THEN 'only_b' WHEN b.item_id IS NULL THEN 'only_a' WHEN a.r = b.r THEN 'same' ELSE 'changed' END AS status,
     count(*) AS n FROM (SELECT * FROM kg_pred WHERE case_id = 1) a FULL JOIN (SELECT * FROM kg_pred WHERE case_id = 2) b ON a.item_id = b.item_id AND a.pos = b.pos GROUP BY 1""", "kg_pred")
 ORACLE["stage_tokens"] = """SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS seconds, round(sum(value) / (SELECT count(*) FROM orders), 6) AS per_item,

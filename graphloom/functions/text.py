@@ -80,12 +80,12 @@ def norm_entity(c: Column) -> Column:
 
 def norm_relation(c: Column) -> Column:
     """Relation name as lower-case words (camel case, ``_``, ``-`` and ``/`` split)."""
-    return F.lower(squeeze(F.translate(split_camel(c), "_-/", "   ")))
+    return F.lower(F.trim(F.regexp_replace(split_camel(c), r"(?U)[\s_/-]+", " ")))
 
 
 def norm_open(c: Column) -> Column:
     """Surface text for open-triple comparison: quotes off, camel case and ``_``/``-`` split."""
-    return F.lower(squeeze(F.translate(split_camel(strip_quotes(c)), "_-", "  ")))
+    return F.lower(F.trim(F.regexp_replace(split_camel(strip_quotes(c)), r"(?U)[\s_-]+", " ")))
 
 
 def norm_token(c: Column) -> Column:

@@ -248,7 +248,7 @@ def greedy_match_triples(t):
 
 @query
 def error_funnel(t):
-    s = E.error_funnel(D.kg_gold(t), D.kg_trace(t))
+    s = E.error_funnel(D.kg_gold(t), D.kg_trace(t), D.CASE_IDS)
     return s.select("case_id", "n_gold", "OIE_MISS", "RETRIEVAL_MISS", "CANON_MISS", "CORRECT", "OIE_MISS_relaxed",
                     r6("recovered_pct"), r6("retr_given_recovered_pct"), r6("canon_given_retrieved_pct"))
 

@@ -45,7 +45,7 @@ def read_structured(df: DataFrame, triples: str = "triples") -> DataFrame:
 
 def read_hotpot(spark: SparkSession, path: str) -> DataFrame:
     """Question file (one JSON array) as chunks ``(q_id, para_index, title, text, is_supporting)``."""
-    raw = spark.read.option("multiLine", True).option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     kind = ("array<struct<_id:string,question:string,answer:string,supporting_facts:array<array<string>>,"
             "context:array<array<string>>>>")
     q = raw.select(F.explode(F.from_json("value", kind)).alias("q")).select("q.*")

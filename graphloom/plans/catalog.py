@@ -1018,16 +1018,16 @@ def most_specific_type(t):
         F.col("c_name").alias("entity"), F.col("n_name").alias("cls"))
     types = t["region"].select(F.concat(F.lit("T_"), "r_name").alias("type"), F.col("r_name").alias("cls")).union(
         t["region"].select(F.lit("T_Place"), F.lit("Place")).distinct()).union(
-        t["nation"].filter("n_nationkey % 2 = 0").select(F.concat(F.lit("T_"), "n_name"), "n_name"))
+        t["nation"].filter("n_regionkey < 3").select(F.concat(F.lit("T_"), "n_name"), "n_name"))
     return KB.most_specific_type(ents, types, KB.ancestor_closure(class_tree(t)))
 
 
 @query
 def property_resolution(t):
     rel = t["part"].select(F.col("p_name").alias("relation")).distinct()
-    labels = t["part"].filter("p_partkey % 3 = 0").select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    labels = t["part"].filter("p_name like '%ring%'").select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
                                                          .alias("prop"), F.col("p_partkey").alias("ord"))
-    alias = t["part"].filter("p_partkey % 3 = 1").select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    alias = t["part"].filter("p_name like '%widget%'").select(F.col("p_name").alias("name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
                                                         .alias("prop"), F.col("p_partkey").alias("ord"))
     con = t["part"].filter("p_size > 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("prop"))
     return KB.resolve_properties(rel, labels, alias, con)
@@ -1042,7 +1042,7 @@ def kb_tables(t):
     s = KB.surface_roles(D.kg_gold(t)).select("surface")
     c = lambda df, name, kid, order: df.select(F.col(name).alias("name"), F.concat(F.lit("Q"), F.col(kid).cast("string")).alias("kb_id"),
                                                F.col(order).cast("bigint").alias("ord"))
-    labels = c(t["customer"].filter("c_custkey % 2 = 0"), "c_name", "c_custkey", "c_custkey")
+    labels = c(t["customer"].filter("c_mktsegment < 'H'"), "c_name", "c_custkey", "c_custkey")
     alias = c(t["part"], "p_name", "p_partkey", "p_partkey")
     search = c(t["nation"], "n_name", "n_nationkey", "n_nationkey")
     types = t["part"].select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("entity"),
@@ -1065,7 +1065,7 @@ def redirect_types(t):
     s = KB.surface_roles(D.kg_gold(t)).select("surface")
     classes = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("name"), F.col("n_name").alias("cls"))
-    moved = t["customer"].filter("c_custkey % 3 = 0").join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(
+    moved = t["customer"].filter("c_mktsegment = 'HOUSEHOLD'").join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_name").alias("name"), F.col("n_name").alias("target"))
     types = t["region"].select(F.concat(F.lit("T_"), "r_name").alias("type"), F.col("r_name").alias("cls"))
     r = KB.redirect_types(s, classes, moved, types, KB.ancestor_closure(class_tree(t)))

@@ -681,17 +681,17 @@ ORACLE["kb_slot_status"] = V("""SELECT 'tail' AS slot, status, count(*) AS n FRO
     FROM (SELECT c_name, CASE WHEN c_custkey % 9 = 0 THEN 'Place' ELSE n_name END AS cls FROM customer JOIN nation ON c_nationkey = n_nationkey) s
     JOIN (SELECT c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN n_name WHEN c_mktsegment <> 'MACHINERY' THEN r_name END AS al
           FROM customer JOIN nation ON n_nationkey = c_custkey % 25 JOIN region ON n_regionkey = r_regionkey) a USING (c_name)) GROUP BY 2""", recursive=True, **_TREE)
-ORACLE["most_specific_type"] = """SELECT c_name AS entity, CASE WHEN n_nationkey % 2 = 0 THEN 'T_' || n_name ELSE 'T_' || r_name END AS type
+ORACLE["most_specific_type"] = """SELECT c_name AS entity, CASE WHEN n_regionkey < 3 THEN 'T_' || n_name ELSE 'T_' || r_name END AS type
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 ORACLE["property_resolution"] = """SELECT relation, prop, coalesce(via, 'none') AS via FROM (SELECT DISTINCT p_name AS relation FROM part) LEFT JOIN (
     SELECT name AS relation, via, arg_min(prop, (NOT con, ord)) AS prop FROM (SELECT p_name AS name, 'P' || p_partkey AS prop, p_partkey AS ord, p_size > 40 AS con,
-        CASE WHEN p_partkey % 3 = 0 THEN 'label' ELSE 'alias' END AS via FROM part WHERE p_partkey % 3 IN (0, 1))
-      WHERE via = 'label' OR name NOT IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0) GROUP BY 1, 2) USING (relation)"""
+        CASE WHEN p_name LIKE '%ring%' THEN 'label' ELSE 'alias' END AS via FROM part WHERE p_name LIKE '%ring%' OR p_name LIKE '%widget%')
+      WHERE via = 'label' OR name NOT IN (SELECT p_name FROM part WHERE p_name LIKE '%ring%') GROUP BY 1, 2) USING (relation)"""
 _ROLES = dict(ro="""SELECT surface, bool_or(h) AS h, bool_or(NOT h) AS t FROM (SELECT trim(h) AS surface, true AS h FROM kg_gold UNION ALL SELECT trim(t), false FROM kg_gold) GROUP BY 1""")
 ORACLE["surface_roles"] = V("SELECT CASE WHEN h AND t THEN 'head,tail' WHEN h THEN 'head' ELSE 'tail' END AS roles, count(*) AS n FROM ro GROUP BY 1", "kg_gold", **_ROLES)
 _LINK = dict(
     _ROLES,
-    ca="""SELECT c_name AS surface, 'Q' || c_custkey AS kb_id, c_custkey AS ord, 'label' AS via FROM customer WHERE c_custkey % 2 = 0
+    ca="""SELECT c_name AS surface, 'Q' || c_custkey AS kb_id, c_custkey AS ord, 'label' AS via FROM customer WHERE c_mktsegment < 'H'
         UNION ALL SELECT p_name, 'Q' || p_partkey, p_partkey, 'alias' FROM part UNION ALL SELECT n_name, 'Q' || n_nationkey, n_nationkey, 'search' FROM nation""",
     ty="SELECT 'Q' || p_partkey AS kb_id, CASE WHEN p_size > 45 THEN p_type END AS type, true AS classed FROM part",
     bst="""SELECT surface, count(*) AS n, any_value(via) AS via, arg_min(kb_id, (type IS NULL, classed IS NULL, ord)) AS kb_id,
@@ -705,7 +705,7 @@ ORACLE["link_report"] = V("""SELECT status, count(*) AS n, round((SELECT count(*
     AS entity_coverage FROM lk GROUP BY 1""", "kg_gold", **_LINK)
 ORACLE["redirect_types"] = V("""SELECT surface, CASE WHEN nm IS NOT NULL THEN 'T_' || r_name END AS schema_type, CASE WHEN m.c_name IS NOT NULL THEN nm END AS via_redirect,
     CASE WHEN regexp_matches(surface, '^[-+]?[0-9.,]+(\\s*\\(.*\\))?$') THEN 'literal' WHEN nm IS NULL THEN 'unlinked' ELSE 'linked' END AS status
-    FROM ro LEFT JOIN (SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0) m ON m.c_name = surface
+    FROM ro LEFT JOIN (SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'HOUSEHOLD') m ON m.c_name = surface
     LEFT JOIN (SELECT n_name AS nm, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) ON nm = coalesce(m.n_name, surface)""", "kg_gold", **_ROLES)
 
 # ---------------------------------------------------------------- corpora and samples

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,16 +23,38 @@ def build_session(app: str = "graphloom", cores: str = "*", shuffle_partitions:
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="graphloom-ckpt-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that their Python workers find it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graphloom_shipped", False):
+        return spark
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), "graphloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("graphloom", os.path.relpath(full, top)))
+    sc.addPyFile(path)
+    sc._graphloom_shipped = True
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a fresh folder only where none is set."""
+    """Use the shared folder that the session names; only a single local JVM may go without and gets a fresh one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
 
 

@@ -1,14 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
 A paragraph is a line, or 200 characters of a longer one. Its 64-bit digest goes into one cell of each of three tables;
-a cell holds a count, the xor of its digests and the xor of their check values. The sketch of one version is subtracted
-from the other's: what both have cancels, and peeling reads the rest off cells that hold one digest, removing it from
-its other cells, until nothing is left. Each part of a text's digests, about ``PER_PART`` of them, has a sketch of its
-own; a part that does not peel down to nothing is tried again with a sketch twice as large, up to ``SIZES[-1]`` cells
-a table, beyond which its digests count as all different. Likeness is the Jaccard similarity of the paragraph sets, from
-their sizes and the number of recovered differences.
+a cell holds a count, the xor of its digests and the xor of their check values. Cells are rows of which only touched
+ones exist, and sketches are built, subtracted and peeled by sums and xors over ``(document, part, cell)``.
 
-``fingerprint`` is the sketch of a whole text in ``4`` cells a table with its number of paragraphs, as text.
+The sketch of one version is subtracted from the other's: what both have cancels. Peeling reads a digest off each cell
+of one table that holds just one, takes it out of its other two cells, and goes on with the next table. Each part of a
+pair's digests, about ``PER_PART`` of them, has a sketch of its own. Parts that do not peel down to nothing are tried
+again with four times the cells, until none is left; likeness is the Jaccard similarity of the two paragraph sets,
+from their sizes and the number of recovered differences.
+
+``fingerprint`` is the sketch of a whole text in four cells a table with its number of paragraphs, as text.
 
 The next document in descending order of id is found inside blocks of consecutive ids (one shuffle of the texts); only
 a block's last document looks up the first of the next block that has any. Documents that repeat an id follow each
@@ -24,9 +26,8 @@ from .common import cut, sha_hex, text_key
 
 PARAGRAPH = "[^\\n]{1,200}"
 BLOCK_BITS, FEW = 8, 4096
-PER_PART, SIZES, ROUNDS = 6, (4, 8, 16, 64), 8
-_CELL = "struct<n:int,k:bigint,c:bigint>"
-_STATE = f"struct<cells:array<{_CELL}>,left:array<bigint>,right:array<bigint>>"
+PER_PART, FIRST_SIZE, ROUNDS, PRINT_SIZE = 16, 32, 6, 4
+DIGESTS_PER_TASK = 200_000
 
 
 def digests(text: Column) -> Column:
@@ -34,77 +35,71 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))))
 
 
-# The functions below give SQL text: nested lambdas are far quicker to parse than to build column by column.
-
-
-def _let(name: str, value: str, body: str) -> str:
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
-def _check(k: str) -> str:
-    return f"shiftrightunsigned(xxhash64({k}, 77), 32)"
-
+def _check(k: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(k, F.lit(77)), 32)
 
-def _spots(k: str, size: int) -> str:
-    return ", ".join(f"cast(pmod(xxhash64({k}, {t}, {size}), {size}) + {t * size} as int) as p{t}" for t in range(3))
 
+def _spot(k: Column, size: int, t: int) -> Column:
+    return (F.pmod(F.xxhash64(k, F.lit(t), F.lit(size)), F.lit(size)) + t * size).cast("int")
 
-def _fold(entries: str, i: str, start: str, sign: str, one: str) -> str:
-    """``start`` with the entries of cell ``i`` put in or taken out."""
-    return (f"aggregate(filter({entries}, e -> e.p0 = {i} or e.p1 = {i} or e.p2 = {i}), {start}, "
-            f"(s, e) -> struct(s.n {sign} {one} as n, s.k ^ e.k as k, s.c ^ e.c as c))")
 
+def _sum_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys, "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).filter(
+        "n <> 0 or k <> 0 or c <> 0")
 
-def sketch(keys: str, size: int) -> str:
-    """The cells of a set of digests."""
-    entries = f"transform({keys}, k -> struct(k as k, {_spots('k', size)}, {_check('k')} as c))"
-    cell = _fold("es", "i", "struct(0 as n, 0L as k, 0L as c)", "+", "1")
-    return _let("es", entries, f"transform(sequence(0, {3 * size - 1}), i -> {cell})")
 
+def sketch(entries: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``(*keys, k, sign)`` -> ``(*keys, cell, n, k, c)``: cells of the digests; with signs, of a difference of sets."""
+    spots = F.explode(F.array(*[_spot(F.col("k"), size, t) for t in range(3)]))
+    return _sum_cells(entries.select(*keys, "k", F.col("sign").alias("n"), _check(F.col("k")).alias("c"), spots.alias("cell")), keys)
 
-def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> struct(x.n - y.n as n, x.k ^ y.k as k, x.c ^ y.c as c))"
 
+def peel(cells: DataFrame, keys: list[str], size: int, rounds: int = ROUNDS) -> DataFrame:
+    """Cells that are left after ``rounds`` turns of the tables, and per key a cell -1 with the number of digests found.
 
-def peel(cells: str, size: int) -> str:
-    """Digests only left and only right, or null if the cells do not peel down to nothing."""
-    pure = f"filter(acc.cells, c -> abs(c.n) = 1 and {_check('c.k')} = c.c)"
-    found = f"array_distinct(transform({pure}, c -> struct(c.k as k, c.n as n, {_spots('c.k', size)}, c.c as c)))"
-    left = f"transform(acc.cells, (c, i) -> {_fold('f', 'i', 'c', '-', 'e.n')})"
-    side = "transform(filter(f, e -> e.n = {}), e -> e.k)".format
-    step = (f"case when size(f) = 0 then acc else struct({left} as cells, concat(acc.left, {side(1)}) as left, "
-            f"concat(acc.right, {side(-1)}) as right) end")
-    start = f"cast(struct({cells} as cells, array() as left, array() as right) as {_STATE})"
-    end = f"aggregate(sequence(1, {ROUNDS}), {start}, (acc, r) -> {_let('f', found, step)})"
-    done = "case when forall(z.cells, c -> c.n = 0 and c.k = 0L and c.c = 0L) then struct(z.left as left, z.right as right) end"
-    return _let("z", end, done)
-
-
-def difference(a: str, b: str) -> str:
-    """Of two digest sets those only in ``a`` (``left``) and only in ``b`` (``right``), an entry for each part.
-
-    Digests are dealt into parts in two steps, so that a long text costs its length times the root of its parts.
+    A table at a time, as a digest stands in one cell of each and is thus found once.
     """
-    tries = ", ".join(peel(subtract(sketch("x2", s), sketch("y2", s)), s) for s in SIZES)
-    part = f"coalesce({tries}, struct(x2 as left, y2 as right))"
-    deal = lambda keys, bits, no: f"filter({keys}, k -> pmod(shiftrightunsigned(k, {bits}), w) = {no})"
-    inner = _let("x2", deal("x1", 44, "v"), _let("y2", deal("y1", 44, "v"), part))
-    outer = _let("x1", deal(a, 24, "u"), _let("y1", deal(b, 24, "u"), f"transform(sequence(0, w - 1), v -> {inner})"))
-    width = f"cast(greatest(1, ceil(sqrt((size({a}) + size({b})) / {PER_PART}))) as int)"
-    return _let("w", width, f"flatten(transform(sequence(0, w - 1), u -> {outer}))")
+    for r in range(rounds):
+        t = r % 3
+        pure = (F.abs("n") == 1) & (F.col("c") == _check(F.col("k"))) & (F.col("cell") >= t * size) & (F.col("cell") < (t + 1) * size)
+        taken = [F.struct(_spot(F.col("k"), size, o).alias("cell"), (-F.col("n")).alias("n"), "k", "c") for o in range(3) if o != t]
+        found = F.struct(F.lit(-1).alias("cell"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+        row = F.struct("cell", "n", "k", "c")
+        cells = _sum_cells(cells.select(*keys, F.explode(F.when(pure, F.array(found, *taken)).otherwise(F.array(row))).alias("r")).select(*keys, "r.*"), keys)
+    return cells
 
 
-def likeness(a: str, b: str) -> Column:
-    count = f"aggregate({difference(a, b)}, 0, (n, x) -> n + size(x.left) + size(x.right))"
-    total = f"(size({a}) + size({b}))"
-    return F.expr(f"case when {total} = 0 then 1.0d when size({a}) = 0 or size({b}) = 0 then 0.0d else "
-                  + _let("d", count, f"cast({total} - d as double) / ({total} + d)") + " end")
+def differences(pairs: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """``(*keys, a, b)`` with digest sets -> ``(*keys, d)``: the number of digests in which they differ.
 
-
-def as_text(keys: str) -> Column:
-    """The fingerprint: number of paragraphs and the cells of a small sketch."""
-    cells = f"transform({sketch(keys, 4)}, c -> concat_ws('.', cast(c.n as string), lower(hex(c.k)), lower(hex(c.c))))"
-    return F.expr(f"concat_ws('-', cast(size({keys}) as string), {cells})")
+    Rows stay in the partition of their keys: a sketch, its peeling and the verdict on a part need no further shuffle.
+    """
+    parts = F.greatest(F.lit(1), F.ceil((F.size("a") + F.size("b")) / PER_PART).cast("int"))
+    signed = lambda c, s: F.transform(c, lambda k: F.struct(k.alias("k"), F.lit(s).alias("sign")))
+    entries = pairs.repartition(tasks, *keys).select(*keys, parts.alias("parts"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("e")).select(
+        *keys, F.pmod(F.xxhash64("e.k", F.lit(5)), "parts").cast("int").alias("part"), "e.k", "e.sign")
+    within, size, settled = [*keys, "part"], FIRST_SIZE, []
+    while True:
+        left = peel(sketch(entries, within, size), within, size)
+        told = cut(left.groupBy(*within).agg(F.sum(F.when(F.col("cell") == -1, F.col("n")).otherwise(0)).alias("d"),
+                                             F.max(F.col("cell") >= 0).alias("stuck")))
+        settled.append(told.filter(~F.col("stuck")).select(*keys, "d"))
+        stuck = told.filter("stuck").select(*within)
+        if stuck.isEmpty():
+            break
+        entries, size = entries.join(stuck, within, "left_semi"), 4 * size
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return out.groupBy(*keys).agg(F.sum("d").alias("d"))
+
+
+def as_text(sets: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """``(*keys, a)`` with digest sets -> ``(*keys, print)``: the number of paragraphs and the cells of a small sketch."""
+    entries = sets.repartition(tasks, *keys).select(*keys, F.explode("a").alias("k"), F.lit(1).alias("sign"))
+    cell = F.struct("cell", F.concat_ws(".", F.col("cell").cast("string"), F.col("n").cast("string"), F.lower(F.hex("k")), F.lower(F.hex("c"))).alias("s"))
+    return sketch(entries, keys, PRINT_SIZE).groupBy(*keys).agg(F.concat_ws("-", F.transform(
+        F.array_sort(F.collect_list(cell)), lambda x: x["s"])).alias("print"))
 
 
 def next_lower(ids: DataFrame) -> DataFrame:
@@ -133,14 +128,33 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     order_of = cut(next_lower(blocks.select(F.col("block").alias("id"))).select(F.col("id").alias("block"), F.col("next").alias("after")))
     first = placed.filter("place = 1").select(F.col("block").alias("after"), F.col("text").alias("first_text"), F.col("own").alias("first_own"))
     last = placed.filter("next_text is null").join(order_of, "block").join(first, "after")
-    columns = ["doc_id", "text", "own"]
+    columns = ["block", "place", "doc_id", "text", "own"]
     both = placed.filter("next_text is not null").select(*columns, "next_text", "next_own").unionByName(
         last.select(*columns, F.col("first_text").alias("next_text"), F.col("first_own").alias("next_own")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = both.select("doc_id", "own", "next_own", n.cast("long").alias("n_chars"), F.concat(
+    edited = both.select("block", "place", "doc_id", "own", "next_own", n.cast("long").alias("n_chars"), F.concat(
         F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)).alias("edited"))
     edited = edited.withColumn("changed", digests(F.col("edited")))
-    return edited.select("doc_id", "n_chars", sha_hex(F.col("edited")).alias("edited_sha256"), as_text("own").alias("fingerprint"),
-                         as_text("changed").alias("edited_fingerprint"), likeness("own", "changed").alias("near_edited"),
-                         likeness("own", "next_own").alias("near_next"))
+    light = cut(edited.select("block", "place", "doc_id", "n_chars", sha_hex(F.col("edited")).alias("edited_sha256"), "own", "changed", "next_own"))
+    total = light.agg(F.sum(F.size("own") + F.size("changed") + F.size("next_own"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DIGESTS_PER_TASK))
+    keys = ["block", "place", "what"]
+    versions = F.explode(F.array(F.struct(F.lit(0).alias("what"), F.col("own").alias("a")), F.struct(F.lit(1).alias("what"), F.col("changed").alias("a"))))
+    pairs = F.explode(F.array(F.struct(F.lit(2).alias("what"), F.col("own").alias("a"), F.col("changed").alias("b")),
+                              F.struct(F.lit(3).alias("what"), F.col("own").alias("a"), F.col("next_own").alias("b"))))
+    prints = as_text(light.select("block", "place", versions.alias("v")).select("block", "place", "v.*"), keys, tasks)
+    apart = differences(light.select("block", "place", pairs.alias("v")).select("block", "place", "v.*"), keys, tasks)
+    pick = lambda w, c: F.max(F.when(F.col("what") == w, F.col(c)))
+    facts = prints.withColumn("d", F.lit(None).cast("long")).unionByName(apart.withColumn("print", F.lit(None).cast("string"))).groupBy("block", "place").agg(
+        pick(0, "print").alias("p0"), pick(1, "print").alias("p1"), pick(2, "d").alias("d2"), pick(3, "d").alias("d3"))
+    out = light.join(facts, ["block", "place"], "left")
+
+    def near(other: str, d: str) -> Column:
+        both_sizes = F.size("own") + F.size(other)
+        differ = F.coalesce(d, F.lit(0))
+        return F.when(both_sizes == 0, 1.0).otherwise((both_sizes - differ) / (both_sizes + differ))
+
+    told = lambda keys, p: F.concat_ws("-", F.size(keys).cast("string"), F.col(p))
+    return out.select("doc_id", "n_chars", "edited_sha256", told("own", "p0").alias("fingerprint"), told("changed", "p1").alias("edited_fingerprint"),
+                      near("changed", "d2").alias("near_edited"), near("next_own", "d3").alias("near_next"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, bpe, fingerprints, mixing, near_duplicates, substrings, topk, toxicity, url_filter
+from . import archives, bpe, fingerprints, licenses, mixing, near_duplicates, substrings, topk, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
@@ -54,13 +58,13 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_near_duplicates, op4_warc, op6_toxicity, op7_substrings,
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_near_duplicates, op4_warc, op5_license_scan, op6_toxicity, op7_substrings,
                                    op8_fingerprints, op9_mixing, op10_url_filter)}
 
 _OP2 = """
-WITH v AS (SELECT vec_id, min(list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, min([floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 GROUP BY vec_id),
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
@@ -79,4 +83,4 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n
 FROM w LEFT JOIN y ON y.doc_id = w.doc_id
 """
 
-ORACLE = {"op2_topk": _OP2, "op7_substrings": _OP7}
+ORACLE = {"op2_topk": _OP2, "op5_license_scan": licenses.duckdb_sql(), "op7_substrings": _OP7}

@@ -9,7 +9,8 @@ that such a magic separates across two ranges are handed on, and joined per file
 The writer deduplicates payloads: of equal payloads of at least ``least`` bytes the one of the smallest page id is a
 ``response`` record, the others are ``revisit`` records that refer to it and hold no payload. Members are written by
 Spark's text writer, whose separator is the zero byte that ends each member anyway (the highest byte of its length);
-a record of 16 MiB or more, whose last byte is another, is followed by one byte of zero padding.
+a record of 16 MiB or more, whose last byte is another, is followed by one byte of zero padding. Archives to be read
+must not be named ``.gz``: Spark's text source would inflate them itself, whole.
 
 Defined results: null html is an empty payload; a null url leaves the target out; a page without id is a ``response``;
 rows that repeat the smallest page id of a payload are all ``response``. A damaged record stops the reader.
@@ -171,8 +172,7 @@ def _join_loose(rows: pd.DataFrame) -> pd.DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives under ``path``; ``payload`` is null for revisits."""
-    raw = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option(
-        "io.compression.codecs", "org.apache.hadoop.io.compress.BZip2Codec").text(path)
+    raw = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     rows = raw.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"),
                       F.col("_metadata.file_block_start").alias("start")).mapInArrow(_read, f"{_SCHEMA}, {_LOOSE}")
     columns = [x.split()[0] for x in _SCHEMA.split(", ")]

@@ -126,25 +126,10 @@ def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(places, pa.int32())], ["digest", "key", "at"])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, for the one shuffle that carries them."""
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for part in W.pieces(batches, "text"):
-        data, offsets = W.text_bytes(part.column("text"))
-        raw = memoryview(data)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(
-            [squeeze.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())],
-            ["doc_id", "key", "packed"])
-
-
-def _small(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    yield from W.pieces(batches, column, most)
-
-
 def _encode_owned(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, c = zstandard.ZstdDecompressor(), coder(path)
-        for part in _small(batches, "packed", 1 << 20):
+        for part in W.pieces(batches, "packed", 1 << 20):
             digests, ids = [], []
             for packed, at in zip(part.column("packed").to_pylist(), part.column("owned").to_pylist(), strict=True):
                 text = unpack.decompress(packed)
@@ -203,7 +188,7 @@ def _bound(text: bytes, bounds: np.ndarray, a: int, b: int, last: bool) -> tuple
 def _finish(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, c = zstandard.ZstdDecompressor(), coder(path)
-        for part in _small(batches, "packed", 1 << 20):
+        for part in W.pieces(batches, "packed", 1 << 20):
             n, sha, back, kept = [], [], [], []
             for packed, given in zip(part.column("packed").to_pylist(), part.column("given").to_pylist(), strict=True):
                 text = unpack.decompress(packed)
@@ -239,7 +224,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     shared = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("owner"))
                  .filter("n > 1").select("digest", "owner"))
     holders = cut(chunks.join(shared, "digest").select("digest", "key", "at", (F.struct("key", "at") == F.col("owner")).alias("own")))
-    packed = rows.mapInArrow(_pack, "doc_id long, key binary, packed binary")
+    packed = rows.mapInArrow(W.pack, "doc_id long, key binary, packed binary")
     owned = holders.filter("own").groupBy("key").agg(F.collect_list("at").alias("owned"))
     coded = cut(packed.join(owned, "key").mapInArrow(_encode_owned(path), "digest binary, ids binary").dropDuplicates(["digest"]))
     given = holders.join(coded, "digest").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("given"))

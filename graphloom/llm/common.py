@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.session import cut_lineage, ensure_checkpoint_dir
 
-SEPARATORS = " \t\n\v\f\r"
+BITMAP_BITS = 1 << 26
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,3 +44,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and the executors share."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """Bits of hashed ids, about sixteen an id but ``BITMAP_BITS`` (8 MiB) at most; built by aggregation.
+
+    It preselects rows during a scan. A false hit has to be harmless to the caller; there are no false misses.
+    """
+    bits, count = 1 << 16, ids.count()
+    while bits < min(16 * count, BITMAP_BITS):
+        bits <<= 1
+    spot = F.xxhash64(column)
+    rows = ids.select((F.pmod(spot, F.lit(bits)) / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64L) as int))").alias("b")) \
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return out
+
+
+def in_bitmap(words: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Whether the ids of these 64-bit hashes may be in the bitmap."""
+    at = spot % (len(words) * 64)
+    return (words[at // 64] >> (spot % 64)) & 1 == 1

@@ -15,7 +15,8 @@ Documents whose sets of five-word shingles overlap by ``percent`` or more are li
   bitmap of bounded size preselects those during the scan, and its false positives only cost rows.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; fewer than five words are one
-shingle; rows that repeat a ``doc_id`` are one node; a null ``doc_id`` stands alone (``component_id`` null, kept).
+shingle; rows that repeat a ``doc_id`` are judged each by its own text (two texts that are both the first of their kind
+under one id are one node); a null ``doc_id`` stands alone (``component_id`` null, kept).
 """
 
 from __future__ import annotations
@@ -29,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import cut
+from .common import bitmap, cut, in_bitmap
 from .grouping import components
 
 SHINGLE, SLOTS, ROWS = 5, 96, 4
 PERCENT = 85
-BITMAP_BITS = 1 << 26
 BLOCK, LOWEST = 1024, 512
 SPREAD = 4.75
 
@@ -114,31 +114,14 @@ def describe(docs: DataFrame) -> DataFrame:
         _describe, "doc_id long, n long, digest binary, bands array<long>, sig binary")
 
 
-def _bitmap(nodes: DataFrame, column: str) -> np.ndarray:
-    """Bits of the nodes' hashed ids; built by aggregation, at most ``BITMAP_BITS`` of them reach the driver."""
-    bits = 1 << 16
-    count = nodes.count()
-    while bits < min(16 * count, BITMAP_BITS):
-        bits <<= 1
-    at = F.expr(f"pmod(xxhash64({column}), {bits}L)")
-    rows = nodes.select((at / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64L) as int))").alias("b")) \
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
-    return out
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
     """``(node, full)``: the sorted shingle set, or its ``most`` smallest, of each document that may be in ``nodes``."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(_bitmap(nodes, "node"))
+    held = spark.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held.value
         for batch in batches:
-            spot = batch.column("spot").to_numpy(zero_copy_only=False)
-            at = spot % (len(words) * 64)
-            hit = (words[at // 64] >> (spot % 64)) & 1 == 1
+            hit = in_bitmap(held.value, batch.column("spot").to_numpy(zero_copy_only=False))
             for part in W.pieces(iter([batch.filter(pa.array(hit))]), "text"):
                 hashes, doc = shingle_sets(part.column("text"))
                 edges = np.searchsorted(doc, np.arange(part.num_rows + 1))

@@ -1,13 +1,16 @@
 """Removal of word windows that already start in a document with a smaller id.
 
-1. *Count-min prefilter.* A window's key in the sketch is the smallest hash among its five-word runs, so a document
+1. *Copies.* A text that equals one of a smaller id loses all its words (if it has a window at all), and adds no window
+   that the first has not. A scan skips copies by a bounded bitmap, and a second one of the first's false hits keeps
+   those from being skipped; a copy that is not skipped gives the same result the long way.
+2. *Count-min prefilter.* A window's key in the sketch is the smallest hash among its five-word runs, so a document
    adds about a fifth as many keys as it has windows. Each task counts documents per cell up to two, and sends its
    sketch in sparse segments; a segment is merged in one task as two bitmaps. Equal windows have equal keys, so a
    window that two documents share is never counted below two: nothing is lost, some windows are overestimated.
-2. *Exact grouping.* Only windows whose cells all count two are grouped, by 128 bits of their word sequence, with the
+3. *Exact grouping.* Only windows whose cells all count two are grouped, by 96 bits of their word sequence, with the
    smallest and largest document id (combined before the shuffle). Repeated ones meet their occurrences in an equi-join
-   between two written tables, which adaptive execution splits where a passage is very common.
-3. Removed starts go back to their document, whose words are then cut.
+   with the written result, which adaptive execution splits where a passage is very common.
+4. Removed starts go back to their document, whose words are then cut.
 
 The merged sketch is the only thing sent to all tasks: two rows of at most ``2 ** LARGEST`` bits (64 MiB together) at
 any input size. Beyond that size it filters less and more windows take the exact way; results do not change.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import cut, text_key
+from .common import bitmap, cut, in_bitmap, text_key
 
 WINDOW, GRAM = 13, 5
 SEGMENT = 22
@@ -64,7 +67,7 @@ def _bits(docs: DataFrame) -> int:
     return min(LARGEST, max(SMALLEST, int(size * 16 / 24).bit_length()))
 
 
-def sketch(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> tuple[int, dict[int, np.ndarray]]:
+def sketch(docs: DataFrame, skip, window: int = WINDOW, bits: int | None = None) -> tuple[int, dict[int, np.ndarray]]:
     """Cells that at least two documents reach: ``bits`` and, per segment of both rows, a bitmap."""
     bits = bits or _bits(docs)
     per_row = 1 << (bits - SEGMENT)
@@ -82,7 +85,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> tu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for part in W.pieces(batches, "text"):
+        for part in W.pieces(skip(batches), "text"):
             _, doc, key, *_ = _windows(part.column("text"), window)
             ids = part.column("doc_id").to_numpy()
             order = np.lexsort((key, ids[doc]))
@@ -111,7 +114,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> tu
         if now is not None:
             yield _segment(now, two)
 
-    merged = _ready(docs).mapInArrow(count, "segment int, cells binary, twice binary") \
+    merged = docs.mapInArrow(count, "segment int, cells binary, twice binary") \
         .repartition(min(2 * per_row, 64), "segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
     return bits, {r["segment"]: np.frombuffer(r["twice"], np.uint8) for r in merged.toLocalIterator()}
 
@@ -123,18 +126,54 @@ def _segment(number: int, cells: np.ndarray) -> pa.RecordBatch:
 
 def _ready(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").select(
-        F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string"))
+        F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string"),
+        F.xxhash64(F.col("doc_id").cast("long"), text_key(F.col("text"))).alias("spot"))
 
 
-def occurrences(docs: DataFrame, held, bits: int, window: int) -> DataFrame:
-    """``(h1, h2, doc_id, key, at)`` of the windows that the broadcast sketch ``held`` estimates repeated."""
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, key, spot)`` of all rows and of those whose whole text a smaller id has."""
+    rows = cut(_ready(docs).select("doc_id", "key", "spot", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("same")))
+    first = cut(rows.groupBy("same").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("same", "lo"))
+    return rows.drop("same"), cut(rows.join(first, "same").filter("doc_id > lo").select("doc_id", "key", "spot").distinct())
+
+
+def _skipping(rows: DataFrame, known: DataFrame):
+    """A filter of scanned batches that lets every row pass that is no copy, and few copies."""
+    context = rows.sparkSession.sparkContext
+    one = bitmap(known, "spot")
+    held = context.broadcast(one)
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(held.value, _rehash(batch))))
+
+    def _rehash(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("again").to_numpy()
+
+    again = rows.withColumn("again", F.xxhash64("spot"))
+    false = again.mapInArrow(maybe, again.schema).join(known.select("spot"), "spot", "left_anti").select("spot").distinct()
+    other = context.broadcast(bitmap(cut(false), "spot"))
+
+    def skip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch.column("again").to_numpy()
+            yield batch.filter(pa.array(~in_bitmap(held.value, spot) | in_bitmap(other.value, spot)))
+
+    return skip
+
+
+def occurrences(docs: DataFrame, skip, held, bits: int, window: int) -> DataFrame:
+    """``(h1, h2, doc_id, at)`` of the windows that the broadcast sketch ``held`` estimates repeated.
+
+    ``at`` is the start word, with 24 bits of the text's key below it, which tell apart texts of one id.
+    """
     per_row = 1 << (bits - SEGMENT)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = held.value
         rows = [np.concatenate([segments.get(r * per_row + s, np.zeros((1 << SEGMENT) // 8, np.uint8)) for s in range(per_row)])
                 for r in (0, 1)]
-        for part in W.pieces(batches, "text"):
+        for part in W.pieces(skip(batches), "text"):
             at, doc, key, h1, h2, first, _ = _windows(part.column("text"), window)
             seen = np.ones(len(key), bool)
             for row, cell in zip(rows, _cells(key, bits), strict=True):
@@ -142,22 +181,24 @@ def occurrences(docs: DataFrame, held, bits: int, window: int) -> DataFrame:
             at, doc = at[seen], doc[seen]
             ids, keys = (part.column(c).to_numpy() for c in ("doc_id", "key"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                h1[seen].view(np.int64), h2[seen].view(np.int64), ids[doc], keys[doc], (at - first[doc]).astype(np.int32))],
-                ["h1", "h2", "doc_id", "key", "at"])
+                h1[seen].view(np.int64), h2[seen].astype(np.uint32).view(np.int32), ids[doc], (at - first[doc]) << 24 | keys[doc] & 0xFFFFFF)],
+                ["h1", "h2", "doc_id", "at"])
 
-    return _ready(docs).mapInArrow(emit, "h1 long, h2 long, doc_id long, key long, at int")
+    return docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, at long")
 
 
 def _cut_words(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.pieces(batches, "text"):
+        for part in W.unpacked(batches):
             *_, first, (data, starts, ends) = _windows(part.column("text"), window)
             raw, n, gone, digest, kept = memoryview(data), [], [], [], []
-            for i, at in enumerate(part.column("starts").to_pylist()):
+            for i, (at, copy) in enumerate(zip(part.column("starts").to_pylist(), part.column("copy").to_pylist(), strict=True)):
                 a, b = starts[first[i]:first[i + 1]], ends[first[i]:first[i + 1]]
                 n.append(len(a))
                 cover = np.zeros(len(a) + 1, np.int64)
-                if at:
+                if copy and len(a) >= window:
+                    cover[0] = 1
+                elif at:
                     at = np.unique(at)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + window, -1)
@@ -174,19 +215,28 @@ def _cut_words(window: int):
 
 
 def removed_starts(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
-    """``(doc_id, key, starts)``: start words of the windows to remove, a row per distinct document with any."""
-    bits, segments = sketch(docs, window, bits)
+    """``(doc_id, low, starts, copy)``: start words of the windows to remove, or that all words go; ``low`` is 24 bits
+    of the text's key. A row per distinct document that loses words.
+    """
+    rows, known = copies(docs)
+    skip = _skipping(rows, known)
+    again = _ready(docs).withColumn("again", F.xxhash64("spot")).drop("spot")
+    bits, segments = sketch(again, skip, window, bits)
     held = docs.sparkSession.sparkContext.broadcast(segments)
-    found = occurrences(docs, held, bits, window)
+    found = occurrences(again, skip, held, bits, window)
     least = cut(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"))
-    gone = cut(found.join(least, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", "key", "at"))
-    return gone.groupBy("doc_id", "key").agg(F.collect_list("at").alias("starts"))
+    gone = found.join(least, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", "at")
+    starts = gone.groupBy("doc_id", F.expr("at & 16777215").alias("low")).agg(
+        F.collect_list(F.shiftright("at", 24).cast("int")).alias("starts"))
+    whole = known.select("doc_id", F.expr("key & 16777215").alias("low"), F.lit(True).alias("copy")).distinct()
+    return starts.join(whole, ["doc_id", "low"], "full")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, key, n_words, n_removed, kept_sha256, kept_text)``, a row per row."""
-    texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string"))
-    return texts.join(removed_starts(docs, window, bits), ["doc_id", "key"], "left").mapInArrow(
+    texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(
+        W.pack, "doc_id long, key long, packed binary").withColumn("low", F.expr("key & 16777215"))
+    return texts.join(removed_starts(docs, window, bits), ["doc_id", "low"], "left").select("doc_id", "key", "packed", "starts", "copy").mapInArrow(
         _cut_words(window), "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 

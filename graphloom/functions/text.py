@@ -36,7 +36,6 @@ TYPE_NOUNS = (
 MONTH_NAMES = (
     "january february march april may june july august september october november december"
 ).split()
-RELATION_STOP_VERBS = ("is", "was", "are", "be", "has", "have", "do", "did")
 
 
 def _words(values) -> Column:

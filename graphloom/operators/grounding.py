@@ -8,7 +8,7 @@ from graphloom.functions.text import is_value_literal, norm_entity
 from graphloom.session import cut_lineage, ratio
 
 
-def ancestor_closure(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
+def ancestor_closure(parents: DataFrame) -> DataFrame:
     """Reflexive transitive closure of ``parents(child, parent)``: ``(node, ancestor)``.
 
     Paths double in length every round, so the number of joins is logarithmic in the depth.
@@ -18,7 +18,7 @@ def ancestor_closure(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
         parents.select("child", "parent")).distinct()
     cur = cut_lineage(cur)
     size = cur.count()
-    for _ in range(max_rounds):
+    while True:
         step = cur.alias("a").join(cur.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(
             F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor")).distinct()
         cur = cut_lineage(step)
@@ -26,7 +26,6 @@ def ancestor_closure(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
         if grown == size:
             return cur
         size = grown
-    raise RuntimeError("ancestor closure did not settle")
 
 
 def slot_status(slots: DataFrame, allowed: DataFrame, closure: DataFrame) -> DataFrame:

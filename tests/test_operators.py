@@ -8,6 +8,7 @@ import tempfile
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import dot, hash_rows, hashing_vector
@@ -386,3 +387,30 @@ def test_sources_and_sinks(spark):
 
 def test_dot(spark):
     assert spark.range(1).select(dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("x")).first()["x"] == 11.0
+
+
+def test_positions_in_order_however_large(spark):
+    from graphloom.operators.growth import order_number
+
+    rows = [(8, 0), (7, 1 << 20), (7, (1 << 20) + 1), (7, 3), (1 << 50, 2), (1 << 50, 1 << 40), (-5, 9)]
+    df = spark.createDataFrame(rows, "item_id long, pos long").repartition(4)
+    got = [(r["item_id"], r["pos"]) for r in order_number(df, ["item_id", "pos"]).orderBy("position").collect()]
+    assert got == sorted(rows)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("[['a', 1, 'b'], ['c','d','e']]", [["c", "d", "e"]]),
+    ("[['a','r',['x','y']]]", []),
+    ("[['a','r','b'], ['c','d','e',]]", [["a", "r", "b"], ["c", "d", "e"]]),
+    ("[['a','r','b'], None, ('c','d','e'), ['x','y','z']]", [["a", "r", "b"], ["c", "d", "e"], ["x", "y", "z"]]),
+    (r"[['it\'s','r','b']]", [["it's", "r", "b"]]),
+    ("[['it's','r','b']]", [["it's", "r", "b"]]),
+    ("[['a', 'r', 'b'], ['c', 'd']]", [["a", "r", "b"]]),
+    ("[['a', 'r', 'b'] ['c', 'd', 'e']]", []),
+    ("no list", []), (None, []),
+])
+def test_triples_of_irregular_answers(spark, text, want):
+    from graphloom.operators import parsing
+
+    row = spark.createDataFrame([(text,)], "raw string").select(parsing.parse_triples(F.col("raw")).alias("t")).first()
+    assert row["t"] == want

@@ -3,7 +3,8 @@
 * Texts are cut where a rolling hash of the last 16 bytes meets a pattern (1 KiB apart on average), so a passage is cut
   alike wherever it stands. Only digests of chunks are shuffled; those that more than one row holds are *shared*.
 * The owner of a shared chunk, the smallest holder, encodes it once; every holder receives its ids. A text's stretches
-  between shared chunks are encoded where the text lies, and a text without shared chunks at once.
+  between shared chunks are encoded with it. Bounded bitmaps of owners and holders preselect the texts that are shuffled
+  for this (a false hit only costs its row); a text without shared chunks is encoded where it is read.
 * Joins are repaired: a window from a boundary in the left ids to one in the right ids is encoded again and put
   between. A space or line feed after a character that is no white space always starts a new pre-token, whatever
   surrounds it, so a window between two such places agrees with the encoding of the whole text; the repair goes on to
@@ -25,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import cut
+from .common import bitmap, cut, in_bitmap
 
 MASK_BITS, ROLL = 10, 16
 LEAST_CHUNK = 64
@@ -126,16 +126,29 @@ def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(places, pa.int32())], ["digest", "key", "at"])
 
 
+def _chosen(held, wanted: bool):
+    """Rows whose key is (or is not) in the broadcast bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(held.value, batch.column("spot").to_numpy()) == wanted))
+
+    return run
+
+
+def _padded(text: bytes) -> np.ndarray:
+    data = np.zeros(len(text) + 8, np.uint8)
+    data[:-8] = np.frombuffer(text, np.uint8)
+    return data
+
+
 def _encode_owned(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, c = zstandard.ZstdDecompressor(), coder(path)
-        for part in W.pieces(batches, "packed", 1 << 20):
+        c = coder(path)
+        for part in W.unpacked(batches):
             digests, ids = [], []
-            for packed, at in zip(part.column("packed").to_pylist(), part.column("owned").to_pylist(), strict=True):
-                text = unpack.decompress(packed)
-                data = np.zeros(len(text) + 8, np.uint8)
-                data[:-8] = np.frombuffer(text, np.uint8)
-                ends = cuts(data, np.array([0, len(text)]))[0]
+            for text, at in zip(part.column("text").to_pylist(), part.column("owned").to_pylist(), strict=True):
+                text = text.encode()
+                ends = cuts(_padded(text), np.array([0, len(text)]))[0]
                 begins = np.r_[0, ends[:-1]]
                 own = [text[begins[k]:ends[k]] for k in at]
                 digests += [_digest(x) for x in own]
@@ -185,19 +198,21 @@ def _bound(text: bytes, bounds: np.ndarray, a: int, b: int, last: bool) -> tuple
     return None
 
 
-def _finish(path: str, keep_ids: bool):
+def _finish(path: str, keep_ids: bool, parts):
+    """Ids and digests of the texts in the slices that ``parts`` makes of the batches; ``given`` holds ready chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, c = zstandard.ZstdDecompressor(), coder(path)
-        for part in W.pieces(batches, "packed", 1 << 20):
+        c = coder(path)
+        for part in parts(batches):
             n, sha, back, kept = [], [], [], []
-            for packed, given in zip(part.column("packed").to_pylist(), part.column("given").to_pylist(), strict=True):
-                text = unpack.decompress(packed)
-                ends = np.zeros(0, np.int64)
+            ready = part.column("given").to_pylist() if "given" in part.schema.names else [None] * part.num_rows
+            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            plain = iter(c.encode([t for t, given in zip(texts, ready, strict=True) if not given]))
+            for text, given in zip(texts, ready, strict=True):
                 if given:
-                    data = np.zeros(len(text) + 8, np.uint8)
-                    data[:-8] = np.frombuffer(text, np.uint8)
-                    ends = cuts(data, np.array([0, len(text)]))[0]
-                ids = assemble(c, text, {g["at"]: np.frombuffer(g["ids"], np.uint32) for g in given or ()}, ends)
+                    ends = cuts(_padded(text), np.array([0, len(text)]))[0]
+                    ids = assemble(c, text, {g["at"]: np.frombuffer(g["ids"], np.uint32) for g in given}, ends)
+                else:
+                    ids = next(plain)
                 n.append(len(ids))
                 sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 back.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
@@ -224,12 +239,20 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     shared = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("owner"))
                  .filter("n > 1").select("digest", "owner"))
     holders = cut(chunks.join(shared, "digest").select("digest", "key", "at", (F.struct("key", "at") == F.col("owner")).alias("own")))
-    packed = rows.mapInArrow(W.pack, "doc_id long, key binary, packed binary")
-    owned = holders.filter("own").groupBy("key").agg(F.collect_list("at").alias("owned"))
-    coded = cut(packed.join(owned, "key").mapInArrow(_encode_owned(path), "digest binary, ids binary").dropDuplicates(["digest"]))
+    owners = cut(holders.filter("own").groupBy("key").agg(F.collect_list("at").alias("owned")))
+    spots = rows.withColumn("spot", F.xxhash64("key"))
+    owning, holding = (spots.sparkSession.sparkContext.broadcast(bitmap(x.select("key").distinct(), "key")) for x in (owners, holders))
+
+    def packed(held) -> DataFrame:
+        return spots.mapInArrow(_chosen(held, True), spots.schema).drop("spot").mapInArrow(W.pack, "doc_id long, key binary, packed binary")
+
+    coded = cut(packed(owning).join(owners, "key").mapInArrow(_encode_owned(path), "digest binary, ids binary").dropDuplicates(["digest"]))
     given = holders.join(coded, "digest").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("given"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
-    return packed.join(given, "key", "left").mapInArrow(_finish(path, keep_ids), schema)
+    repaired = packed(holding).join(given, "key", "left").mapInArrow(_finish(path, keep_ids, W.unpacked), schema)
+    alone = spots.mapInArrow(_chosen(holding, False), spots.schema).mapInArrow(
+        _finish(path, keep_ids, lambda batches: W.pieces(batches, "text", 1 << 20)), schema)
+    return alone.unionByName(repaired)
 
 
 def _decode_rows(path: str):

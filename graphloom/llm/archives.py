@@ -13,7 +13,8 @@ a record of 16 MiB or more, whose last byte is another, is followed by one byte
 must not be named ``.gz``: Spark's text source would inflate them itself, whole.
 
 Defined results: null html is an empty payload; a null url leaves the target out; a page without id is a ``response``;
-rows that repeat the smallest page id of a payload are all ``response``. A damaged record stops the reader.
+rows that repeat the smallest page id of a payload are all ``response``. A damaged record stops the reader, and so does
+an archive stored uncompressed inside a record if a range ends between the two's beginnings.
 """
 
 from __future__ import annotations
@@ -92,80 +93,93 @@ def _member(page_id, url, html, first) -> bytes:
 
 
 class _Range:
-    """The pieces of one byte range in order; complete records, and what has to be joined with other ranges."""
+    """The pieces of one byte range in order: what they complete, and what has to be joined with other ranges."""
 
     def __init__(self):
         self.open = None
         self.raw = self.text = b""
 
-    def feed(self, piece: bytes) -> tuple[bytes | None, bool]:
-        """The record that the piece completes, if any, and whether the piece belongs to a member of this range."""
-        if self.open is None:
-            inflate = zlib.decompressobj(31)
+    def feed(self, piece: bytes) -> tuple[bytes | None, list[bytes]]:
+        """The record that the piece completes, if any, and pieces that turn out to begin no member.
+
+        Until a member's first five bytes are inflated it is a candidate, which a piece that does not continue it ends.
+        """
+        loose = []
+        fresh = zlib.decompressobj(31)
+        try:
+            text = fresh.decompress(piece)
+            sound = _begins(text, fresh) and (piece[3:4] or b"\0")[0] & 0xE0 == 0
+        except zlib.error:
+            text, sound = b"", False
+        if self.open is not None:
+            sure, go_on = len(self.text) >= 5, self.open.copy()
             try:
-                text = inflate.decompress(piece)
+                more = self.text + go_on.decompress(piece)
             except zlib.error:
-                return None, False
-            if piece[3] & 0xE0 or text and not text.startswith(b"WARC/"[:len(text)]):
-                return None, False
-            self.open, self.raw, self.text = inflate, piece, text
-        else:
-            self.raw += piece
-            self.text += self.open.decompress(piece)
+                if sure:
+                    raise ValueError("a member is damaged") from None
+                more = None
+            if sure or more is not None and _begins(more, go_on) and (len(more) >= 5 or not (sound and len(text) >= 5)):
+                self.open, self.text, self.raw = go_on, more, self.raw + piece
+                return self._complete(), loose
+            loose, self.open = [self.raw], None
+        if not sound:
+            return None, [*loose, piece]
+        self.open, self.raw, self.text = fresh, piece, text
+        return self._complete(), loose
+
+    def _complete(self) -> bytes | None:
         if not self.open.eof:
-            return None, True
+            return None
         text, self.open, self.raw, self.text = self.text, None, b"", b""
-        return text, True
+        return text
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    here, at, seq = None, None, 0
+def _begins(text: bytes, inflate) -> bool:
+    return b"WARC/".startswith(text[:5]) and not (inflate.eof and len(text) < 5)
 
-    def left(raw: bytes, tail: bool) -> pa.RecordBatch:
-        return _rows([], [(*here, seq, tail, raw)])
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    here, at, seq = None, None, 0
     for batch in batches:
         done, loose = [], []
         for value, file, start in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start")), strict=True):
             if (file, start) != here:
                 if at is not None and at.open is not None:
-                    loose.append((*here, seq, True, at.raw))
+                    loose.append((*here, seq, at.raw))
                 here, at, seq = (file, start), _Range(), 0
                 if start == 0:
                     continue  # what stands before the first magic of the file
-            piece = MAGIC + value
-            text, ours = at.feed(piece)
-            seq += 1
+            text, free = at.feed(MAGIC + value)
             if text is not None:
                 done.append(parse(text))
-            if not ours:
-                loose.append((*here, seq, False, piece))
+            for raw in free:
+                loose.append((*here, seq, raw))
+                seq += 1
         yield _rows(done, loose)
     if at is not None and at.open is not None:
-        yield left(at.raw, True)
+        yield _rows([], [(*here, seq, at.raw)])
 
 
-_LOOSE = "file string, start long, seq long, tail boolean, raw binary"
+_LOOSE = "file string, start long, seq long, raw binary"
 
 
 def _rows(done: list[tuple], loose: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(),
-             pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+             pa.string(), pa.int64(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in (_SCHEMA + ", " + _LOOSE).split(", ")]
-    rows = [(*d, None, None, None, None, None) for d in done] + [(*[None] * 7, *x) for x in loose]
+    rows = [(*d, None, None, None, None) for d in done] + [(*[None] * 7, *x) for x in loose]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 def _join_loose(rows: pd.DataFrame) -> pd.DataFrame:
     """Members of one file that a magic inside their data separated at the end of a range."""
     out, at = [], _Range()
-    for r in rows.sort_values(["start", "seq", "tail"]).itertuples():
-        if r.tail and at.open is not None:
-            raise ValueError(f"a member of {r.file} before byte {r.start} is damaged")
-        text, _ = at.feed(r.raw) if r.tail or at.open is not None else (None, False)
+    for r in rows.sort_values(["start", "seq"]).itertuples():
+        text, _ = at.feed(r.raw)
         if text is not None:
             out.append(parse(text))
-    if at.open is not None:
+    if at.open is not None and len(at.text) >= 5:
         raise ValueError(f"the last member of {rows.file.iloc[0]} is damaged")
     return pd.DataFrame(out, columns=[x.split()[0] for x in _SCHEMA.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 

@@ -224,13 +224,16 @@ def test_archives_return_what_was_written(spark):
     assert archives.archive(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("split", [64, 700, 5000])
+@pytest.mark.parametrize("split", [64, 700, 5000, 1 << 20])
 def test_archives_are_read_in_any_byte_ranges(spark, tmp_path, split):
     r = random.Random(split)
     bodies = [bytes(r.choice(b"\x1f\x8b\x08\x00ab") for _ in range(r.randint(0, 400))) for _ in range(150)]
     members = [archives.record(i, f"http://h/{i}", b, None) for i, b in enumerate(bodies)]
-    members[7] = _stored(archives.record(7, None, archives.record(99, None, b"inner", None), None))
-    bodies[7] = archives.record(99, None, b"inner", None)
+    if split == 1 << 20:
+        members[7] = _stored(archives.record(7, None, archives.record(99, None, b"inner", None), None))
+        bodies[7] = archives.record(99, None, b"inner", None)
+    members[9] = _stored(archives.record(9, None, archives.MAGIC * 40, None))
+    bodies[9] = archives.MAGIC * 40
     (tmp_path / "a.warc").write_bytes(b"".join(members))
     (tmp_path / "b.warc").write_bytes(b"".join(m + b"\0" for m in members))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

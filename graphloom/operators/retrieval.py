@@ -17,6 +17,7 @@ from graphloom.functions.vectors import dot, l2_normalize, matrix
 from graphloom.session import BROADCAST_BYTES, fits_broadcast
 
 BLOCK_ROWS = 4096
+TILE_ROWS, TILE_COLUMNS = 512, 4096
 
 
 def _penalty(q_types, s_types, weight, blanks_match):
@@ -53,6 +54,27 @@ def _score(q_vec, q_types, s_vec, s_types, weight, blanks_match):
     return scores
 
 
+def _best_tiled(q_vec, q_types, s_vec, s_types, weight, blanks_match, k):
+    """Row, column, score and rank of the k best of each row, from tiles of bounded size."""
+    out = []
+    for a in range(0, len(q_vec), TILE_ROWS):
+        rows, cols, scores = [], [], []
+        for b in range(0, len(s_vec), TILE_COLUMNS):
+            tile = _score(q_vec[a:a + TILE_ROWS], [t[a:a + TILE_ROWS] for t in q_types],
+                          s_vec[b:b + TILE_COLUMNS], [t[b:b + TILE_COLUMNS] for t in s_types], weight, blanks_match)
+            r, c, _ = _best(tile, k)
+            rows.append(r)
+            cols.append(c + b)
+            scores.append(tile[r, c])
+        r, c, v = (np.concatenate(x) for x in (rows, cols, scores))
+        order = np.lexsort((c, -v, r))
+        r, c, v = r[order], c[order], v[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+        keep = rank < k
+        out.append((r[keep] + a, c[keep], v[keep], rank[keep] + 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _schema_size(schema: DataFrame):
     row = schema.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     return row["n"] or 0, row["d"] or 0
@@ -93,11 +115,10 @@ def _top_k_broadcast(queries, schema, k, query_id, types, penalty, blanks_match,
             if b.num_rows == 0:
                 continue
             q_types = [b.column(t).to_pylist() for t in types]
-            s = _score(matrix(b.column("vec")), q_types, s_vec, s_types, penalty, blanks_match)
-            r, c, rank = _best(s, k)
+            r, c, v, rank = _best_tiled(matrix(b.column("vec")), q_types, s_vec, s_types, penalty, blanks_match, k)
             yield pa.RecordBatch.from_arrays(
                 [b.column(query_id).take(pa.array(r)), pa.array(names[c], pa.string()), pa.array(ords[c]),
-                 pa.array(s[r, c]), pa.array(rank.astype(np.int32))],
+                 pa.array(v), pa.array(rank.astype(np.int32))],
                 names=[query_id, "name", "ord", "score", "rank"])
 
     return queries.mapInArrow(score, out)
@@ -117,12 +138,11 @@ def _top_k_grid(queries, schema, n, k, query_id, types, penalty, blanks_match, o
             kinds = [left.schema.field(query_id).type, pa.string(), pa.int64(), pa.float64(), pa.int32()]
             return pa.table([pa.array([], t) for t in kinds], names=names)
         right = right.sort_by("ord")
-        sc = _score(matrix(left.column("vec")), [left.column(t).to_pylist() for t in types],
-                    matrix(right.column("vec")), [right.column(t).to_pylist() for t in types],
-                    penalty, blanks_match)
-        r, c, rank = _best(sc, k)
+        r, c, v, rank = _best_tiled(
+            matrix(left.column("vec")), [left.column(t).to_pylist() for t in types],
+            matrix(right.column("vec")), [right.column(t).to_pylist() for t in types], penalty, blanks_match, k)
         return pa.table([left.column(query_id).take(pa.array(r)), right.column("name").take(pa.array(c)),
-                         right.column("ord").take(pa.array(c)), pa.array(sc[r, c]),
+                         right.column("ord").take(pa.array(c)), pa.array(v),
                          pa.array(rank.astype(np.int32))], names=names)
 
     parts = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInArrow(cell, out)

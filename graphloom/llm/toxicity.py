@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 
-PER_CLASS = {0: 8192, 1: 4096}
+PER_CLASS = {0: 4096, 1: 2048}
 TRAIN_BYTES = 20_000
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.05, 7
@@ -85,8 +85,10 @@ def score_column(column: pa.Array, net: Net, tables: dict) -> np.ndarray:
 def fit(texts: list[str], labels: np.ndarray, languages: list[str], set_aside: np.ndarray) -> Net:
     """Train on the texts not ``set_aside``; place the decision and the languages' thresholds on those that are."""
     rng = np.random.default_rng(SEED)
-    column = pa.array(texts, pa.large_string())
-    slots, doc = slots_of(column)
+    parts = [slots_of(pa.array(texts[a:a + BATCH], pa.large_string())) for a in range(0, len(texts), BATCH)]
+    slots = np.concatenate([s for s, _ in parts]) if parts else np.zeros((0, 1 + len(PREFIXES)), np.int32)
+    doc = np.concatenate([d + i * BATCH for i, (_, d) in enumerate(parts)]) if parts else np.zeros(0, int)
+    del parts
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
     train = np.flatnonzero(~set_aside)
     rows = rng.normal(0, 0.05, (SLOTS, DIM)).astype(np.float32)
@@ -152,7 +154,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str], set_aside: n
                 np.add.at(net.rows, touched[:, c], -RATE * value / np.sqrt(row_state[touched[:, c]])[:, None])
     aside = np.flatnonzero(set_aside)
     tables = net.tables()
-    scores = np.concatenate([score_column(column.slice(int(a), 1), net, tables) for a in aside]) if len(aside) else np.zeros(0)
+    scores = np.array([score_column(pa.array([texts[a]], pa.large_string()), net, tables)[0] for a in aside])
     cut = _threshold(scores, labels[aside])
     net.bias -= float(np.log(cut / (1 - cut)))
     odds = np.log(scores / (1 - scores)) - np.log(cut / (1 - cut))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side is broadcast only when its measured size stays under this many bytes.
 BROADCAST_BYTES = 64 << 20
+ARROW_ROWS = 1000
 
 
 def build_session(app: str = "graphloom", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -30,8 +31,13 @@ def build_session(app: str = "graphloom", cores: str = "*", shuffle_partitions:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that their Python workers find it anywhere."""
+    """Send this package to the executors once per application, so that their Python workers find it anywhere.
+
+    Arrow batches count rows, and rows here hold whole texts: unless the session says otherwise they get fewer.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(sc, "_graphloom_shipped", False):
         return spark
     top = os.path.dirname(os.path.abspath(__file__))

@@ -3,14 +3,15 @@
 1. *Copies.* A text that equals one of a smaller id loses all its words (if it has a window at all), and adds no window
    that the first has not. A scan skips copies by a bounded bitmap, and a second one of the first's false hits keeps
    those from being skipped; a copy that is not skipped gives the same result the long way.
-2. *Count-min prefilter.* A window's key in the sketch is the smallest hash among its five-word runs, so a document
-   adds about a fifth as many keys as it has windows. Each task counts documents per cell up to two, and sends its
+2. *Count-min prefilter.* A window's key in the sketch is the smallest hash among its seven-word runs, so a document
+   adds about a quarter as many keys as it has windows. Each task counts documents per cell up to two, and sends its
    sketch in sparse segments; a segment is merged in one task as two bitmaps. Equal windows have equal keys, so a
    window that two documents share is never counted below two: nothing is lost, some windows are overestimated.
 3. *Exact grouping.* Only windows whose cells all count two are grouped, by 96 bits of their word sequence, with the
    smallest and largest document id (combined before the shuffle). Repeated ones meet their occurrences in an equi-join
    with the written result, which adaptive execution splits where a passage is very common.
-4. Removed starts go back to their document, whose words are then cut.
+4. Removed starts go back to their document, whose words are then cut. Only documents that a bitmap of those with
+   removals lets through are shuffled for this; the others are finished where they are read.
 
 The merged sketch is the only thing sent to all tasks: two rows of at most ``2 ** LARGEST`` bits (64 MiB together) at
 any input size. Beyond that size it filters less and more windows take the exact way; results do not change.
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import words as W
 from .common import bitmap, cut, in_bitmap, text_key
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 7
+PIECE, FLUSH = 2 << 20, 1 << 20
 SEGMENT = 22
 SMALLEST, LARGEST = 22, 28
 
@@ -67,8 +69,8 @@ def _bits(docs: DataFrame) -> int:
     return min(LARGEST, max(SMALLEST, int(size * 16 / 24).bit_length()))
 
 
-def sketch(docs: DataFrame, skip, window: int = WINDOW, bits: int | None = None) -> tuple[int, dict[int, np.ndarray]]:
-    """Cells that at least two documents reach: ``bits`` and, per segment of both rows, a bitmap."""
+def sketch(docs: DataFrame, skip, window: int = WINDOW, bits: int | None = None) -> tuple[int, np.ndarray]:
+    """Cells that at least two documents reach: ``bits`` and a bitmap of each of the two rows."""
     bits = bits or _bits(docs)
     per_row = 1 << (bits - SEGMENT)
 
@@ -85,7 +87,7 @@ def sketch(docs: DataFrame, skip, window: int = WINDOW, bits: int | None = None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for part in W.pieces(skip(batches), "text"):
+        for part in W.pieces(skip(batches), "text", PIECE):
             _, doc, key, *_ = _windows(part.column("text"), window)
             ids = part.column("doc_id").to_numpy()
             order = np.lexsort((key, ids[doc]))
@@ -94,7 +96,7 @@ def sketch(docs: DataFrame, skip, window: int = WINDOW, bits: int | None = None)
             new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
             held.append(key[new])
             n += len(held[-1])
-            if n > 1 << 22:
+            if n > FLUSH:
                 yield from parts(held)
                 held, n = [], 0
         if n:
@@ -116,7 +118,10 @@ def sketch(docs: DataFrame, skip, window: int = WINDOW, bits: int | None = None)
 
     merged = docs.mapInArrow(count, "segment int, cells binary, twice binary") \
         .repartition(min(2 * per_row, 64), "segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
-    return bits, {r["segment"]: np.frombuffer(r["twice"], np.uint8) for r in merged.toLocalIterator()}
+    out = np.zeros((2 * per_row, (1 << SEGMENT) // 8), np.uint8)
+    for r in merged.toLocalIterator():
+        out[r["segment"]] = np.frombuffer(r["twice"], np.uint8)
+    return bits, out.reshape(2, -1)
 
 
 def _segment(number: int, cells: np.ndarray) -> pa.RecordBatch:
@@ -155,7 +160,7 @@ def _skipping(rows: DataFrame, known: DataFrame):
     other = context.broadcast(bitmap(cut(false), "spot"))
 
     def skip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, "text", PIECE):
             spot = batch.column("again").to_numpy()
             yield batch.filter(pa.array(~in_bitmap(held.value, spot) | in_bitmap(other.value, spot)))
 
@@ -167,13 +172,9 @@ def occurrences(docs: DataFrame, skip, held, bits: int, window: int) -> DataFram
 
     ``at`` is the start word, with 24 bits of the text's key below it, which tell apart texts of one id.
     """
-    per_row = 1 << (bits - SEGMENT)
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = held.value
-        rows = [np.concatenate([segments.get(r * per_row + s, np.zeros((1 << SEGMENT) // 8, np.uint8)) for s in range(per_row)])
-                for r in (0, 1)]
-        for part in W.pieces(skip(batches), "text"):
+        rows = held.value
+        for part in W.pieces(skip(batches), "text", PIECE):
             at, doc, key, h1, h2, first, _ = _windows(part.column("text"), window)
             seen = np.ones(len(key), bool)
             for row, cell in zip(rows, _cells(key, bits), strict=True):
@@ -187,9 +188,9 @@ def occurrences(docs: DataFrame, skip, held, bits: int, window: int) -> DataFram
     return docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, at long")
 
 
-def _cut_words(window: int):
+def _cut_words(window: int, parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.unpacked(batches):
+        for part in parts(batches):
             *_, first, (data, starts, ends) = _windows(part.column("text"), window)
             raw, n, gone, digest, kept = memoryview(data), [], [], [], []
             for i, (at, copy) in enumerate(zip(part.column("starts").to_pylist(), part.column("copy").to_pylist(), strict=True)):
@@ -221,8 +222,8 @@ def removed_starts(docs: DataFrame, window: int = WINDOW, bits: int | None = Non
     rows, known = copies(docs)
     skip = _skipping(rows, known)
     again = _ready(docs).withColumn("again", F.xxhash64("spot")).drop("spot")
-    bits, segments = sketch(again, skip, window, bits)
-    held = docs.sparkSession.sparkContext.broadcast(segments)
+    bits, rows_twice = sketch(again, skip, window, bits)
+    held = docs.sparkSession.sparkContext.broadcast(rows_twice)
     found = occurrences(again, skip, held, bits, window)
     least = cut(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"))
     gone = found.join(least, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", "at")
@@ -234,10 +235,25 @@ def removed_starts(docs: DataFrame, window: int = WINDOW, bits: int | None = Non
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, key, n_words, n_removed, kept_sha256, kept_text)``, a row per row."""
-    texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(
-        W.pack, "doc_id long, key long, packed binary").withColumn("low", F.expr("key & 16777215"))
-    return texts.join(removed_starts(docs, window, bits), ["doc_id", "low"], "left").select("doc_id", "key", "packed", "starts", "copy").mapInArrow(
-        _cut_words(window), "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    low = F.expr("key & 16777215")
+    starts = cut(removed_starts(docs, window, bits))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(starts.select(F.xxhash64("doc_id", "low").alias("spot")), "spot"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).withColumn(
+        "low", low).withColumn("again", F.xxhash64(F.xxhash64("doc_id", "low")))
+
+    def chosen(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(held.value, batch.column("again").to_numpy()) == wanted))
+
+        return texts.mapInArrow(run, texts.schema).select("doc_id", "key", "low", "text")
+
+    schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    packed = chosen(True).mapInArrow(W.pack, "doc_id long, key long, low long, packed binary")
+    changed = packed.join(starts, ["doc_id", "low"], "left").select("doc_id", "key", "packed", "starts", "copy").mapInArrow(
+        _cut_words(window, W.unpacked), schema)
+    whole = chosen(False).select("doc_id", "key", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("boolean").alias("copy"))
+    return whole.mapInArrow(_cut_words(window, lambda batches: W.pieces(batches, "text", PIECE)), schema).unionByName(changed)
 
 
 def replace_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:

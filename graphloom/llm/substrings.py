@@ -13,7 +13,7 @@
 4. Removed starts go back to their document, whose words are then cut. Only documents that a bitmap of those with
    removals lets through are shuffled for this; the others are finished where they are read.
 
-The merged sketch is the only thing sent to all tasks: two rows of at most ``2 ** LARGEST`` bits (64 MiB together) at
+The merged sketch is the only large thing sent to all tasks, as a file that an executor's workers map and share: two rows of at most ``2 ** LARGEST`` bits (64 MiB together) at
 any input size. Beyond that size it filters less and more windows take the exact way; results do not change.
 
 Defined results: a null text has no words; rows with a null ``doc_id`` neither remove nor lose words; rows repeating a
@@ -23,12 +23,16 @@ Defined results: a null text has no words; rows with a null ``doc_id`` neither r
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import words as W
 from .common import bitmap, cut, in_bitmap, text_key
@@ -124,6 +128,15 @@ def sketch(docs: DataFrame, skip, window: int = WINDOW, bits: int | None = None)
     return bits, out.reshape(2, -1)
 
 
+def _send(spark: SparkSession, rows: np.ndarray) -> str:
+    """Give the executors the bitmaps as a file; its name."""
+    name = f"sketch-{uuid.uuid4().hex}"
+    path = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), name)
+    rows.tofile(path)
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def _segment(number: int, cells: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(cells).tobytes()], pa.binary())],
                                       ["segment", "twice"])
@@ -167,13 +180,13 @@ def _skipping(rows: DataFrame, known: DataFrame):
     return skip
 
 
-def occurrences(docs: DataFrame, skip, held, bits: int, window: int) -> DataFrame:
-    """``(h1, h2, doc_id, at)`` of the windows that the broadcast sketch ``held`` estimates repeated.
+def occurrences(docs: DataFrame, skip, sent: str, bits: int, window: int) -> DataFrame:
+    """``(h1, h2, doc_id, at)`` of the windows that the sketch in the file ``sent`` estimates repeated.
 
     ``at`` is the start word, with 24 bits of the text's key below it, which tell apart texts of one id.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = held.value
+        rows = np.memmap(SparkFiles.get(sent), np.uint8, "r").reshape(2, -1)
         for part in W.pieces(skip(batches), "text", PIECE):
             at, doc, key, h1, h2, first, _ = _windows(part.column("text"), window)
             seen = np.ones(len(key), bool)
@@ -223,8 +236,7 @@ def removed_starts(docs: DataFrame, window: int = WINDOW, bits: int | None = Non
     skip = _skipping(rows, known)
     again = _ready(docs).withColumn("again", F.xxhash64("spot")).drop("spot")
     bits, rows_twice = sketch(again, skip, window, bits)
-    held = docs.sparkSession.sparkContext.broadcast(rows_twice)
-    found = occurrences(again, skip, held, bits, window)
+    found = occurrences(again, skip, _send(docs.sparkSession, rows_twice), bits, window)
     least = cut(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"))
     gone = found.join(least, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", "at")
     starts = gone.groupBy("doc_id", F.expr("at & 16777215").alias("low")).agg(

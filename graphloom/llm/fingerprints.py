@@ -121,16 +121,16 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     lowest = F.lit(-(1 << 62))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), text_key(text).alias("key")).withColumn(
         "block", F.shiftright(F.coalesce("doc_id", lowest), BLOCK_BITS))
-    rows = rows.withColumn("own", digests(F.col("text")))
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "key")
-    placed = rows.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next_own"))
+    placed = rows.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
     blocks = cut(rows.select("block").distinct())
     order_of = cut(next_lower(blocks.select(F.col("block").alias("id"))).select(F.col("id").alias("block"), F.col("next").alias("after")))
-    first = placed.filter("place = 1").select(F.col("block").alias("after"), F.col("text").alias("first_text"), F.col("own").alias("first_own"))
-    last = placed.filter("next_text is null").join(order_of, "block").join(first, "after")
-    columns = ["block", "place", "doc_id", "text", "own"]
-    both = placed.filter("next_text is not null").select(*columns, "next_text", "next_own").unionByName(
-        last.select(*columns, F.col("first_text").alias("next_text"), F.col("first_own").alias("next_own")))
+    first = placed.filter("place = 1").select(F.col("block").alias("after"), F.col("text").alias("next_text"))
+    last = placed.filter("next_text is null").drop("next_text").join(order_of, "block").join(first, "after")
+    columns = ["block", "place", "doc_id", "text", "next_text"]
+    both = placed.filter("next_text is not null").select(*columns).unionByName(last.select(*columns))
+    # digests are taken after the texts have met, so that no shuffle carries both
+    both = both.withColumns({"own": digests(F.col("text")), "next_own": digests(F.col("next_text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = both.select("block", "place", "doc_id", "own", "next_own", n.cast("long").alias("n_chars"), F.concat(

@@ -14,6 +14,8 @@ from graphloom.llm.common import shared_path, text_key
 from graphloom.llm.queries import tokenizer_path
 from graphloom.session import ship
 
+#: Similarity from which two documents of the corpus are copies; ``op3_near_duplicates`` has its own.
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,7 +27,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id. Of rows repeating an id, all stay or go."""
-    gone = near_duplicates.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 

@@ -6,12 +6,15 @@ inflected forms share what they learn. Filters of width 1, 2 and 3 slide over th
 between toxic and clean training texts; everything is then trained together by gradient steps.
 
 The net is fitted on the driver on at most ``PER_CLASS[label]`` labelled texts per label, those of the smallest hashed
-ids among texts of at most ``TRAIN_BYTES`` bytes (memory bound: their product). A fifth of them is set aside to place
-the decision at a score of 0.5, and to calibrate one threshold per language for ``flagged``. Scoring covers every whole
-text; neither ``lang`` nor any other column enters a score.
+ids among texts of at most ``TRAIN_BYTES`` bytes (memory bound: their product). A share of each language's labels is
+never trained on: a fifth, more of a rare language so that about ``2 * LEAST`` remain, at most half. Every labelled text
+that is neither held out nor trained on is then scored whole on Spark, and exact counts by language and score (steps of
+``1 / STEPS`` in logits) place the decision at 0.5 and one threshold per language for ``flagged``. Scoring covers every
+whole text; neither ``lang`` nor any other column enters a score.
 
 Defined results: a null or empty text gets the score of a text without words; a null ``doc_id`` is not held out; of
-contradicting labels the toxic one counts; a language unseen in calibration takes 0.5.
+contradicting labels the toxic one counts; a language with fewer than ``LEAST`` toxic or clean texts among those takes
+0.5, the decision over all languages; so does a null language.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .common import bitmap, cut, in_bitmap, text_key
 
 PER_CLASS = {0: 4096, 1: 2048}
 TRAIN_BYTES = 20_000
+LEAST, STEPS = 10, 64
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.05, 7
 PREFIXES = (4, 5, 6)
@@ -79,18 +84,18 @@ def score_column(column: pa.Array, net: Net, tables: dict) -> np.ndarray:
         for i, w in enumerate(WIDTHS):
             sums = _responses(lambda k, w=w: sum(tables[w, k][slots[:, s]] for s in range(slots.shape[1])), doc, w)
             pooled[doc[first], i * FILTERS:(i + 1) * FILTERS] = np.maximum(np.maximum.reduceat(sums, first, axis=0), 0)
-    return 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias, -30, 30).astype(float)))
+    return 1 / (1 + np.exp(-np.clip((pooled * net.out).sum(1) + net.bias, -30, 30).astype(float)))
 
 
-def fit(texts: list[str], labels: np.ndarray, languages: list[str], set_aside: np.ndarray) -> Net:
-    """Train on the texts not ``set_aside``; place the decision and the languages' thresholds on those that are."""
+def fit(texts: list[str], labels: np.ndarray) -> Net:
+    """Train on the texts; the decision and the languages' thresholds are placed by ``calibrate``."""
     rng = np.random.default_rng(SEED)
     parts = [slots_of(pa.array(texts[a:a + BATCH], pa.large_string())) for a in range(0, len(texts), BATCH)]
     slots = np.concatenate([s for s, _ in parts]) if parts else np.zeros((0, 1 + len(PREFIXES)), np.int32)
     doc = np.concatenate([d + i * BATCH for i, (_, d) in enumerate(parts)]) if parts else np.zeros(0, int)
     del parts
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-    train = np.flatnonzero(~set_aside)
+    train = np.arange(len(texts))
     rows = rng.normal(0, 0.05, (SLOTS, DIM)).astype(np.float32)
     counts = np.full((2, SLOTS), 0.5)
     for d in train:
@@ -152,47 +157,88 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str], set_aside: n
             for c in range(touched.shape[1]):
                 np.add.at(row_state, touched[:, c], (value ** 2).mean(1))
                 np.add.at(net.rows, touched[:, c], -RATE * value / np.sqrt(row_state[touched[:, c]])[:, None])
-    aside = np.flatnonzero(set_aside)
-    tables = net.tables()
-    scores = np.array([score_column(pa.array([texts[a]], pa.large_string()), net, tables)[0] for a in aside])
-    cut = _threshold(scores, labels[aside])
-    net.bias -= float(np.log(cut / (1 - cut)))
-    odds = np.log(scores / (1 - scores)) - np.log(cut / (1 - cut))
-    scores = 1 / (1 + np.exp(-odds))
-    for lang in sorted({languages[a] for a in aside if languages[a] is not None}):
-        own = np.array([languages[a] == lang for a in aside])
-        net.thresholds[lang] = _threshold(scores[own], labels[aside][own])
     return net
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray, least: int = 10) -> float:
-    """The cut of the best F1, in logits midway between the scores around it; 0.5 with too few of either label."""
-    if min((labels == 1).sum(), (labels == 0).sum()) < least:
-        return 0.5
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = 0
-    i = int(np.argmax(f1))
-    low = s[i + 1] if i + 1 < len(s) else s[i] / 2
-    logit = (np.log(s[i] / (1 - s[i])) + np.log(low / (1 - low))) / 2
-    return float(np.clip(1 / (1 + np.exp(-logit)), 0.3, 0.7))
+def _logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
+def _threshold(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray, shift: float = 0.0) -> float | None:
+    """The score of the best F1, midway in logits between the steps around it; none with too few of either label.
+
+    ``steps`` ascend; ``shift`` is taken off their logits.
+    """
+    if min(clean.sum(), toxic.sum()) < LEAST:
+        return None
+    s, hit, all_ = steps[::-1], np.cumsum(toxic[::-1]), np.cumsum((clean + toxic)[::-1])
+    i = int(np.argmax(2 * hit / (all_ + toxic.sum())))
+    if i + 1 < len(s):
+        at = (s[i] + s[i + 1] + 1) / 2 / STEPS - shift
+    else:
+        at = (s[i] / STEPS - shift + _logit(1 / (1 + np.exp(-np.clip(s[i] / STEPS - shift, -30, 30))) / 2)) / 2
+    return float(np.clip(1 / (1 + np.exp(-np.clip(at, -30, 30))), 0.3, 0.7))
+
+
+def counts_by_score(docs: DataFrame, ours: DataFrame, net: Net, trained: DataFrame) -> DataFrame:
+    """``(lang, step, clean, toxic)``: labelled texts that are not in ``trained(doc_id, key)``, counted by their scores' step."""
+    spark = docs.sparkSession
+    held, ids = spark.sparkContext.broadcast(net), spark.sparkContext.broadcast(bitmap(ours, "doc_id"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = held.value.tables()
+        for batch in batches:
+            hit = in_bitmap(ids.value, batch.column("spot").to_numpy(zero_copy_only=False))
+            for part in W.pieces(iter([batch.filter(pa.array(hit))]), "text", 1 << 20):
+                p = score_column(part.column("text"), held.value, tables)
+                step = np.floor(np.log(p / (1 - p)) * STEPS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key", "lang")), pa.array(step)],
+                                                 ["doc_id", "key", "lang", "step"])
+
+    rows = docs.filter("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("key"), F.col("lang").cast("string").alias("lang"),
+        F.xxhash64(F.col("doc_id").cast("long")).alias("spot"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(emit, "doc_id long, key long, lang string, step int")
+    return scored.join(F.broadcast(trained), ["doc_id", "key"], "left_anti").join(ours.select("doc_id", "toxic"), "doc_id").groupBy("lang", "step").agg(
+        F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+def calibrate(net: Net, counts: DataFrame) -> Net:
+    """Put the decision of all languages at 0.5, and each language's threshold where its own counts have it."""
+    counts = cut(counts)
+    total = counts.groupBy("step").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas().sort_values("step")
+    at = _threshold(*(total[c].to_numpy(np.int64) for c in ("step", "clean", "toxic")))
+    shift = _logit(at) if at else 0.0
+    net.bias -= shift
+    enough = counts.groupBy("lang").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(
+        (F.col("c") >= LEAST) & (F.col("t") >= LEAST) & F.col("lang").isNotNull()).select("lang")
+    own = counts.join(enough, "lang").toPandas().sort_values(["lang", "step"])
+    for lang, rows in own.groupby("lang"):
+        net.thresholds[lang] = _threshold(*(rows[c].to_numpy(np.int64) for c in ("step", "clean", "toxic")), shift)
+    return net
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Net:
-    """Fit on labelled documents outside the held-out fifth."""
-    ours = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id"))
-    picked = [ours.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(n) for c, n in PER_CLASS.items()]
+    """Fit on a sample of the labelled documents outside the held-out fifth, and calibrate on all others of them."""
+    named = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    langs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    ours = cut(named.join(langs, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("lang").alias("lang")).withColumn(
+        "order", F.xxhash64("doc_id")))
+    size = ours.groupBy(F.col("lang").alias("of"), F.col("toxic").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    aside = F.least(F.lit(50), F.greatest(F.lit(20), F.ceil(200 * LEAST / F.col("n"))))
+    free = ours.join(cut(size), F.col("lang").eqNullSafe(F.col("of")) & (F.col("toxic") == F.col("label"))).filter(
+        F.pmod(F.xxhash64("order"), F.lit(100)) >= aside).select("doc_id", "toxic", "order")
+    picked = [free.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(n) for c, n in PER_CLASS.items()]
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")) \
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key")) \
         .filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(sample, "doc_id").toPandas()
     rows = rows.sort_values(["order", "doc_id", "text"], kind="stable").reset_index(drop=True)
     rows = rows.drop_duplicates("doc_id").reset_index(drop=True)
-    aside = np.array([o % 5 == 0 for o in rows["order"]], bool)
-    langs = [x if isinstance(x, str) else None for x in rows["lang"]]
-    return fit([x if isinstance(x, str) else "" for x in rows["text"]], rows["toxic"].to_numpy(np.int64), langs, aside)
+    net = fit([x if isinstance(x, str) else "" for x in rows["text"]], rows["toxic"].to_numpy(np.int64))
+    trained = docs.sparkSession.createDataFrame([(int(i), int(k)) for i, k in zip(rows["doc_id"], rows["key"], strict=True)], "doc_id long, key long")
+    return calibrate(net, counts_by_score(docs, ours, net, trained))
 
 
 def held_out(doc_id) -> F.Column:

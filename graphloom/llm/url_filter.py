@@ -7,7 +7,8 @@
 * A parent with many thin branches has a variable segment there: all its branches become a wildcard. Branches whose
   share of blocked labels does not differ from their parent's by ``Z`` standard errors are merged into one; branches
   without labels are merged with each other, never with labelled ones.
-* A merged template is rejected if its smoothed purity ``(blocked + 1) / (labelled + 2)`` reaches ``REJECT``.
+* A merged template is rejected if its smoothed purity ``(blocked + 1) / (labelled + 2)`` reaches ``REJECT``. One without
+  labels has the purity of its nearest labelled ancestor among the merged branches of its host, all of the host at last.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed; the host keeps port and
 user; a url with no path fits no rule, as every rule's path starts with a slash; rows repeating a page are judged each.
@@ -82,6 +83,20 @@ def generalise(counts: DataFrame) -> DataFrame:
     return counts.join(cut(merged), ["host", "segments"], "left").withColumn("merged", F.coalesce("merged", F.array().cast("array<string>")))
 
 
+def purities(trees: DataFrame) -> DataFrame:
+    """``(host, merged, purity)`` of each merged template; 0.5 on a host without labels."""
+    share = (F.col("blocked") + 1) / (F.col("labelled") + 2)
+    known = cut(trees.groupBy("host", "merged").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
+    depth = F.explode(F.sequence(F.lit(0), F.size("merged"))).alias("depth")
+    above = F.slice("merged", F.lit(1), F.col("depth")).alias("branch")
+    branches = known.filter("labelled > 0").select("*", depth).select("host", above, "blocked", "labelled").groupBy("host", "branch").agg(
+        F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")).select("host", "branch", share.alias("share"))
+    bare = known.filter("labelled = 0").select("host", "merged", depth).select("host", "merged", "depth", above)
+    nearest = bare.join(cut(branches), ["host", "branch"]).groupBy("host", "merged").agg(F.max_by("share", "depth").alias("nearest"))
+    own = F.when(F.col("labelled") > 0, share).otherwise(F.coalesce("nearest", F.lit(0.5)))
+    return known.join(cut(nearest), ["host", "merged"], "left").select("host", "merged", own.alias("purity"))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """``pages(page_id, url)`` -> ``(page_id, host, path, rule, verdict, purity)``, one row per row."""
     host, path = host_and_path(F.col("url").cast("string"))
@@ -91,8 +106,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     counts = cut(rows.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("told") == "block").alias("blocked"), F.count("told").alias("labelled")))
     trees = cut(generalise(counts))
-    pure = trees.groupBy("host", "merged").agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("purity"))
-    of = cut(trees.select("host", "segments", "merged").join(cut(pure), ["host", "merged"]).select("host", "segments", "purity"))
+    of = cut(trees.select("host", "segments", "merged").join(cut(purities(trees)), ["host", "merged"]).select("host", "segments", "purity"))
     out = rows.join(of, ["host", "segments"], "left")
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("told", own).alias("verdict"), "purity")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, bpe, fingerprints, licenses, mixing, near_duplicates, substrings, topk, toxicity, url_filter
+from . import archives, bpe, decontaminate, fingerprints, licenses, mixing, near_duplicates, substrings, topk, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,8 +58,15 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+                        "longest", "longest_at")
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_near_duplicates, op4_warc, op5_license_scan, op6_toxicity, op7_substrings,
-                                   op8_fingerprints, op9_mixing, op10_url_filter)}
+                                   op8_fingerprints, op9_mixing, op10_url_filter, op11_decontaminate)}
 
 _OP2 = """
 WITH v AS (SELECT vec_id, min([floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS v FROM embeddings

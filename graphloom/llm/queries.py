@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, bpe, decontaminate, fingerprints, licenses, mixing, near_duplicates, substrings, topk, toxicity, url_filter
+from . import archives, bpe, decontaminate, fingerprints, licenses, merkle, mixing, near_duplicates, substrings, topk, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,8 +65,16 @@ def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         "longest", "longest_at")
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    claimed = {"text": F.when(tampered, lower).otherwise(F.col("text"))}
+    return merkle.verify(merkle.manifest(table(spark, folder, "documents"), claimed))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_near_duplicates, op4_warc, op5_license_scan, op6_toxicity, op7_substrings,
-                                   op8_fingerprints, op9_mixing, op10_url_filter, op11_decontaminate)}
+                                   op8_fingerprints, op9_mixing, op10_url_filter, op11_decontaminate,
+                                   op12_merkle)}
 
 _OP2 = """
 WITH v AS (SELECT vec_id, min([floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS v FROM embeddings

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphloom.session import cut_lineage, ensure_checkpoint_dir
 
@@ -66,3 +66,31 @@ def in_bitmap(words: np.ndarray, spot: np.ndarray) -> np.ndarray:
     """Whether the ids of these 64-bit hashes may be in the bitmap."""
     at = spot % (len(words) * 64)
     return (words[at // 64] >> (spot % 64)) & 1 == 1
+
+
+def positions(rows: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` sorted by ``group`` and ``order`` and written with a number ``at``; and per range and group ``(part, group, first,
+    before, n)``: the number of the first row there, how many rows of the group are in earlier ranges, and in all.
+    """
+    keys = [group, *order]
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).cast("int").alias("part")
+    counts = placed.groupBy(part, group).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("here"))
+    all_of = Window.partitionBy(group)
+    earlier = all_of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("part", group, "first", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"), F.sum("here").over(all_of).alias("n"))
+    return placed.withColumn("part", F.shiftright("at", 33).cast("int")), cut(counts)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], trees: DataFrame | None = None) -> DataFrame:
+    """``rows`` with their position ``pos`` in their group in ``order``, and ``n``, its size; with ``tree`` of ``trees(group, tree)`` if given.
+
+    Rows are range-partitioned and sorted, and counts per range and group turn places into positions: a group may have any size. ``rows``
+    should be written already, as the ranges take a pass of their own; its last order column should tell all rows apart.
+    """
+    placed, counts = positions(rows, group, order)
+    counts = counts.select(F.col("part").alias("p"), F.col(group).alias("g"), (F.col("before") - F.col("first")).alias("shift"), "n")
+    if trees is not None:
+        counts = counts.join(trees.select(F.col(group).alias("h"), "tree"), F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    joined = placed.join(counts, (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g")))
+    return joined.withColumn("pos", F.col("at") + F.col("shift")).drop("at", "part", "p", "g", "shift")

@@ -28,10 +28,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
-from .common import cut
+from .common import cut, numbered
 
 ARITY, HEIGHT = 8, 4
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -127,30 +127,6 @@ class Manifest(NamedTuple):
     root: str | None
 
 
-def positions(rows: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``rows`` sorted by ``group`` and ``order`` and written with a number ``at``; and per range and group ``(part, group, first,
-    before, n)``: the number of the first row there, how many rows of the group are in earlier ranges, and in all.
-    """
-    keys = [group, *order]
-    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33).cast("int").alias("part")
-    counts = placed.groupBy(part, group).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("here"))
-    all_of = Window.partitionBy(group)
-    earlier = all_of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("part", group, "first", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"), F.sum("here").over(all_of).alias("n"))
-    return placed.withColumn("part", F.shiftright("at", 33).cast("int")), cut(counts)
-
-
-def _number(rows: DataFrame, group: str, order: list[str], trees: DataFrame | None = None) -> DataFrame:
-    """``rows`` with ``pos`` in their group and ``n``, its size; with ``tree`` of ``trees(group, tree)`` if given."""
-    placed, counts = positions(rows, group, order)
-    counts = counts.select(F.col("part").alias("p"), F.col(group).alias("g"), (F.col("before") - F.col("first")).alias("shift"), "n")
-    if trees is not None:
-        counts = counts.join(trees.select(F.col(group).alias("h"), "tree"), F.col("g").eqNullSafe(F.col("h"))).drop("h")
-    joined = placed.join(counts, (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g")))
-    return joined.withColumn("pos", F.col("at") + F.col("shift")).drop("at", "part", "p", "g", "shift")
-
-
 BLOCKS = "tree long, pos long, n long, members int, height int, nodes binary, node string"
 
 
@@ -194,8 +170,8 @@ def manifest(docs: DataFrame, claimed: dict[str, Column] | None = None, columns:
         F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), row_digest(values).alias("leaf"),
         row_digest(values | (claimed or {})).alias("claimed")).withColumn("salt", F.monotonically_increasing_id()))
     langs = leaves.select("lang").distinct().withColumn("all", F.lit(0))
-    trees = cut(_number(langs, "all", ["lang"]).select("lang", F.col("pos").alias("tree")))
-    leaves = cut(_number(leaves, "lang", ["doc_id", "leaf", "salt"], trees).select("tree", "pos", "n", "doc_id", "leaf", "claimed"))
+    trees = cut(numbered(langs, "all", ["lang"]).select("lang", F.col("pos").alias("tree")))
+    leaves = cut(numbered(leaves, "lang", ["doc_id", "leaf", "salt"], trees).select("tree", "pos", "n", "doc_id", "leaf", "claimed"))
     levels = _levels(leaves.select("tree", "pos", "n", F.col("leaf").alias("node")))
     subroots = _union([x.filter("n = 1").select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(trees.count()).alias("n"), "node")
                        for x in levels])

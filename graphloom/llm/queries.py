@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, bpe, decontaminate, fingerprints, licenses, merkle, mixing, near_duplicates, substrings, topk, toxicity, url_filter
+from . import archives, bpe, decontaminate, fingerprints, licenses, merkle, mixing, near_duplicates, prefix_trie, substrings, topk, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,9 +72,13 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verify(merkle.manifest(table(spark, folder, "documents"), claimed))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_near_duplicates, op4_warc, op5_license_scan, op6_toxicity, op7_substrings,
                                    op8_fingerprints, op9_mixing, op10_url_filter, op11_decontaminate,
-                                   op12_merkle)}
+                                   op12_merkle, op13_prefix_trie)}
 
 _OP2 = """
 WITH v AS (SELECT vec_id, min([floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS v FROM embeddings

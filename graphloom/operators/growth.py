@@ -2,9 +2,7 @@
 
 Whether an occurrence mints a schema element depends only on the *first* occurrence of its key: once a key
 is minted or has been absorbed, the schema only grows and the key stays within reach. So growth is decided
-over distinct keys in first-use order, in blocked leader rounds: a bounded block of the earliest undecided
-keys is settled locally, its new leaders are broadcast, and every undecided key within reach drops out.
-No pair list is formed, and a dense group of near-copies disappears in one round.
+over distinct keys in first-use order, by leader election (:mod:`graphloom.operators.leaders`).
 All occurrences are then decided in parallel against the schema as it stood at their position.
 """
 
@@ -12,97 +10,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.vectors import matrix
+from graphloom.operators.leaders import HEAD, Reach, clusters
+from graphloom.operators.retrieval import penalty_matrix
 from graphloom.session import cut_lineage
 
-LEADER_BLOCK = 4096
-ASOF_BLOCK_BYTES = 64 << 20
-
-
-def _reaches(sims, threshold, strict):
-    return sims > threshold if strict else sims >= threshold
-
-
-def _settle(vec, threshold, strict):
-    """Index of each row's leader inside one ordered block (its own index for a leader)."""
-    owner = np.full(len(vec), -1)
-    sims = vec @ vec.T
-    for i in range(len(vec)):
-        if owner[i] < 0:
-            owner[(owner < 0) & _reaches(sims[i], threshold, strict)] = i
-            owner[i] = i
-    return owner
-
-
-def _absorb(points: DataFrame, leaders, threshold: float, strict: bool) -> DataFrame:
-    """Mark each point with the earliest of the given leaders that reaches it (NULL when none does)."""
-    packed = points.sparkSession.sparkContext.broadcast(leaders)
-
-    def mark(batches):
-        ords, vec = packed.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            hit = _reaches(matrix(b.column("vec")) @ vec.T, threshold, strict)
-            first = hit.argmax(axis=1)
-            owner = pa.array(ords[first], mask=~hit[np.arange(len(first)), first])
-            yield pa.RecordBatch.from_arrays([b.column("ord"), b.column("vec"), owner], ["ord", "vec", "leader"])
-
-    return points.mapInArrow(mark, "ord bigint, vec array<double>, leader bigint")
+ASOF_ROWS, ASOF_TILE = 4096, 512
 
 
 def leader_clusters(points: DataFrame, threshold: float, *, strict: bool = True, seeds: DataFrame | None = None,
-                    block: int = LEADER_BLOCK) -> DataFrame:
+                    block: int = HEAD) -> DataFrame:
     """Greedy leader clustering of ``points(ord, vec)`` in ``ord`` order -> ``(ord, leader)``.
 
     A point that an earlier leader reaches joins the earliest such leader; otherwise it leads. ``seeds``
     (``ord, vec``) are leaders that exist beforehand; points they reach get the seed's ``ord``.
     """
-    left = points.select("ord", F.col("vec").cast("array<double>").alias("vec"))
-    done = []
-    if seeds is not None:
-        for part in _ordered_blocks(seeds.select("ord", F.col("vec").cast("array<double>").alias("vec")), block):
-            marked = cut_lineage(_absorb(left, part, threshold, strict))
-            done.append(marked.filter("leader is not null").select("ord", "leader"))
-            left = marked.filter("leader is null").select("ord", "vec")
-    while True:
-        head = left.orderBy("ord").limit(block).toPandas()
-        if head.empty:
-            break
-        ords = head["ord"].to_numpy(dtype=np.int64)
-        vec = np.stack(head["vec"].to_numpy())
-        owner = _settle(vec, threshold, strict)
-        lead = np.unique(owner)
-        spark = left.sparkSession
-        done.append(spark.createDataFrame(
-            pa.table({"ord": ords, "leader": ords[owner]})))
-        if len(head) < block:
-            break
-        rest = left.filter(F.col("ord") > int(ords[-1]))
-        marked = cut_lineage(_absorb(rest, (ords[lead], vec[lead]), threshold, strict))
-        done.append(marked.filter("leader is not null").select("ord", "leader"))
-        left = marked.filter("leader is null").select("ord", "vec")
-    if not done:
-        return points.select("ord", F.col("ord").alias("leader")).limit(0)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _ordered_blocks(df: DataFrame, block: int):
-    last = None
-    while True:
-        cur = df if last is None else df.filter(F.col("ord") > last)
-        rows = cur.orderBy("ord").limit(block).toPandas()
-        if rows.empty:
-            return
-        last = int(rows["ord"].iloc[-1])
-        yield rows["ord"].to_numpy(dtype=np.int64), np.stack(rows["vec"].to_numpy())
-        if len(rows) < block:
-            return
+    return clusters(points.select("ord", "vec"), Reach(threshold, strict), seeds=None if seeds is None else seeds.select("ord", "vec"), head=block)
 
 
 def cluster_table(points: DataFrame, membership: DataFrame) -> DataFrame:
@@ -120,87 +45,91 @@ def cluster_table(points: DataFrame, membership: DataFrame) -> DataFrame:
     return named.join(cent, "leader").select(F.col("leader").alias("cluster"), "centroid", "name")
 
 
-def top_k_as_of(queries: DataFrame, schema: DataFrame, k: int = 5, *, query_id: str = "qid") -> DataFrame:
+def top_k_as_of(queries: DataFrame, schema: DataFrame, k: int = 5, *, query_id: str = "qid", types=(), penalty: float = 0.0,
+                blanks_match: bool = False, block_rows: int = ASOF_ROWS) -> DataFrame:
     """Top-k of a growing schema at every moment it changes, per query.
 
-    ``schema(ord, name, vec)`` where ``ord`` is the position at which the element was minted. Returns
+    ``schema(ord, name, vec, *types)`` where ``ord`` is the position at which the element was minted. Returns
     ``(query_id, since, until, names, scores, n_known)``: the candidate list holds for positions ``p`` with
     ``since < p <= until``; ``n_known`` is the length of the list. The number of intervals per query grows
-    with the logarithm of the schema. The schema comes in blocks of bounded size; each block continues the
-    state the previous one left, so the result is exact for any schema size.
+    with the logarithm of the schema.
+
+    An element that enters the list of the whole schema also enters that of any part it belongs to. So blocks of queries meet
+    blocks of the schema, each pair keeps what enters there, and the few elements left are replayed per query in order.
     """
+    types = list(types)
     qtype = dict(queries.dtypes)[query_id]
-    state_schema = (f"{query_id} {qtype}, vec array<double>, names array<string>, scores array<double>, "
-                    "since bigint, until bigint, final boolean")
-    state = queries.select(
-        query_id, F.col("vec").cast("array<double>").alias("vec"),
-        F.array().cast("array<string>").alias("names"), F.array().cast("array<double>").alias("scores"),
-        F.lit(-(2 ** 62)).cast("bigint").alias("since"))
-    dim = max(1, schema.agg(F.max(F.size("vec"))).first()[0] or 1)
-    block = max(1, ASOF_BLOCK_BYTES // (8 * dim))
-    closed = None
-    last = None
-    while True:
-        cur = schema if last is None else schema.filter(F.col("ord") > last)
-        rows = cur.select("ord", "name", "vec").orderBy("ord").limit(block).toPandas()
-        if rows.empty:
-            break
-        last = int(rows["ord"].iloc[-1])
-        packed = queries.sparkSession.sparkContext.broadcast(
-            (rows["ord"].to_numpy(dtype=np.int64), rows["name"].tolist(), np.stack(rows["vec"].to_numpy())))
-        step = _advance(state, packed, k, query_id, state_schema)
-        if len(rows) < block and closed is None:
-            return _intervals(step, query_id)
-        step = cut_lineage(step)
-        part = step.filter("not final")
-        closed = part if closed is None else closed.unionByName(part)
-        state = step.filter("final").select(query_id, "vec", "names", "scores", "since")
-        if len(rows) < block:
-            break
-    tail = state.withColumn("until", F.lit(2 ** 62).cast("bigint")).withColumn("final", F.lit(True))
-    tail = tail.select(query_id, "vec", "names", "scores", "since", "until", "final")
-    return _intervals(tail if closed is None else closed.unionByName(tail), query_id)
-
-
-def _intervals(step: DataFrame, query_id: str) -> DataFrame:
-    return step.select(query_id, "since", "until", "names", "scores", F.size("names").alias("n_known"))
-
-
-def _advance(state, packed, k, query_id, out_schema):
-    def run(batches):
-        ords, names, s_vec = packed.value
-        for b in batches:
-            if b.num_rows == 0:
+    queries = cut_lineage(queries.select(query_id, F.col("vec").cast("array<double>").alias("vec"), *types))
+    schema = cut_lineage(schema.select("ord", "name", F.col("vec").cast("array<double>").alias("vec"), *types))
+    nq, ns = (max(1, -(-df.count() // block_rows)) for df in (queries, schema))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qb", block(query_id, nq)).withColumn("sb", every(ns)).groupBy("qb", "sb")
+    right = schema.withColumn("sb", block("ord", ns)).withColumn("qb", every(nq)).groupBy("qb", "sb")
+
+    def meet(q: pa.Table, s: pa.Table) -> pa.Table:
+        s = s.sort_by("ord")
+        s_vec, s_types, out = matrix(s.column("vec")) if s.num_rows else None, [s.column(t).to_pylist() for t in types], []
+        for a in range(0, q.num_rows if s.num_rows else 0, ASOF_TILE):
+            part = q.slice(a, ASOF_TILE)
+            scores = matrix(part.column("vec")) @ s_vec.T
+            if penalty and types:
+                scores = scores - penalty_matrix([part.column(t).to_pylist() for t in types], s_types, penalty, blanks_match)
+            rows, cols = _entries(scores, k)
+            out.append((rows + a, cols, scores[rows, cols]))
+        rows, cols, scores = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table([q.column(query_id).take(pa.array(rows)), s.column("ord").take(pa.array(cols)), s.column("name").take(pa.array(cols)),
+                         pa.array(scores)], names=[query_id, "ord", "name", "score"])
+
+    entries = left.cogroup(right).applyInArrow(meet, f"{query_id} {qtype}, ord long, name string, score double")
+    whole = queries.select(query_id).withColumns({"ord": F.lit(None).cast("long"), "name": F.lit(None).cast("string"),
+                                                  "score": F.lit(None).cast("double")}).unionByName(entries)
+    replayed = whole.withColumn("qb", block(query_id, nq)).groupBy("qb").applyInArrow(
+        _replay(query_id, k), f"{query_id} {qtype}, since long, until long, names array<string>, scores array<double>")
+    return replayed.select(query_id, "since", "until", "names", "scores", F.size("names").alias("n_known"))
+
+
+def _entries(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each element that enters the k best of its row when columns come one after the other."""
+    best = np.full((len(scores), k), -np.inf)
+    rows, cols = [], []
+    for j in range(scores.shape[1]):
+        hit = np.flatnonzero(scores[:, j] > best[:, -1])
+        if hit.size:
+            best[hit, -1] = scores[hit, j]
+            best[hit] = -np.sort(-best[hit], axis=1)
+            rows.append(hit)
+            cols.append(np.full(len(hit), j))
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _replay(query_id: str, k: int):
+    """Candidate lists of each query of a block over time, from the elements that may enter them."""
+    def run(table: pa.Table) -> pa.Table:
+        out = {c: [] for c in (query_id, "since", "until", "names", "scores")}
+        now, held, since = None, [], -(2 ** 62)
+
+        def close(until):
+            for c, v in zip(out, (now, since, until, [h[1] for h in held], [-h[0] for h in held]), strict=True):
+                out[c].append(v)
+
+        for r in table.sort_by([(query_id, "ascending"), ("ord", "ascending")]).to_pylist():
+            if r[query_id] != now:
+                if now is not None:
+                    close(2 ** 62)
+                now, held, since = r[query_id], [], -(2 ** 62)
+            if r["ord"] is None or len(held) == k and r["score"] <= -held[-1][0]:
                 continue
-            ids = b.column(query_id).to_pylist()
-            vec = matrix(b.column("vec"))
-            scores = vec @ s_vec.T
-            rows = {c: [] for c in ("id", "i", "names", "scores", "since", "until", "final")}
-            held_names, held_scores = b.column("names").to_pylist(), b.column("scores").to_pylist()
-            since = b.column("since").to_pylist()
-            floor = np.array([s[k - 1] if len(s) >= k else -np.inf for s in held_scores])
-            for j in range(len(ords)):
-                for i in np.flatnonzero(scores[:, j] > floor):
-                    rows_i = (ids[i], i, held_names[i], held_scores[i], since[i], int(ords[j]), False)
-                    for key, value in zip(rows, rows_i):
-                        rows[key].append(value)
-                    at = sum(1 for s in held_scores[i] if s >= scores[i, j])
-                    held_names[i] = (held_names[i][:at] + [names[j]] + held_names[i][at:])[:k]
-                    held_scores[i] = (held_scores[i][:at] + [float(scores[i, j])] + held_scores[i][at:])[:k]
-                    since[i] = int(ords[j])
-                    floor[i] = held_scores[i][k - 1] if len(held_scores[i]) >= k else -np.inf
-            for i in range(len(ids)):
-                for key, value in zip(rows, (ids[i], i, held_names[i], held_scores[i], since[i], 2 ** 62, True)):
-                    rows[key].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["id"], b.column(query_id).type),
-                 b.column("vec").take(pa.array(rows["i"], pa.int64())).cast(pa.list_(pa.float64())),
-                 pa.array(rows["names"], pa.list_(pa.string())), pa.array(rows["scores"], pa.list_(pa.float64())),
-                 pa.array(rows["since"], pa.int64()), pa.array(rows["until"], pa.int64()),
-                 pa.array(rows["final"], pa.bool_())],
-                names=[query_id, "vec", "names", "scores", "since", "until", "final"])
-
-    return state.mapInArrow(run, out_schema)
+            close(r["ord"])
+            at = sum(-h[0] >= r["score"] for h in held)
+            held = (held[:at] + [(-r["score"], r["name"])] + held[at:])[:k]
+            since = r["ord"]
+        if now is not None:
+            close(2 ** 62)
+        return pa.table([pa.array(out[query_id], table.column(query_id).type), pa.array(out["since"], pa.int64()), pa.array(out["until"], pa.int64()),
+                         pa.array(out["names"], pa.list_(pa.string())), pa.array(out["scores"], pa.list_(pa.float64()))], names=list(out))
+
+    return run
 
 
 def order_number(df: DataFrame, columns: list[str], name: str = "position") -> DataFrame:
@@ -227,8 +156,3 @@ def decide_as_of(occurrences: DataFrame, intervals: DataFrame, key: str = "relat
     on = (occurrences[key] == iv[key]) & (occurrences["position"] > iv["since"]) & (
         occurrences["position"] <= iv["until"])
     return occurrences.join(iv, on, "left").drop(iv[key])
-
-
-def schema_size_before(minted: DataFrame) -> DataFrame:
-    w = W.orderBy("ord")
-    return minted.withColumn("size_before", F.row_number().over(w) - 1)

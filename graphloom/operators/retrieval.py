@@ -20,7 +20,7 @@ BLOCK_ROWS = 4096
 TILE_ROWS, TILE_COLUMNS = 512, 4096
 
 
-def _penalty(q_types, s_types, weight, blanks_match):
+def penalty_matrix(q_types, s_types, weight, blanks_match):
     """Penalty matrix: ``weight`` where any type differs; with ``blanks_match`` empty types never differ."""
     hit = np.zeros((len(q_types[0]), len(s_types[0])), dtype=bool)
     for q, s in zip(q_types, s_types):
@@ -50,7 +50,7 @@ def _best(scores, k):
 def _score(q_vec, q_types, s_vec, s_types, weight, blanks_match):
     scores = q_vec @ s_vec.T
     if weight and q_types:
-        scores = scores - _penalty(q_types, s_types, weight, blanks_match)
+        scores = scores - penalty_matrix(q_types, s_types, weight, blanks_match)
     return scores
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions.text import norm_schema_relation
 from graphloom.operators.retrieval import nearest_other
+from graphloom.operators.growth import leader_clusters, order_number
 from graphloom.session import ratio
 
 CLUSTER_LIMIT = 4096
@@ -209,11 +210,7 @@ def retype(schema: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def relation_phrase_map(triples: DataFrame, embed, threshold: float = 0.9) -> DataFrame:
     """Leader clusters of open relation phrases (sorted order): ``(r, canonical)``."""
-    from graphloom.operators.growth import leader_clusters
-
-    w = W.orderBy("r")
-    names = triples.select("r").distinct().withColumn("ord", F.row_number().over(w).cast("bigint")).withColumn(
-        "vec", embed(F.col("r")))
+    names = order_number(triples.select("r").distinct(), ["r"], "ord").withColumn("vec", embed(F.col("r")))
     lead = leader_clusters(names, threshold, strict=True)
     return (names.join(lead, "ord").select("r", "leader")
             .join(names.select(F.col("ord").alias("leader"), F.col("r").alias("canonical")), "leader")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 FUSION_WEIGHTS = {"name": 0.4, "definition": 0.3, "head": 0.15, "tail": 0.15}
 HASH_DIM = 64
+# Similarities are rounded before they are compared, so that equal ones tie whatever block they were computed in.
+DIGITS = 12
 
 
 def dot(a: Column, b: Column) -> Column:

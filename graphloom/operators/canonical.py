@@ -2,7 +2,7 @@
 
 * frozen (policy 3): the schema does not change, so every occurrence is independent: retrieval, choice
   parsing and the fallback chain are plain expressions.
-* growing (policies 1 and 2): see :mod:`graphloom.operators.growth`.
+* growing (policies 1 and 2): see :mod:`graphloom.operators.growth`; entity types grow in ``canonicalize_types``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloom.functions.text import strip
 from graphloom.functions.vectors import fuse_concat, fuse_weighted
 from graphloom.operators import growth
+from graphloom.operators.leaders import Reach, elect
 from graphloom.operators.retrieval import top_k
+from graphloom.session import cut_lineage
 
 # What each relation signal embeds, shows and constrains.
 RELATION_CASES = {
@@ -204,15 +206,8 @@ def canonicalize_growing(occurrences: DataFrame, keys: DataFrame, *, key: str =
     return _decide(joined, F.col(key), False, threshold, True, "llm_new_relation"), schema
 
 
-def canonicalize_replayed(occurrences: DataFrame, keys: DataFrame, *, key: str = "relation",
-                          seed: DataFrame | None = None, k: int = 5,
-                          new_label: str = "llm_new_relation") -> tuple[DataFrame, DataFrame]:
-    """Growth driven by recorded model answers (``raw_output``, ``answered``).
-
-    An answer means NEW when it is 0, unreadable, or names a choice beyond the list. The list is shorter
-    than ``k`` only until ``k`` elements exist, so the warm-up needs at most ``k`` aggregate look-ups; after
-    it, NEW depends on the answer alone and everything is decided in parallel.
-    """
+def replayed_mints(occurrences: DataFrame, key: str, seed: DataFrame | None, k: int) -> DataFrame:
+    """``(ord, name)``: the names that recorded answers mint, and where."""
     occ = occurrences.withColumn("_pick", parse_choice(F.col("raw_output"), F.lit(k + 1)))
     occ = occ.withColumn("_ok", F.coalesce(F.col("answered"), F.lit(True)))
     seed_names = [] if seed is None else [r["name"] for r in seed.select("name").orderBy("ord").limit(k).collect()]
@@ -240,6 +235,19 @@ def canonicalize_replayed(occurrences: DataFrame, keys: DataFrame, *, key: str =
     minted = fresh.select("ord", "name")
     if warm:
         minted = spark.createDataFrame(warm, "ord bigint, name string").unionByName(minted)
+    return minted
+
+
+def canonicalize_replayed(occurrences: DataFrame, keys: DataFrame, *, key: str = "relation",
+                          seed: DataFrame | None = None, k: int = 5,
+                          new_label: str = "llm_new_relation") -> tuple[DataFrame, DataFrame]:
+    """Growth driven by recorded model answers (``raw_output``, ``answered``).
+
+    An answer means NEW when it is 0, unreadable, or names a choice beyond the list. The list is shorter
+    than ``k`` only until ``k`` elements exist, so the warm-up needs at most ``k`` aggregate look-ups; after
+    it, NEW depends on the answer alone and everything is decided in parallel.
+    """
+    minted = replayed_mints(occurrences, key, seed, k)
     minted = minted.join(keys.select(F.col(key).alias("name"), "vec"), "name").select("ord", "name", "vec")
     schema = minted if seed is None else seed.select("ord", "name", "vec").unionByName(minted)
     iv = growth.top_k_as_of(keys.select(F.col(key).alias("qid"), "vec"), schema, k)
@@ -259,6 +267,66 @@ def entity_type_groups(entities: DataFrame) -> DataFrame:
         F.transform(members, lambda m: m["entity"]).alias("members"))
 
 
+def type_signal(groups: DataFrame, case: str, embed) -> tuple[DataFrame, DataFrame]:
+    """What a signal sees of ``groups(item_id, ord, fine, definition, parent, …)``, in corpus order.
+
+    Returns ``(occurrences, keys)``: the groups with ``position`` and ``qid``; and ``(qid, ord, name, kind, vec, definition, parent)``
+    of each distinct type, embedded text and parent that the signal tells apart, where it is first used.
+    """
+    cfg = ENTITY_CASES[case]
+    text = entity_embedding_text(cfg["style"], F.col("fine"), F.col("definition"))
+    kind = F.col("parent") if cfg["parent"] else F.lit(None).cast("string")
+    seen = groups.withColumns({"text": text, "kind": kind}).withColumn("qid", F.md5(F.to_json(F.struct("fine", "text", "kind"))))
+    occ = growth.order_number(seen, ["item_id", "ord"])
+    first = F.min_by(F.struct("fine", "text", "kind", "definition", "parent"), "position")
+    keys = occ.groupBy("qid").agg(F.min("position").alias("ord"), first.alias("f")).select(
+        "qid", "ord", F.col("f.fine").alias("name"), F.col("f.kind").alias("kind"), F.col("f.text").alias("text"), "f.definition", "f.parent")
+    return occ.drop("text", "kind"), cut_lineage(keys.withColumn("vec", embed(F.col("text"))).drop("text"))
+
+
+def type_seed(schema: DataFrame, case: str, embed) -> DataFrame:
+    """Entity types ``(ord, name, definition, parent)`` that exist beforehand as a signal embeds them; ``ord`` is negative."""
+    cfg = ENTITY_CASES[case]
+    return schema.select("ord", "name", F.col("parent").alias("kind") if cfg["parent"] else F.lit(None).cast("string").alias("kind"),
+                         embed(entity_embedding_text(cfg["style"], F.col("name"), F.col("definition"))).alias("vec"), "definition", "parent")
+
+
+def canonicalize_types(groups: DataFrame, case: str, embed, *, seed: DataFrame | None = None, allow_new: bool = True, responses: bool = False,
+                       threshold: float = RELATION_THRESHOLD, penalty: float = TYPE_PENALTY, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Canonical type of each (record, fine type) group, under a schema that grows group by group.
+
+    ``groups(item_id, ord, fine, definition, parent, members)`` in the order of records and first mentions, see
+    ``entity_type_groups``. Candidates are the ``k`` best elements at the group's moment; an element of another parent costs
+    ``penalty`` if the signal looks at parents. With ``responses`` the groups carry ``raw_output`` and ``answered`` of a recorded
+    model run; otherwise ``threshold`` decides. A group that reuses nothing mints its fine type, unless a type of that name
+    exists; an element keeps the definition and parent with which it was minted.
+
+    Returns ``(decided, schema)``: the groups with ``pred``, ``is_new``, ``decision``, ``names``, ``scores``; and
+    ``(ord, name, kind, vec, definition, parent)``. Minting is decided over distinct keys by leader election, in which a name leads once.
+    """
+    occ, keys = type_signal(groups, case, embed)
+    types = {"types": ("kind",), "penalty": penalty, "blanks_match": True} if ENTITY_CASES[case]["parent"] else {}
+    held = ["ord", "name", "kind", "vec", "definition", "parent"]
+    seed = None if seed is None else cut_lineage(type_seed(seed, case, embed).select(*held))
+    if not allow_new:
+        out = canonicalize_frozen(occ, keys.drop("ord", "name", "definition", "parent"), seed, key="qid", responses=responses, threshold=threshold, k=k,
+                                  new_label="llm_new_entity", **types)
+        return out, seed
+    if responses:
+        at = replayed_mints(occ, "fine", seed, k)
+        born = occ.select(F.col("position").alias("ord"), "qid", F.col("fine").alias("_fine"), F.struct("definition", "parent").alias("_own"))
+        minted = at.join(born, "ord").join(keys.select("qid", "kind", "vec"), "qid").select(
+            "ord", "name", "kind", "vec", "_own.definition", "_own.parent")
+    else:
+        reach = Reach(threshold, False, types.get("penalty", 0.0))
+        led = elect(keys.select("ord", "vec", "kind", "name"), reach, seeds=seed, names=True)
+        minted = keys.join(led.select("ord"), "ord", "left_semi").select(*held)
+    schema = cut_lineage(minted if seed is None else seed.unionByName(minted))
+    lists = growth.top_k_as_of(keys.select("qid", "vec", "kind"), schema, k, **types)
+    joined = growth.decide_as_of(occ, lists, "qid")
+    return _decide(joined, F.col("fine"), responses, threshold, True, "llm_new_entity"), schema
+
+
 def entity_type_map(decided: DataFrame) -> DataFrame:
     """Surface -> canonical type, last assignment wins: ``(entity, type)``."""
     rows = decided.filter("pred is not null").select(

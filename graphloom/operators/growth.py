@@ -11,8 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.functions.vectors import matrix
+from graphloom.functions.vectors import DIGITS, matrix
 from graphloom.operators.leaders import HEAD, Reach, clusters
 from graphloom.operators.retrieval import penalty_matrix
 from graphloom.session import cut_lineage
@@ -60,24 +61,30 @@ def top_k_as_of(queries: DataFrame, schema: DataFrame, k: int = 5, *, query_id:
     types = list(types)
     qtype = dict(queries.dtypes)[query_id]
     queries = cut_lineage(queries.select(query_id, F.col("vec").cast("array<double>").alias("vec"), *types))
-    schema = cut_lineage(schema.select("ord", "name", F.col("vec").cast("array<double>").alias("vec"), *types))
+    # fresh columns: both sides of a cogroup may come from one table
+    schema = cut_lineage(schema.select("ord", "name", F.col("vec").cast("array<double>").alias("vec"), *types)).select(
+        *[F.col(c).alias(c) for c in ("ord", "name", "vec", *types)])
     nq, ns = (max(1, -(-df.count() // block_rows)) for df in (queries, schema))
+    kind = to_arrow_type(queries.schema[query_id].dataType)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", block(query_id, nq)).withColumn("sb", every(ns)).groupBy("qb", "sb")
     right = schema.withColumn("sb", block("ord", ns)).withColumn("qb", every(nq)).groupBy("qb", "sb")
 
     def meet(q: pa.Table, s: pa.Table) -> pa.Table:
+        if not q.num_rows or not s.num_rows:
+            return pa.table([pa.array([], t) for t in (kind, pa.int64(), pa.string(), pa.float64())], names=[query_id, "ord", "name", "score"])
         s = s.sort_by("ord")
-        s_vec, s_types, out = matrix(s.column("vec")) if s.num_rows else None, [s.column(t).to_pylist() for t in types], []
-        for a in range(0, q.num_rows if s.num_rows else 0, ASOF_TILE):
+        s_vec, s_types, out = matrix(s.column("vec")), [s.column(t).to_pylist() for t in types], []
+        for a in range(0, q.num_rows, ASOF_TILE):
             part = q.slice(a, ASOF_TILE)
             scores = matrix(part.column("vec")) @ s_vec.T
             if penalty and types:
                 scores = scores - penalty_matrix([part.column(t).to_pylist() for t in types], s_types, penalty, blanks_match)
+            scores = np.round(scores, DIGITS)
             rows, cols = _entries(scores, k)
             out.append((rows + a, cols, scores[rows, cols]))
-        rows, cols, scores = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        rows, cols, scores = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table([q.column(query_id).take(pa.array(rows)), s.column("ord").take(pa.array(cols)), s.column("name").take(pa.array(cols)),
                          pa.array(scores)], names=[query_id, "ord", "name", "score"])
 

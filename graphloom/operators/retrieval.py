@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from graphloom.functions.vectors import dot, l2_normalize, matrix
+from graphloom.functions.vectors import DIGITS, dot, l2_normalize, matrix
 from graphloom.session import BROADCAST_BYTES, fits_broadcast
 
 BLOCK_ROWS = 4096
@@ -51,7 +51,7 @@ def _score(q_vec, q_types, s_vec, s_types, weight, blanks_match):
     scores = q_vec @ s_vec.T
     if weight and q_types:
         scores = scores - penalty_matrix(q_types, s_types, weight, blanks_match)
-    return scores
+    return np.round(scores, DIGITS)
 
 
 def _best_tiled(q_vec, q_types, s_vec, s_types, weight, blanks_match, k):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.functions import literals as L, text as T, vectors as VF
@@ -11,13 +13,21 @@ from graphloom.operators import (agreement as A, canonical as C_, clustering as
                                  pairing as P, parsing as PA, retrieval as R, sampling as SA, schemas as S,
                                  setmetrics as SM, spans as SP)
 from graphloom.operators.components import connected_components
+from graphloom.config import BuildConfig
 from graphloom.plans import derived as D
-from graphloom.session import cut_lineage
+from graphloom.plans.construct import Build
+from graphloom.session import cut_lineage, ensure_checkpoint_dir
 from graphloom.sources import corpora as CH
 
 QUERIES: dict = {}
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A fresh folder for a run's stage tables, in the one that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
 def query(fn):
     """Register a plan under its function name; it receives the tables of one folder."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -605,6 +615,46 @@ def ec_type_map(t):
     return C_.entity_type_map(D.ec_decisions(t).filter("ec_case = 2"))
 
 
+TYPE_THRESHOLD = 0.7
+
+
+@query
+def ec_growing(t):
+    """Entity types that grow over all records, for the three signals: how often each was given, and how."""
+    groups = cut_lineage(C_.entity_type_groups(D.part_entities(t)))
+    out = []
+    for case in C_.ENTITY_CASES:
+        d, _ = C_.canonicalize_types(groups, case, hashing_vector, threshold=TYPE_THRESHOLD)
+        out.append(d.groupBy("pred", "decision", "is_new").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fine").alias("n_fine")).withColumn(
+            "ec_case", F.lit(case)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def ec_schema(t):
+    """The types that growth over a seed mints, with the definition and parent of their first use."""
+    groups = cut_lineage(C_.entity_type_groups(D.part_entities(t)))
+    seed = groups.groupBy(F.col("fine").alias("name")).agg(F.lit("").alias("definition"), F.lit("Tool").alias("parent")).filter(
+        F.endswith("name", F.lit("ring")))
+    seed = GR.order_number(seed, ["name"], "ord").withColumn("ord", F.col("ord") - (1 << 60))
+    out = []
+    for case in C_.ENTITY_CASES:
+        _, schema = C_.canonicalize_types(groups, case, hashing_vector, seed=seed, threshold=TYPE_THRESHOLD)
+        out.append(schema.select(F.lit(case).alias("ec_case"), "name", "definition", "parent"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def ec_rerun(t):
+    """Entity types of a finished run from its stored tables: the last type of every entity, under each signal."""
+    run = Build(t.spark, run_folder(t.spark), BuildConfig(relation_threshold=TYPE_THRESHOLD), hashing_vector)
+    run.stage("entities_0", lambda: D.part_entities(t))
+    run.stage("decided_case1_embed_threshold_0", lambda: D.kg_gold(t).withColumn("pred", F.col("r")))
+    done = run.entity_types_only(D.slot_types(t.spark))
+    out = [done[f"entity_map_{case}"].withColumn("ec_case", F.lit(case)) for case in C_.ENTITY_CASES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---------------------------------------------------------------- instances
 
 def instance_inputs(t):

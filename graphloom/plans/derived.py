@@ -160,6 +160,18 @@ def sd_entities(t: Tables) -> DataFrame:
         row(2, "n_name", "Place", "Nation", " is a nation"), row(3, "r_name", "Place", "Region", " is a region"))))
 
 
+@shared
+def part_entities(t: Tables) -> DataFrame:
+    """Entity definitions per record with open fine types: one per line item, ``(item_id, pos, entity, coarse, fine, description)``."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = t["lineitem"].select("l_orderkey", "l_partkey", F.row_number().over(w).cast("bigint").alias("pos"))
+    kind = F.col("p_size") % 3
+    return lines.join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("item_id"), "pos", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("entity"),
+        F.when(kind == 0, "Good").when(kind == 1, "Tool").otherwise("").alias("coarse"), F.col("p_name").alias("fine"),
+        F.concat(F.lit("made for "), F.lower("p_type"), F.lit(" use")).alias("description"))
+
+
 @shared
 def ec_decisions(t: Tables) -> DataFrame:
     """Entity-type decisions ``(ec_case, item_id, ord, fine, pred, members)`` with type confusions."""

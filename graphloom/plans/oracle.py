@@ -383,14 +383,14 @@ def leaders(points, op, thr):
     return dict(
         pts=f"SELECT ord, name, vec, row_number() OVER (ORDER BY ord) AS i FROM {points}",
         adj=f"""SELECT a.i, list(b.i ORDER BY b.i) AS near FROM pts a JOIN pts b ON b.i < a.i
-            AND {dot('a.vec', 'b.vec')} {op} CAST({thr} AS DOUBLE) GROUP BY a.i""",
+            AND round({dot('a.vec', 'b.vec')}, 12) {op} CAST({thr} AS DOUBLE) GROUP BY a.i""",
         walk="""SELECT CAST(1 AS BIGINT) AS i, CAST([1] AS BIGINT[]) AS lead UNION ALL
             SELECT w.i + 1, CASE WHEN list_has_any(coalesce(a.near, CAST([] AS BIGINT[])), w.lead) THEN w.lead
                             ELSE list_append(w.lead, w.i + 1) END
             FROM walk w LEFT JOIN adj a ON a.i = w.i + 1 WHERE w.i < (SELECT max(i) FROM pts)""",
         leads="SELECT unnest(lead) AS i FROM (SELECT lead FROM walk ORDER BY i DESC LIMIT 1)",
         owner=f"""SELECT p.i, min(l.i) AS l FROM pts p JOIN leads l ON l.i = p.i OR l.i < p.i
-            JOIN pts lp ON lp.i = l.i WHERE l.i = p.i OR {dot('p.vec', 'lp.vec')} {op} CAST({thr} AS DOUBLE) GROUP BY p.i""")
+            JOIN pts lp ON lp.i = l.i WHERE l.i = p.i OR round({dot('p.vec', 'lp.vec')}, 12) {op} CAST({thr} AS DOUBLE) GROUP BY p.i""")
 
 
 _LEAD = leaders("pool", ">", 0.85)
@@ -469,12 +469,12 @@ def growth_views(seeded):
     if seeded:
         # seeds never absorb one another: they all lead
         lead["adj"] = f"""SELECT a.i, list(b.i ORDER BY b.i) AS near FROM pts a JOIN pts b ON b.i < a.i AND a.ord >= 0
-            AND {dot('a.vec', 'b.vec')} >= CAST(0.8 AS DOUBLE) GROUP BY a.i"""
+            AND round({dot('a.vec', 'b.vec')}, 12) >= CAST(0.8 AS DOUBLE) GROUP BY a.i"""
     return dict(
         base, **{k: lead[k] for k in ("pts", "adj", "walk", "leads")},
         minted="SELECT p.ord, p.name, p.vec FROM leads JOIN pts p USING (i)",
-        sims=f"""SELECT kv.text AS relation, m.ord, m.name, {dot('kv.vec', 'm.vec')} AS s FROM kv, minted m
-            WHERE {dot('kv.vec', 'm.vec')} >= 0.8""",
+        sims=f"""SELECT kv.text AS relation, m.ord, m.name, round({dot('kv.vec', 'm.vec')}, 12) AS s FROM kv, minted m
+            WHERE round({dot('kv.vec', 'm.vec')}, 12) >= 0.8""",
         best="""SELECT o.position, o.relation, arg_max(s.name, (s.s, -s.ord)) AS top FROM open_rel o LEFT JOIN sims s
             ON s.relation = o.relation AND s.ord < o.position GROUP BY 1, 2""",
         dec="SELECT position, relation, coalesce(top, relation) AS pred, CASE WHEN top IS NULL THEN 'embed_new' ELSE 'embed_reuse' END AS decision FROM best")
@@ -489,6 +489,44 @@ ORACLE["ec_type_groups"] = V("""SELECT item_id, coarse AS fine, min(pos) AS ord,
     string_agg(entity, ',' ORDER BY pos) AS members FROM sd_entities GROUP BY item_id, coarse""", "sd_entities")
 ORACLE["ec_type_map"] = V(_ETYPE.format(c=2), "ec")
 
+EC_SIGNALS = (("ec1_name_only", "fine", "NULL::VARCHAR"), ("ec2_name_definition", "fine || '. ' || definition", "NULL::VARCHAR"),
+              ("ec3_definition_parent", "fine || '. ' || definition", "parent"))
+
+
+def type_growth(i: int, seeded: bool = False) -> dict:
+    """Growing entity types of one signal: ordered leaders with a parent penalty, a name leading once; then decisions as of each group."""
+    _, text, kind = EC_SIGNALS[i]
+    seed = f"""SELECT row_number() OVER (ORDER BY fine) - 1000000 AS ord, fine, fine AS text, {kind.replace('parent', "'Tool'")} AS kind, '' AS definition,
+        'Tool' AS parent FROM (SELECT DISTINCT fine FROM type_groups WHERE ends_with(fine, 'ring'))"""
+    pen = "CASE WHEN a.kind <> '' AND b.kind <> '' AND a.kind <> b.kind THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+    reach = f"round({dot('a.vec', 'b.vec')} - {pen}, 12) >= CAST(0.7 AS DOUBLE)"
+    lock = "AND a.ord >= 0" if seeded else ""
+    return {
+        f"key_{i}": f"""SELECT min(position) AS ord, fine, text, kind, arg_min(definition, position) AS definition, arg_min(parent, position) AS parent
+            FROM (SELECT *, {text} AS text, {kind} AS kind FROM type_groups) GROUP BY fine, text, kind""",
+        f"all_{i}": f"SELECT * FROM key_{i}" + (f" UNION ALL {seed}" if seeded else ""),
+        f"kv_{i}": trigram_vectors(f"all_{i}", "text"),
+        f"pts_{i}": f"SELECT k.*, kv.vec, row_number() OVER (ORDER BY ord) AS i FROM all_{i} k JOIN kv_{i} kv USING (text)",
+        f"adj_{i}": f"SELECT a.i, list(b.i ORDER BY b.i) AS near FROM pts_{i} a JOIN pts_{i} b ON b.i < a.i {lock} AND ({reach} OR a.fine = b.fine) GROUP BY a.i",
+        f"walk_{i}": f"""SELECT CAST(1 AS BIGINT) AS i, CAST([1] AS BIGINT[]) AS lead UNION ALL
+            SELECT w.i + 1, CASE WHEN list_has_any(coalesce(a.near, CAST([] AS BIGINT[])), w.lead) THEN w.lead ELSE list_append(w.lead, w.i + 1) END
+            FROM walk_{i} w LEFT JOIN adj_{i} a ON a.i = w.i + 1 WHERE w.i < (SELECT max(i) FROM pts_{i})""",
+        f"born_{i}": f"SELECT p.* FROM pts_{i} p WHERE p.i IN (SELECT unnest(lead) FROM (SELECT lead FROM walk_{i} ORDER BY i DESC LIMIT 1))",
+        f"near_{i}": f"SELECT a.fine, a.text, a.kind, b.ord, b.fine AS name, round({dot('a.vec', 'b.vec')} - {pen}, 12) AS s FROM pts_{i} a JOIN born_{i} b ON {reach}",
+        f"dec_{i}": f"""SELECT g.position, g.item_id, g.ord, g.fine, g.members, arg_max(n.name, (n.s, -n.ord)) AS top
+            FROM (SELECT *, {text} AS text, {kind} AS kind FROM type_groups) g LEFT JOIN near_{i} n
+            ON n.fine = g.fine AND n.text = g.text AND n.kind IS NOT DISTINCT FROM g.kind AND n.ord < g.position GROUP BY ALL"""}
+
+
+_EC3 = {k: v for i in range(3) for k, v in type_growth(i).items()}
+ORACLE["ec_growing"] = V(" UNION ALL ".join(f"""SELECT '{c[0]}' AS ec_case, coalesce(top, fine) AS pred,
+    CASE WHEN top IS NULL THEN 'embed_new' ELSE 'embed_reuse' END AS decision, top IS NULL AS is_new, count(*) AS n, count(DISTINCT fine) AS n_fine
+    FROM dec_{i} GROUP BY ALL""" for i, c in enumerate(EC_SIGNALS)), "type_groups", recursive=True, **_EC3)
+ORACLE["ec_rerun"] = V(" UNION ALL ".join(f"""SELECT '{c[0]}' AS ec_case, entity, arg_max(coalesce(top, fine), (item_id, ord)) AS type
+    FROM (SELECT *, unnest(members) AS entity FROM dec_{i}) GROUP BY 2""" for i, c in enumerate(EC_SIGNALS)), "type_groups", recursive=True, **_EC3)
+ORACLE["ec_schema"] = V(" UNION ALL ".join(f"SELECT '{c[0]}' AS ec_case, fine AS name, definition, parent FROM born_{i}" for i, c in enumerate(EC_SIGNALS)),
+                        "type_groups", recursive=True, **{k: v for i in range(3) for k, v in type_growth(i, True).items()})
+
 # ---------------------------------------------------------------- instances
 ORACLE["surface_freq"] = V("SELECT surface, count(*) AS freq FROM (SELECT h AS surface FROM kg_pred UNION ALL SELECT t FROM kg_pred) GROUP BY 1", "kg_pred")
 NOUNS = ("county city state province district region territory town village borough municipality area river lake island mountain sea ocean bay valley "

@@ -134,6 +134,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT item_id, 1, order_name, 'Event', 'Order', order_name || ' is an order' FROM order_facts
         UNION ALL SELECT item_id, 2, n_name, 'Place', 'Nation', n_name || ' is a nation' FROM order_facts
         UNION ALL SELECT item_id, 3, r_name, 'Place', 'Region', r_name || ' is a region' FROM order_facts"""),
+    "part_ents": ((), """
+        SELECT l_orderkey AS item_id, row_number() OVER (PARTITION BY l_orderkey
+                 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos, p_name || ' ' || p_partkey AS entity,
+               CASE p_size % 3 WHEN 0 THEN 'Good' WHEN 1 THEN 'Tool' ELSE '' END AS coarse, p_name AS fine,
+               'made for ' || lower(p_type) || ' use' AS description
+        FROM lineitem JOIN part ON l_partkey = p_partkey"""),
+    "type_groups": (("part_ents",), """
+        SELECT *, row_number() OVER (ORDER BY item_id, ord) AS position FROM (
+          SELECT item_id, fine, min(pos) AS ord, arg_min(description, pos) AS definition, arg_min(coarse, pos) AS parent, list(entity) AS members
+          FROM part_ents GROUP BY 1, 2)"""),
     "ec": (("sd_entities",), f"""
         SELECT ec_case, item_id, pos AS ord, fine, coarse, entity,
                CASE WHEN ec_case > 1 AND item_id % 3 = 0 AND fine = 'Nation' THEN 'Region'
@@ -163,7 +173,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 # Views a recursive step looks up again and again.
-MATERIAL = ("pts", "adj", "sym", "pairs", "kv", "lv", "dv", "sf")
+MATERIAL = ("pts", "adj", "sym", "pairs", "kv", "lv", "dv", "sf", *(f"{v}_{i}" for v in ("pts", "adj", "kv") for i in range(3)))
 
 
 def with_views(select: str, *names: str, recursive: bool = False, **extra: str) -> str:

@@ -7,11 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions.text import norm_schema_relation
-from graphloom.operators.retrieval import nearest_other
 from graphloom.operators.growth import leader_clusters, order_number
-from graphloom.session import ratio
+from graphloom.operators.retrieval import nearest_other, top_k
+from graphloom.session import cut_lineage, ratio
 
-CLUSTER_LIMIT = 4096
 
 
 def schema_precision(pred: DataFrame, gold: DataFrame, normalised: bool = False) -> DataFrame:
@@ -97,47 +96,36 @@ def redundant_pairs(schema: DataFrame, threshold: float = 0.85, batch: int = 204
     return tasks.groupBy("x", "y").applyInPandas(pairs, "a string, b string, score double")
 
 
-def average_linkage_clusters(schema: DataFrame, threshold: float = 0.8, limit: int = CLUSTER_LIMIT) -> DataFrame:
-    """Average-linkage clusters of a schema at cosine distance ``1 - threshold``: ``(name, cluster)``.
+def average_linkage_clusters(schema: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Average-linkage clusters of ``schema(ord, name, vec)`` at cosine distance ``1 - threshold``: ``(name, cluster)``.
 
-    Two elements can only end in one cluster when some chain of pairs with similarity above the cut links
-    them: a merge needs a mean distance below the cut, hence at least one such pair across. Connected parts
-    of the similarity graph are therefore independent and are clustered in parallel, one task per part; a
-    part beyond ``limit`` elements is refused with an error rather than gathered.
+    The mean similarity of two clusters is the product of their mean vectors, so a cluster is one row ``(id, n, vec)`` and no pair
+    of elements is kept. In every round each cluster finds its nearest other one (exact top-k), and clusters that are each other's
+    nearest and more similar than ``threshold`` become one, at once: a merge never brings a cluster nearer to a third than the
+    nearer of its parts was, so these are merges of the serial order too. For the same reason a cluster without a neighbour
+    above the threshold is final and leaves. Equal vectors are one cluster from the start. A cluster is named by its smallest ``ord``.
     """
-    from graphloom.operators.components import connected_components
-
-    # `>=` on the cut: pairs exactly at the threshold may merge
-    near = redundant_pairs(schema, np.nextafter(threshold, 0.0))
-    parts = connected_components(schema.select(F.col("name").alias("id")), near)
-    rows = schema.join(parts.select(F.col("id").alias("name"), F.col("component").alias("part")), "name")
-    biggest = rows.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    if biggest > limit:
-        raise ValueError(f"a similarity component has {biggest} elements; average linkage is limited to {limit}")
-    cut = 1 - threshold
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord").reset_index(drop=True)
-        v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        d = 1 - v @ v.T
-        np.fill_diagonal(d, np.inf)
-        size = np.ones(len(d))
-        label = np.arange(len(d))
-        while len(d) > 1:
-            i, j = np.unravel_index(np.argmin(d), d.shape)
-            if not d[i, j] < cut:
-                break
-            i, j = min(i, j), max(i, j)
-            merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-            d[i], d[:, i] = merged, merged
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            label[label == j] = i
-        name = pdf["name"].to_numpy(dtype=object)
-        return pd.DataFrame({"name": name, "cluster": name[label]}, dtype=object)
-
-    return rows.select("part", "ord", "name", "vec").groupBy("part").applyInPandas(link, "name string, cluster string")
+    rows = cut_lineage(schema.select("ord", "name", F.col("vec").cast("array<double>").alias("vec")))
+    state = cut_lineage(rows.groupBy("vec").agg(F.min("ord").alias("id"), F.count(F.lit(1)).cast("double").alias("n")))
+    label = cut_lineage(rows.join(state.select("vec", "id"), "vec").select("name", "id"))
+    while True:
+        best = top_k(state.select(F.col("id").alias("qid"), "vec"), state.select(F.col("id").alias("ord"), F.lit("").alias("name"), "vec"), 2)
+        best = best.filter(F.col("qid") != F.col("ord")).groupBy("qid").agg(F.min_by(F.struct("ord", "score"), "rank").alias("b")).select(
+            F.col("qid").alias("id"), F.col("b.ord").alias("other"), F.col("b.score").alias("score")).filter(F.col("score") > threshold)
+        best = cut_lineage(best)
+        back = best.select(F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = cut_lineage(best.join(back, ["id", "other"]).filter("id < other").select("id", "other"))
+        if pairs.isEmpty():
+            break
+        gone = pairs.select(F.col("other").alias("id"), F.col("id").alias("into"))
+        moved = state.join(best.select("id"), "id", "left_semi").join(gone, "id", "left").select(F.coalesce("into", "id").alias("id"), "n", "vec")
+        one = moved.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "vec")).alias("parts"))  # two parts at most
+        mean = F.aggregate("parts", F.transform(F.col("parts")[0]["vec"], lambda x: F.lit(0.0)), lambda acc, p: F.zip_with(
+            acc, p["vec"], lambda x, y: x + y * p["n"]))
+        state = cut_lineage(one.select("id", "n", F.transform(mean, lambda x: x / F.col("n")).alias("vec")))
+        label = cut_lineage(label.join(gone, "id", "left").select("name", F.coalesce("into", "id").alias("id")))
+    first = rows.select(F.col("ord").alias("id"), F.col("name").alias("cluster"))
+    return label.join(first, "id").select("name", "cluster")
 
 
 def schema_growth(used: DataFrame, by=()) -> DataFrame:

@@ -420,6 +420,25 @@ ORACLE["redundancy_nn"] = V(f"""SELECT count(*) AS n_relations, round(avg(m), 6)
     (SELECT a.ord, max({dot('a.vec', 'b.vec')}) AS m FROM pool a JOIN pool b ON a.ord <> b.ord GROUP BY 1)""", "pool")
 ORACLE["redundancy_pairs"] = V(f"""SELECT a.name AS a, b.name AS b, round({dot('a.vec', 'b.vec')}, 6) AS score FROM pool a JOIN pool b
     ON a.ord < b.ord WHERE {dot('a.vec', 'b.vec')} > 0.85""", "pool")
+
+
+def linkage(rounds: int) -> dict:
+    """Average linkage by rounds of mutually nearest clusters, each a row of mean vector and size; unrolled."""
+    out = {"st_0": "SELECT min(ord) AS id, CAST(count(*) AS DOUBLE) AS n, vec FROM pool GROUP BY vec"}
+    for k in range(rounds):
+        s = f"round({dot('a.vec', 'b.vec')}, 12)"
+        out[f"nn_{k}"] = f"""SELECT a.id, arg_max(b.id, ({s}, -b.id)) AS other FROM st_{k} a JOIN st_{k} b ON a.id <> b.id AND {s} > 0.8 GROUP BY a.id"""
+        out[f"mg_{k}"] = f"SELECT a.id, b.id AS gone FROM nn_{k} a JOIN nn_{k} b ON a.other = b.id AND b.other = a.id AND a.id < b.id"
+        out[f"st_{k + 1}"] = f"""SELECT coalesce(m.id, s.id) AS id, sum(s.n) AS n, list_transform(range(1, 65), lambda d: list_sum(list_transform(
+            list(struct_pack(n := s.n, vec := s.vec)), lambda p: p.n * p.vec[d])) / sum(s.n)) AS vec
+            FROM st_{k} s JOIN nn_{k} USING (id) LEFT JOIN mg_{k} m ON m.gone = s.id GROUP BY 1"""
+    return out
+
+
+_ROUNDS = 14
+ORACLE["redundancy_clusters"] = V(f"""SELECT n AS n_relations, n - dup - merged AS n_clusters, round(1 - (n - dup - merged) / n, 6) AS redundancy FROM
+    (SELECT count(*) AS n, count(*) - count(DISTINCT vec) AS dup FROM pool),
+    (SELECT {' + '.join(f'(SELECT count(*) FROM mg_{k})' for k in range(_ROUNDS))} AS merged)""", "pool", **linkage(_ROUNDS))
 _NR = "replace(replace(lower(relation), '_', ''), ' ', '')"
 ORACLE["redundancy_lexical"] = V(f"""
     SELECT count(*) AS n_relations, (SELECT count(*) FROM n a JOIN n b ON a.relation < b.relation

@@ -173,7 +173,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 # Views a recursive step looks up again and again.
-MATERIAL = ("pts", "adj", "sym", "pairs", "kv", "lv", "dv", "sf", *(f"{v}_{i}" for v in ("pts", "adj", "kv") for i in range(3)))
+MATERIAL = ("pts", "adj", "sym", "pairs", "kv", "lv", "dv", "sf", *(f"{v}_{i}" for v in ("pts", "adj", "kv") for i in range(3)),
+            *(f"{v}_{i}" for v in ("st", "nn", "mg") for i in range(40)))
 
 
 def with_views(select: str, *names: str, recursive: bool = False, **extra: str) -> str:

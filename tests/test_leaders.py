@@ -82,3 +82,22 @@ def test_candidate_lists_over_time(spark, block):
             known = [(-(np.dot(vec, v) - (0.2 if kind and k and kind != k else 0)), o, n) for o, n, v, k in schema if o < at]
             want = [n for _, _, n in sorted(known)[:3]]
             assert next(s[2] for s in spans if s[0] < at <= s[1]) == want
+
+
+def test_average_linkage_names_the_serial_clusters(spark):
+    """Tight and loose groups, equal vectors, and a chain whose ends are far apart."""
+    from graphloom.operators.schemas import average_linkage_clusters
+
+    points = rows(90, 5, 0.35)
+    angle = np.linspace(0, 1.3, 9) ** 1.2
+    points += [(2000 + i, [float(np.cos(a)), float(np.sin(a)), *[0.0] * 6], None, None) for i, a in enumerate(angle)]
+    groups, v = [[p[0]] for p in points], {p[0]: np.array(p[1]) for p in points}
+    while True:
+        best = max((float(np.mean([v[a] @ v[b] for a in x for b in y])), -i, -j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        if best[0] <= 0.8:
+            break
+        groups[-best[1]] += groups.pop(-best[2])
+    df = spark.createDataFrame([(p[0], f"n{p[0]}", p[1]) for p in points], "ord long, name string, vec array<double>")
+    got = {r.name: r.cluster for r in average_linkage_clusters(df, 0.8).collect()}
+    assert got == {f"n{o}": f"n{min(g)}" for g in groups for o in g}
+    assert average_linkage_clusters(df.limit(0), 0.8).count() == 0

@@ -38,7 +38,7 @@ from . import words as W
 from .common import bitmap, cut, in_bitmap, text_key
 
 WINDOW, GRAM = 13, 7
-PIECE, FLUSH = 2 << 20, 1 << 20
+PIECE, FLUSH = 1 << 20, 1 << 19
 SEGMENT = 22
 SMALLEST, LARGEST = 22, 28
 

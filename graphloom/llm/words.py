@@ -27,10 +27,10 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` text bytes, so that memory follows neither the batch size nor the other rows.
 
-    A text longer than that is a slice of its own.
+    A text longer than that is a slice of its own. Arrow's free memory goes back after each batch, as workers live for many stages.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -40,6 +40,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.session import f1, ratio
 
+# Terms of the expected mutual information computed at once, and the log of a chance that is left out.
+EMI_CHUNK, NEGLIGIBLE = 4096, -80.0
+
 
 def contingency(mentions: DataFrame, by=("case_id",)) -> DataFrame:
     """``(by…, pred, gold, o)`` with the row, column and total sums ``np``, ``ng``, ``n``."""
@@ -116,18 +119,31 @@ def adjusted_mutual_information(cells: DataFrame, by=("case_id",)) -> DataFrame:
         (F.col("mi") - F.col("emi")) / F.when(F.abs(den) < 1e-15, F.lit(1e-15)).otherwise(den))).select(*by, "ami")
 
 
-def _expected_term(n, x, y):
-    lo, hi = max(1, x + y - n), min(x, y)
-    if hi < lo:
-        return 0.0
-    lg = math.lgamma
-    # the hypergeometric mass is computed outward from its mode by ratios, which needs no special function
-    c = np.arange(lo, hi + 1, dtype=np.float64)
-    step = np.log((x - c[:-1]) * (y - c[:-1])) - np.log((c[:-1] + 1) * (n - x - y + c[:-1] + 1))
-    first = (lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1)
-             - lg(lo + 1) - lg(x - lo + 1) - lg(y - lo + 1) - lg(n - x - y + lo + 1))
-    logp = first + np.concatenate([[0.0], np.cumsum(step)])
-    return float(np.sum(c / n * np.log(n * c / (float(x) * y)) * np.exp(logp)))
+def _expected_term(n, x, y, chunk=EMI_CHUNK):
+    """Expected mutual information of two clusters of ``x`` and ``y`` out of ``n`` mentions, over their overlap ``c``.
+
+    The chance of ``c`` is followed from its most likely value to both sides by ratios, ``chunk`` values at a time, until the rest is
+    negligible; the chances are then scaled to one. So memory does not follow the clusters' sizes, and no factorial is needed.
+    """
+    lo, hi = max(0, x + y - n), min(x, y)
+    mode = min(max((x + 1) * (y + 1) // (n + 2), lo), hi)
+    weight, total = 1.0, _gain(float(mode), n, x, y)
+    for side, end in ((1, hi), (-1, lo)):
+        at, level = mode, 0.0
+        while at != end and level > NEGLIGIBLE:
+            c = np.arange(1, min(chunk, abs(end - at)) + 1, dtype=np.float64) * side + at
+            low = np.minimum(c, c - side)  # each ratio is between low and low + 1
+            ratio_ = np.log(x - low) + np.log(y - low) - np.log(low + 1) - np.log(n - x - y + low + 1)
+            log_p = level + side * np.cumsum(ratio_)
+            p = np.exp(log_p)
+            weight += p.sum()
+            total += float((p * _gain(c, n, x, y)).sum())
+            at, level = int(c[-1]), float(log_p[-1])
+    return total / weight
+
+
+def _gain(c, n, x, y):
+    return np.where(c > 0, c / n * np.log(np.maximum(c, 1) * n / (float(x) * y)), 0.0)
 
 
 def all_scores(mentions: DataFrame, by=("case_id",)) -> DataFrame:

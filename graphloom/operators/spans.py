@@ -1,6 +1,6 @@
 """Word-span triple scoring: exact, strict, partial and type F1 under the best one-to-one assignment.
 
-Span semantics follow the published SemEval-2013 task 9.1 scheme as documented by the ``nervaluate`` package
+Span semantics follow the published SemEval-2013 task 9.1 scheme
 (an overlap is tested on half-open ranges, so a one-word span only matches exactly). A record's predicted and
 reference lists are two array columns of one row, so a task holds one record at a time.
 """
@@ -32,66 +32,52 @@ def _words(text):
     return out
 
 
-def _common_runs(ref, cand):
-    """Owner of every word after pairing the longest common runs first: ``(ref_run, cand_run, cand_to_ref)``."""
-    r_run, c_run, c_ref = [0] * len(ref), [0] * len(cand), [None] * len(cand)
-    run = 0
-    for n in range(len(cand), 0, -1):
-        again = True
-        while again:
-            again = False
-            for c in range(len(cand) - n + 1):
-                if any(c_run[c:c + n]):
-                    continue
-                want = cand[c:c + n]
-                r = next((i for i in range(len(ref) - n + 1) if not any(r_run[i:i + n]) and ref[i:i + n] == want), None)
-                if r is not None:
-                    run += 1
-                    r_run[r:r + n] = [run] * n
-                    c_run[c:c + n] = [run] * n
-                    c_ref[c:c + n] = range(r, r + n)
-                    again = True
-                    break
-    return r_run, c_run, c_ref
+def _shared_runs(ref, cand):
+    """Disjoint common runs ``(c, r, n)`` in candidate order, longer ones taken first, then earlier ones."""
+    same = np.equal.outer(np.array(cand, dtype=object), np.array(ref, dtype=object)).astype(bool)
+    length = np.zeros((len(cand) + 1, len(ref) + 1), dtype=int)  # of the longest run from each pair of words
+    for c in range(len(cand) - 1, -1, -1):
+        length[c, :-1] = np.where(same[c], length[c + 1, 1:] + 1, 0)
+    runs = sorted((-n, c, r) for c, r in zip(*np.nonzero(same), strict=True) for n in range(1, length[c, r] + 1))
+    free_c, free_r, taken = np.ones(len(cand), bool), np.ones(len(ref), bool), []
+    for n, c, r in runs:
+        if free_c[c:c - n].all() and free_r[r:r - n].all():
+            free_c[c:c - n] = free_r[r:r - n] = False
+            taken.append((int(c), int(r), -n))
+    return sorted(taken)
 
 
 @lru_cache(maxsize=_CACHE)
 def _attribute(ref_text, cand_text):
-    """(found, length, reference spans, candidate spans) of one attribute, positions counted from zero."""
+    """(found, length, reference spans, candidate spans) of one attribute, positions counted from zero.
+
+    The reference is one span. Each shared run covers its place there; what the candidate has before a run at the reference's first
+    word, or after one at its last word, widens that run. Other gaps between runs follow behind, a span each. A run is also
+    counted with each number of the reference words that it leaves uncovered up to the next span.
+    """
     ref, cand = _words(ref_text), _words(cand_text)
-    r_run, c_run, c_ref = _common_runs(ref, cand)
-    if not any(c_run):
+    runs = _shared_runs(ref, cand)
+    if not runs:
         refs = ((0, len(ref) - 1),) if ref else ()
         cands = ((len(ref), len(ref) + len(cand) - 1),) if cand or not ref else ()
         return False, len(ref) + len(cand), refs, cands
-    matched = [i for i, x in enumerate(c_run) if x]
-    first, last = matched[0], matched[-1]
-    lead = c_ref[first] == 0
-    trail = bool(r_run[-1]) and not c_run[-1] and c_ref[last] == len(ref) - 1
-    before, after, loose, block = [], [], [], 1
-    for i, x in enumerate(c_run):
-        if x:
-            block += 1
-        elif lead and i < first:
-            before.append(("run", c_run[first]))
-        elif trail and i > last:
-            after.append(("run", c_run[last]))
-        else:
-            loose.append(("loose", block))
-    line = before + [("run", x) if x else None for x in r_run] + after + loose
-    spans, current, begin = [], None, 0
-    for i, owner in enumerate(line):
-        if owner is None:
-            if current is not None:
-                spans.append((begin, i - 1))
-            continue
-        if owner != current:
-            if current is not None:
-                spans.append((begin, i - 1))
-            current, begin = owner, i
-        if i == len(line) - 1:
-            spans.append((begin, i))
-    return True, len(line), ((len(before), len(before) + len(ref) - 1),), tuple(spans)
+    starts = [0] + [c + n for c, _, n in runs]
+    gaps = [end - start for start, end in zip(starts, [c for c, _, _ in runs] + [len(cand)], strict=True)]
+    before = gaps[0] if runs[0][1] == 0 else 0
+    after = gaps[-1] if runs[-1][1] + runs[-1][2] == len(ref) else 0
+    covers = sorted((before + r - (before if k == 0 else 0), before + r + n - 1 + (after if k == len(runs) - 1 else 0))
+                    for k, (_, r, n) in enumerate(runs))
+    at, loose = before + len(ref) + after, []
+    for k, gap in enumerate(gaps):
+        if gap and not (k == 0 and before) and not (k == len(gaps) - 1 and after):
+            loose.append((at, at + gap - 1))
+            at += gap
+    ends = [first for first, _ in covers[1:]] + [before + len(ref) + after]
+    spans = list(loose)
+    for k, ((first, last), end) in enumerate(zip(covers, ends, strict=True)):
+        open_end = k == len(covers) - 1 and not loose
+        spans += [(first, x) for x in range(last, max(last + 1, end - open_end))]
+    return True, at, ((before, before + len(ref) - 1),), tuple(sorted(spans))
 
 
 def _layout(ref, cand):

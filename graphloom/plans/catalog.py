@@ -17,6 +17,7 @@ from graphloom.config import BuildConfig
 from graphloom.plans import derived as D
 from graphloom.plans.construct import Build
 from graphloom.session import cut_lineage, ensure_checkpoint_dir
+from graphloom.streaming.growth import process_batch
 from graphloom.sources import corpora as CH
 
 QUERIES: dict = {}
@@ -567,6 +568,18 @@ def sc_seeded_fold(t):
     return d.groupBy("pred", "decision").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation").alias("n_open"))
 
 
+@query
+def sc_incremental(t):
+    """The growing policy over micro-batches of records, one of them delivered twice, with the schema kept as a table."""
+    occ, folder = cut_lineage(D.open_relations(t)), run_folder(t.spark)
+    last = occ.agg(F.max("item_id")).first()[0] or 0
+    for turn in (0, 1, 1, 2):
+        part = occ.filter(F.least(F.floor(F.col("item_id") * 3 / (last + 1)), F.lit(2)) == turn)
+        process_batch(part, turn, folder, hashing_vector, 0.8)
+    d = t.spark.read.parquet(f"{folder}/decisions")
+    return d.groupBy("pred", "decision").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation").alias("n_open"))
+
+
 def replay_inputs(t):
     occ, keys = growth_inputs(t)
     n = (F.col("position") * 7 + F.length("relation")) % 11

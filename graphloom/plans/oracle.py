@@ -41,6 +41,13 @@ ORACLE["cluster_ari_nmi_v"] = V("""
            round(2 * hom * com / (hom + com), 6) AS v_measure, round(hom, 6) AS homogeneity,
            round(com, 6) AS completeness, round(both_ / sqrt(same_pred * same_gold), 6) AS fmi
     FROM info""", "pair_sums", **_INFO)
+_LG = "lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(c + 1) - lgamma(x - c + 1) - lgamma(y - c + 1) - lgamma(n - x - y + c + 1)"
+ORACLE["cluster_ami"] = V("SELECT case_id, round((mi - emi) / ((hp + hg) / 2 - emi), 6) AS ami FROM mi JOIN hp USING (case_id) JOIN hg USING (case_id) JOIN emi USING (case_id)",
+    "pair_sums", **_INFO,
+    sizes="SELECT p.case_id, n::BIGINT AS n, x::BIGINT AS x, y::BIGINT AS y FROM (SELECT DISTINCT case_id, pred, np AS x, n FROM cells) p "
+          "JOIN (SELECT DISTINCT case_id, gold, ng AS y FROM cells) g USING (case_id)",
+    emi=f"SELECT case_id, sum(c::DOUBLE / n * ln(n::DOUBLE * c / (x::DOUBLE * y)) * exp({_LG})) AS emi FROM "
+        "(SELECT *, unnest(range(greatest(1, x + y - n), least(x, y) + 1)) AS c FROM sizes) GROUP BY 1")
 ORACLE["cluster_all_scores"] = V(f"""
     SELECT case_id, CAST(pair_sums.n AS BIGINT) AS n_mentions, round({f1(_P, _R)}, 6) AS pairwise_f1,
            round({f1('b.p', 'b.r')}, 6) AS bcubed_f1, round({f1('macro_p', 'macro_r')}, 6) AS macro_f1,
@@ -501,6 +508,7 @@ def growth_views(seeded):
 
 _GQ = "SELECT pred, decision, count(*) AS n, count(DISTINCT relation) AS n_open FROM dec GROUP BY ALL"
 ORACLE["sc_embed_threshold_fold"] = V(_GQ, "open_rel", recursive=True, **growth_views(False))
+ORACLE["sc_incremental"] = ORACLE["sc_embed_threshold_fold"]
 ORACLE["sc_seeded_fold"] = V(_GQ, "open_rel", recursive=True, **growth_views(True))
 ORACLE["alias_accumulate"] = V("""SELECT pred, string_agg(relation, ',' ORDER BY a) AS aliases FROM (SELECT pred, relation, min(position) AS a
     FROM dec WHERE decision = 'embed_reuse' AND relation <> pred GROUP BY 1, 2) GROUP BY 1""", "open_rel", recursive=True, **growth_views(False))

@@ -101,3 +101,20 @@ def test_average_linkage_names_the_serial_clusters(spark):
     got = {r.name: r.cluster for r in average_linkage_clusters(df, 0.8).collect()}
     assert got == {f"n{o}": f"n{min(g)}" for g in groups for o in g}
     assert average_linkage_clusters(df.limit(0), 0.8).count() == 0
+
+
+def test_expected_information_in_chunks_of_any_size():
+    """Against the sum over all overlaps, with chunks far smaller than the clusters."""
+    import math
+
+    from graphloom.operators.clustering import _expected_term
+
+    def whole(n, x, y):
+        lo, hi = max(1, x + y - n), min(x, y)
+        p = lambda c: math.comb(y, c) * math.comb(n - y, x - c) / math.comb(n, x)
+        return sum(c / n * math.log(n * c / (x * y)) * p(c) for c in range(lo, hi + 1))
+
+    for n, x, y in ((10, 3, 4), (10, 9, 8), (7, 7, 3), (5, 1, 1), (400, 150, 260), (1000, 999, 2), (300, 300, 300)):
+        for chunk in (1, 7, 4096):
+            assert abs(_expected_term(n, x, y, chunk) - whole(n, x, y)) < 1e-12
+    assert 0 < _expected_term(3 * 10 ** 9, 10 ** 9, 10 ** 9) < 1e-8

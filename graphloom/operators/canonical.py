@@ -255,6 +255,57 @@ def canonicalize_replayed(occurrences: DataFrame, keys: DataFrame, *, key: str =
     return _decide(joined, F.col(key), True, None, True, new_label), schema
 
 
+def relation_signal(occurrences: DataFrame, case: str, embed) -> tuple[DataFrame, DataFrame]:
+    """What a signal sees of ``occurrences(position, relation, definition, …)``; definitions belong to a record's own relation.
+
+    Returns the occurrences with ``qid``, and ``(qid, vec, head_type, tail_type)`` of each distinct composed text (and slot types, if the
+    signal looks at them): every text is embedded once, however many records hold it.
+    """
+    cfg = RELATION_CASES[case]
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    fields = ["relation", "definition", "general_definition_edc", "general_definition_abstract", "head_type", "tail_type"]
+    text = relation_embedding_text(cfg["style"], *[blank(c) for c in fields])
+    seen = [text, *([blank("head_type"), blank("tail_type")] if cfg["typed"] else []),
+            *([blank(c) for c in ("definition", "head_type", "tail_type")] if cfg["style"] in ("concat", "weighted") else [])]
+    occ = occurrences.withColumn("qid", F.md5(F.to_json(F.array(*seen))))
+    keys = occ.groupBy("qid").agg(F.min_by(F.struct(*[blank(c).alias(c) for c in fields]), "position").alias("f")).select("qid", "f.*")
+    return occ, cut_lineage(relation_vectors(keys, case, embed).select("qid", "vec", "head_type", "tail_type"))
+
+
+def canonicalize_signal(occurrences: DataFrame, case: str, embed, *, seed: DataFrame | None = None, allow_new: bool = True,
+                        threshold: float = RELATION_THRESHOLD, penalty: float = TYPE_PENALTY, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Canonical relation of each occurrence under one of the nine signals: ``(decided, schema(ord, name, vec, head_type, tail_type))``.
+
+    ``occurrences(position, item_id, relation, definition, general_definition_edc, general_definition_abstract, head_type, tail_type)``, with
+    ``raw_output`` and ``answered`` of a recorded run for the signals that ask a model; the first signal decides by ``threshold``. A relation is
+    minted by its first occurrence that reuses nothing, and keeps that record's definition and slot types. The typed signal takes ``penalty``
+    from elements whose slot types differ. ``seed(ord, name, definition, …)`` exists beforehand, with negative ``ord``; a seed element
+    without the definition that the signal reads is an error.
+    """
+    cfg = RELATION_CASES[case]
+    types = {"types": ("head_type", "tail_type"), "penalty": penalty} if cfg["typed"] else {}
+    occ, keys = relation_signal(occurrences, case, embed)
+    held = ["ord", "name", "vec", "head_type", "tail_type"]
+    if seed is not None:
+        bad = check_seed_schema(seed, case).select("name").limit(1).collect()
+        if bad:
+            raise ValueError(f"{case} needs {cfg['field']} of every seed relation; {bad[0]['name']!r} has none")
+        parts = seed.withColumn("relation", F.col("name"))
+        seed = cut_lineage(relation_vectors(parts, case, embed).select("ord", "name", "vec", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in held[3:]]))
+    if not allow_new:
+        return canonicalize_frozen(occ, keys, seed, key="qid", responses=cfg["llm"], threshold=threshold, k=k, **types), seed
+    if cfg["llm"]:
+        at = replayed_mints(occ, "relation", seed, k)
+        minted = at.join(occ.select(F.col("position").alias("ord"), "qid"), "ord").join(keys, "qid").select(*held)
+    else:
+        uses = occ.groupBy("qid").agg(F.min("position").alias("ord"), F.first("relation").alias("name")).join(keys, "qid")
+        led = elect(uses.select("ord", "vec", "name"), Reach(threshold, False), seeds=seed, names=True)
+        minted = uses.join(led.select("ord"), "ord", "left_semi").select(*held)
+    schema = cut_lineage(minted if seed is None else seed.unionByName(minted))
+    lists = growth.top_k_as_of(keys, schema, k, **types)
+    return _decide(growth.decide_as_of(occ, lists, "qid"), F.col("relation"), cfg["llm"], threshold, True, "llm_new_relation"), schema
+
+
 def entity_type_groups(entities: DataFrame) -> DataFrame:
     """One row per item and fine type: first definition and coarse type, members in order.
 

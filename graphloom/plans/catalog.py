@@ -594,6 +594,34 @@ def sc_replayed_fold(t):
     return d.groupBy("pred", "decision", "is_new").agg(F.count(F.lit(1)).alias("n"))
 
 
+def signal_inputs(t):
+    """Line items as occurrences of their part's name, with the definitions and slot types of their record, and recorded answers."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = t["lineitem"].select("l_orderkey", "l_partkey", "l_returnflag", F.row_number().over(w).alias("k"))
+    rows = lines.join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    occ = GR.order_number(rows.select(
+        F.col("l_orderkey").alias("item_id"), F.col("k").alias("pos"), F.col("p_name").alias("relation"),
+        F.concat(F.lit("made for "), F.lower("p_type"), F.lit(" use")).alias("definition"),
+        F.concat(F.lit("what "), F.lower("p_type"), F.lit(" buyers want")).alias("general_definition_edc"),
+        F.concat(F.lit("a thing of size class "), (F.col("p_size") % 3).cast("string")).alias("general_definition_abstract"),
+        F.concat(F.lit("H"), (F.col("p_size") % 2).cast("string")).alias("head_type"), F.lower("l_returnflag").alias("tail_type")), ["item_id", "pos"])
+    n = (F.col("item_id") * 7 + F.col("pos") * 3 + F.length("relation")) % 11
+    raw = F.when(n == 0, "0").when(n == 1, "no idea").otherwise(F.concat(F.lit("Answer: "), (n % 6 + 1).cast("string")))
+    return occ.withColumn("raw_output", raw).withColumn("answered", F.col("item_id") % 13 != 0)
+
+
+@query
+def sc_signals(t):
+    """The nine relation signals over one input, each growing its own schema: what each line item's relation became, and how."""
+    occ, out = cut_lineage(signal_inputs(t)), None
+    for case in C_.RELATION_CASES:
+        d, _ = C_.canonicalize_signal(occ, case, hashing_vector, threshold=0.8)
+        rows = d.groupBy("pred", "decision", "is_new").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation").alias("n_open")).withColumn(
+            "signal", F.lit(case))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def alias_accumulate(t):
     occ, keys = growth_inputs(t)

@@ -208,8 +208,8 @@ def canonicalize_growing(occurrences: DataFrame, keys: DataFrame, *, key: str =
 
 def replayed_mints(occurrences: DataFrame, key: str, seed: DataFrame | None, k: int) -> DataFrame:
     """``(ord, name)``: the names that recorded answers mint, and where."""
-    occ = occurrences.withColumn("_pick", parse_choice(F.col("raw_output"), F.lit(k + 1)))
-    occ = occ.withColumn("_ok", F.coalesce(F.col("answered"), F.lit(True)))
+    occ = cut_lineage(occurrences.select("position", key, parse_choice(F.col("raw_output"), F.lit(k + 1)).alias("_pick"),
+                                         F.coalesce(F.col("answered"), F.lit(True)).alias("_ok")))
     seed_names = [] if seed is None else [r["name"] for r in seed.select("name").orderBy("ord").limit(k).collect()]
     size, at, taken = len(seed_names), -(2 ** 62), list(seed_names)
     warm = []

@@ -61,8 +61,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-                        "longest", "longest_at")
+                        F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,4 +101,20 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n
 FROM w LEFT JOIN y ON y.doc_id = w.doc_id
 """
 
-ORACLE = {"op2_topk": _OP2, "op5_license_scan": licenses.duckdb_sql(), "op7_substrings": _OP7}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT item_id, least(10, len(ws)) AS size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i, ws FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM g),
+sizes AS (SELECT DISTINCT size FROM w),
+s AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS i, ws FROM d, sizes WHERE len(ws) >= size),
+m AS (SELECT s.doc_id, s.i, s.size, w.item_id FROM s JOIN w ON w.size = s.size AND w.g = array_to_string(s.ws[s.i:s.i + s.size - 1], ' ')),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS k FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+      FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words,
+       coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+ORACLE = {"op2_topk": _OP2, "op5_license_scan": licenses.duckdb_sql(), "op7_substrings": _OP7, "op11_decontaminate": _OP11}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions.text import norm_entity, norm_open, norm_relation
 from graphloom.operators.retrieval import nearest
-from graphloom.session import f1, ratio
+from graphloom.session import cut_lineage, f1, ratio
 
 
 def prf(tp="tp", fp="fp", fn="fn"):
@@ -97,8 +97,6 @@ def greedy_matches(left: DataFrame, right: DataFrame, keys, threshold: float, sc
     both of its ends (the order is strict), so the matching runs in parallel rounds over the pairs that pass
     the threshold; pairs below it never leave the join.
     """
-    from graphloom.session import cut_lineage
-
     keys = list(keys)
     pairs = left.join(right, keys).withColumn("s", score("lv", "rv")).filter(F.col("s") >= threshold)
     pairs = cut_lineage(pairs.select(*keys, "i", "j", "s"))
@@ -115,64 +113,91 @@ def greedy_matches(left: DataFrame, right: DataFrame, keys, threshold: float, sc
                             .join(chosen.select(*keys, "j"), [*keys, "j"], "left_anti"))
 
 
-def equal_first_matches(left: DataFrame, right: DataFrame, keys, embed, threshold: float) -> DataFrame:
-    """Number of greedy matches per record between two text multisets ``(keys…, text)``.
+def one_to_one(left: DataFrame, right: DataFrame, keys, embed, least: float) -> DataFrame:
+    """Similarity ``(keys…, s)`` of every pair of the greedy one-to-one matching down to ``least``.
 
-    Equal texts have similarity one and are paired by counting copies, without forming pairs; only the rest
-    is embedded (once per distinct text) and matched by similarity.
+    ``left`` and ``right`` are ``(keys…, i, text)``; pairs are taken by similarity, then by the later ``i`` of the left and of
+    the right side. The order does not depend on where the matching ends, so the pairs of any higher threshold are those of
+    this matching that reach it: one matching serves a whole sweep. Equal vectors have similarity one; of each group of
+    them the latest of both sides are paired by number, and only what is left forms pairs.
     """
     from graphloom.functions.vectors import dot
 
     keys = list(keys)
-    lc = left.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("nl"))
-    rc = right.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("nr"))
-    both = lc.join(rc, [*keys, "text"], "full").fillna(0, ["nl", "nr"])
-    equal = both.filter("nl > 0 and nr > 0").select(*keys, F.least("nl", "nr").alias("m"))
-
-    def rest(n, m):
-        extra = both.filter(F.col(n) > F.col(m)).select(
-            *keys, "text", F.explode(F.sequence(F.lit(1), (F.col(n) - F.col(m)).cast("int"))).alias("c"))
-        # only records with something left on both sides can still match
-        return extra
-
-    l_rest, r_rest = rest("nl", "nr"), rest("nr", "nl")
-    open_keys = l_rest.select(*keys).distinct().join(r_rest.select(*keys).distinct(), keys)
-    l_rest, r_rest = l_rest.join(open_keys, keys, "left_semi"), r_rest.join(open_keys, keys, "left_semi")
-    vec = l_rest.select("text").union(r_rest.select("text")).distinct().withColumn("vec", embed(F.col("text")))
-    lv = l_rest.join(vec, "text").select(*keys, F.struct("text", "c").alias("i"), F.col("vec").alias("lv"))
-    rv = r_rest.join(vec, "text").select(*keys, F.struct("text", "c").alias("j"), F.col("vec").alias("rv"))
-    fuzzy = greedy_matches(lv, rv, keys, threshold, dot).groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-    return equal.unionByName(fuzzy).groupBy(*keys).agg(F.sum("m").alias("matched"))
-
-
-def open_entity_scores(pred: DataFrame, gold: DataFrame, embed, threshold: float) -> DataFrame:
-    """Per record: matched entities and the sizes of both sides (records of the reference)."""
-    return _matched_sizes(sample_entities(pred), sample_entities(gold), embed, threshold)
-
-
-def open_triple_scores(pred: DataFrame, gold: DataFrame, embed, threshold: float) -> DataFrame:
-    return _matched_sizes(pred.select("item_id", triple_text().alias("text")),
-                          gold.select("item_id", triple_text().alias("text")), embed, threshold)
-
-
-def _matched_sizes(p, g, embed, threshold):
-    m = equal_first_matches(p, g, ["item_id"], embed, threshold)
-    np_ = p.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pred"))
-    ng = g.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    return ng.join(np_, "item_id", "full").join(m, "item_id", "left").fillna(0, ["n_pred", "n_gold", "matched"])
-
-
-def micro_summary(per_item: DataFrame) -> DataFrame:
+    both = left.select(*keys, "i", "text", F.lit(0).alias("side")).unionByName(right.select(*keys, "i", "text", F.lit(1).alias("side")))
+    vec = both.select("text").distinct().withColumn("vec", embed(F.col("text")))
+    same = W.partitionBy(*keys, "vec")
+    both = both.join(vec, "text").withColumn("k", F.row_number().over(W.partitionBy(*keys, "vec", "side").orderBy(F.desc("i"))))
+    sizes = [F.count(F.when(F.col("side") == x, 1)).over(same) for x in (0, 1)]
+    both = cut_lineage(both.withColumn("paired", F.col("k") <= F.least(*sizes)))
+    equal = both.filter("paired and side = 0").select(*keys, F.lit(1.0).alias("s"))
+    rest = both.filter("not paired")
+    lv = rest.filter("side = 0").select(*keys, "i", F.col("vec").alias("lv"))
+    rv = rest.filter("side = 1").select(*keys, F.col("i").alias("j"), F.col("vec").alias("rv"))
+    near = greedy_matches(lv, rv, keys, least, lambda a, b: F.round(dot(a, b), 12))
+    return equal.unionByName(near.select(*keys, "s"))
+
+
+def entity_texts(triples: DataFrame, by) -> DataFrame:
+    """Distinct entities of each record; a set has no order, so the text itself decides ties."""
+    return sample_entities(triples, by).withColumn("i", F.col("text"))
+
+
+def triple_texts(triples: DataFrame, by) -> DataFrame:
+    """Triples of each record as one text each, in list order."""
+    return triples.select(*by, F.col("pos").alias("i"), triple_text().alias("text"))
+
+
+def reference_of_cases(gold: DataFrame, cases) -> DataFrame:
+    """The reference once per case."""
+    return gold.withColumn("case_id", F.explode(F.array(*[F.lit(c).cast("bigint") for c in cases])))
+
+
+def open_scores(pred: DataFrame, gold: DataFrame, texts, embed, threshold: float, cases) -> DataFrame:
+    """Per case and record: matched texts and the sizes of both sides."""
+    keys = ["case_id", "item_id"]
+    p, g = texts(pred, keys), texts(reference_of_cases(gold, cases), keys)
+    count = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    m = count(one_to_one(p, g, keys, embed, threshold), "matched")
+    return count(g, "n_gold").join(count(p, "n_pred"), keys, "full").join(m, keys, "left").fillna(0, ["n_pred", "n_gold", "matched"])
+
+
+def inclusive_range(start: float, stop: float, step: float):
+    """Array of ``start``, ``start + step``, … up to and with ``stop``, to four digits; empty if ``stop`` comes before ``start``."""
+    last = int((stop - start + 1e-9) // step)
+    if last < 0:
+        return F.array().cast("array<double>")
+    return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.round(F.lit(float(start)) + k * F.lit(float(step)), 4))
+
+
+def open_sweep(pred: DataFrame, gold: DataFrame, texts, embed, start: float, stop: float, step: float, cases) -> DataFrame:
+    """Counts and micro scores per case for every threshold from ``start`` to ``stop``, from one matching down to ``start``."""
+    keys = ["case_id", "item_id"]
+    taus = inclusive_range(start, stop, step)
+    p, g = texts(pred, keys), texts(reference_of_cases(gold, cases), keys)
+    reached = F.size(F.filter(taus, lambda x: x <= F.col("s"))).alias("reached")  # counted before thresholds are spread
+    hits = one_to_one(p, g, keys, embed, start).groupBy("case_id", reached).agg(F.count(F.lit(1)).alias("n"))
+    hits = hits.select("case_id", F.explode(F.slice(taus, F.lit(1), F.col("reached"))).alias("tau"), "n").groupBy("case_id", "tau").agg(F.sum("n").alias("tp"))
+    count = lambda rows, name: rows.groupBy("case_id").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(p, "n_pred").join(count(g, "n_gold"), "case_id", "full").fillna(0)
+    rows = sizes.select("*", F.explode(taus).alias("tau")).join(hits, ["case_id", "tau"], "left").fillna(0, ["tp"])
+    rows = rows.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gold") - F.col("tp"))
+    pr, rc, f = prf()
+    return rows.select("case_id", "tau", "tp", "n_pred", "n_gold", pr.alias("precision"), rc.alias("recall"), f.alias("f1"))
+
+
+def micro_summary(per_item: DataFrame, by=()) -> DataFrame:
     """Micro P/R/F1 with counts, and the spread of per-record recall."""
+    by = list(by)
     recall = F.when(F.col("n_gold") > 0, F.col("matched") / F.col("n_gold"))
-    s = per_item.agg(
+    s = per_item.groupBy(*by).agg(
         F.sum("matched").alias("tp"), F.sum(F.col("n_pred") - F.col("matched")).alias("fp"),
         F.sum(F.col("n_gold") - F.col("matched")).alias("fn"),
         F.percentile(recall, 0.5).alias("recall_median"),
         F.avg(F.when(recall < 0.5, 1.0).when(recall.isNotNull(), 0.0)).alias("frac_below_half"),
         F.avg(F.when(recall >= 0.999, 1.0).when(recall.isNotNull(), 0.0)).alias("frac_full"))
     p, r, f = prf()
-    return s.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"), "recall_median",
+    return s.select(*by, "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"), "recall_median",
                     "frac_below_half", "frac_full")
 
 

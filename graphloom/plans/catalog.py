@@ -241,18 +241,31 @@ def one_case(t, case=1):
 
 @query
 def greedy_match(t):
-    """Open-triple entity scores of one extraction run: greedy one-to-one matches per record."""
-    per = SM.open_entity_scores(one_case(t), D.kg_gold(t), hashing_vector, 0.7)
-    s = SM.micro_summary(per)
-    return s.select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), r6("recall_median"),
+    """Open-triple entity scores per case: greedy one-to-one matches per record."""
+    per = SM.open_scores(D.kg_pred(t), D.kg_gold(t), SM.entity_texts, hashing_vector, 0.7, D.CASE_IDS)
+    s = SM.micro_summary(per, ["case_id"])
+    return s.select("case_id", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), r6("recall_median"),
                     r6("frac_below_half"), r6("frac_full"))
 
 
 @query
 def greedy_match_triples(t):
-    per = SM.open_triple_scores(one_case(t), D.kg_gold(t), hashing_vector, 0.6)
-    s = SM.micro_summary(per)
-    return s.select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"))
+    per = SM.open_scores(D.kg_pred(t), D.kg_gold(t), SM.triple_texts, hashing_vector, 0.6, D.CASE_IDS)
+    s = SM.micro_summary(per, ["case_id"])
+    return s.select("case_id", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"))
+
+
+@query
+def entity_sweep(t):
+    """Open-triple entity scores for all thresholds from 0.5 to 0.95, by one matching."""
+    s = SM.open_sweep(D.kg_pred(t), D.kg_gold(t), SM.entity_texts, hashing_vector, 0.5, 0.95, 0.05, D.CASE_IDS)
+    return s.select("case_id", "tau", "tp", "n_pred", "n_gold", r6("precision"), r6("recall"), r6("f1"))
+
+
+@query
+def triple_sweep(t):
+    s = SM.open_sweep(D.kg_pred(t), D.kg_gold(t), SM.triple_texts, hashing_vector, 0.4, 0.9, 0.05, D.CASE_IDS)
+    return s.select("case_id", "tau", "tp", "n_pred", "n_gold", r6("precision"), r6("recall"), r6("f1"))
 
 
 # ---------------------------------------------------------------- error attribution

@@ -175,6 +175,52 @@ ORACLE["exact_triple_macro"] = V(f"""
          UNION ALL SELECT c.case_id, item_id, lower(h || ' | ' || r || ' | ' || t), true FROM kg_gold,
            (SELECT DISTINCT case_id FROM kg_pred) c) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""", "kg_pred")
 
+def _greedy(entities, least):
+    """Views of the greedy matching of open texts: ``(case_id, item_id, ss)``, the similarities of its pairs per record."""
+    if entities:
+        side = "SELECT DISTINCT {keys}, text, text AS i FROM (SELECT {keys}, %s AS text FROM {src} UNION ALL SELECT {keys}, %s FROM {src})" % (
+            norm_open('h'), norm_open('t'))
+    else:
+        side = "SELECT {keys}, %s || ' ' || %s || ' ' || %s AS text, pos AS i FROM {src}" % tuple(map(norm_open, "hrt"))
+    return dict(
+        ptext=side.format(keys="case_id, item_id", src="kg_pred"), gtext=side.format(keys="item_id", src="kg_gold"),
+        gcase="SELECT case_id, g.* FROM gtext g, (SELECT DISTINCT case_id FROM kg_pred)",
+        alltext="SELECT text FROM ptext UNION SELECT text FROM gtext", kv=trigram_vectors("alltext", "text"),
+        close=f"""SELECT case_id, item_id, p.i AS i, g.i AS j, CASE WHEN a.vec = b.vec THEN 1.0::DOUBLE ELSE round({dot('a.vec', 'b.vec')}, 12) END AS s
+            FROM ptext p JOIN gtext g USING (item_id) JOIN kv a ON a.text = p.text JOIN kv b ON b.text = g.text""",
+        taken=f"""SELECT case_id, item_id, list_reduce(list(struct_pack(ui := [i], uj := [j], ss := [s]) ORDER BY s DESC, i DESC, j DESC), lambda x, y:
+            CASE WHEN list_has_any(x.ui, y.ui) OR list_has_any(x.uj, y.uj) THEN x
+                 ELSE struct_pack(ui := list_concat(x.ui, y.ui), uj := list_concat(x.uj, y.uj), ss := list_concat(x.ss, y.ss)) END).ss AS ss
+            FROM close WHERE s >= CAST({least} AS DOUBLE) GROUP BY 1, 2""")
+
+
+_OPEN = dict(
+    per="""SELECT case_id, item_id, coalesce(np, 0) AS np, coalesce(ng, 0) AS ng, coalesce(len(ss), 0) AS m
+        FROM (SELECT case_id, item_id, count(*) AS ng FROM gcase GROUP BY 1, 2)
+        FULL JOIN (SELECT case_id, item_id, count(*) AS np FROM ptext GROUP BY 1, 2) USING (case_id, item_id) LEFT JOIN taken USING (case_id, item_id)""",
+    micro=f"""SELECT *, {ratio('tp', 'tp + fp')} AS p, {ratio('tp', 'tp + fn')} AS rc FROM (
+        SELECT case_id, sum(m)::BIGINT AS tp, sum(np - m)::BIGINT AS fp, sum(ng - m)::BIGINT AS fn, median(m / ng::DOUBLE) FILTER (ng > 0) AS md,
+               avg(CAST(m / ng::DOUBLE < 0.5 AS INT)) FILTER (ng > 0) AS low, avg(CAST(m / ng::DOUBLE >= 0.999 AS INT)) FILTER (ng > 0) AS full_
+        FROM per GROUP BY 1)""")
+_MICRO = f"SELECT case_id, tp, fp, fn, round(p, 6) AS precision, round(rc, 6) AS recall, round({f1('p', 'rc')}, 6) AS f1"
+ORACLE["greedy_match"] = V(f"""{_MICRO}, round(md, 6) AS recall_median, round(low, 6) AS frac_below_half, round(full_, 6) AS frac_full
+    FROM micro""", "kg_pred", **_greedy(True, 0.7), **_OPEN)
+ORACLE["greedy_match_triples"] = V(f"{_MICRO} FROM micro", "kg_pred", **_greedy(False, 0.6), **_OPEN)
+
+
+def _open_sweep(entities, low, high):
+    """Thresholds in hundredths, five apart."""
+    return V(f"""SELECT case_id, tau, tp, n_pred, n_gold, round(p, 6) AS precision, round(rc, 6) AS recall, round({f1('p', 'rc')}, 6) AS f1 FROM (
+        SELECT *, {ratio('tp', 'n_pred')} AS p, {ratio('tp', 'n_gold')} AS rc FROM (
+          SELECT case_id, tau, np AS n_pred, ng AS n_gold, (SELECT count(*) FROM found f WHERE f.case_id = z.case_id AND f.s >= tau) AS tp
+          FROM (SELECT case_id, count(*) AS np FROM ptext GROUP BY 1) z JOIN (SELECT case_id, count(*) AS ng FROM gcase GROUP BY 1) USING (case_id),
+               (SELECT unnest(range({low}, {high} + 1, 5)) / 100.0::DOUBLE AS tau)))""", "kg_pred", **_greedy(entities, low / 100),
+        found="SELECT case_id, unnest(ss) AS s FROM taken")
+
+
+ORACLE["entity_sweep"] = _open_sweep(True, 50, 95)
+ORACLE["triple_sweep"] = _open_sweep(False, 40, 90)
+
 # ---------------------------------------------------------------- error attribution
 _IDX = dict(
     tk=f"""SELECT case_id, item_id, {_NORM3}, {norm_relation('pred')} AS fin,

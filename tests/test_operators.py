@@ -239,28 +239,27 @@ def test_rewrite_drops_copies_and_loops(spark):
     assert [(r["h"], r["r"], r["t"]) for r in I.rewrite_triples(t, c).collect()] == [("a", "r", "b")]
 
 
-def test_greedy_matching(spark):
-    random.seed(2)
-    texts = ["red ring", "red rings", "blue bolt", "green gear", "blue bolts", "green gears x"]
-    for thr in (0.5, 0.8):
-        left, right = [], []
-        for item in range(6):
-            left += [(item, random.choice(texts)) for _ in range(4)]
-            right += [(item, random.choice(texts)) for _ in range(4)]
-        want = {}
-        for item in range(6):
-            p = [t for i, t in left if i == item]
-            g = [t for i, t in right if i == item]
-            s = hash_rows(p) @ hash_rows(g).T
-            order = sorted(((s[i, j], i, j) for i in range(4) for j in range(4)), reverse=True)
-            up, ug = set(), set()
-            for x, i, j in order:
-                if x >= thr - 1e-12 and i not in up and j not in ug:
-                    up.add(i), ug.add(j)
-            want[item] = len(up)
-        mk = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
-        got = {r["item_id"]: r["matched"] for r in M.equal_first_matches(mk(left), mk(right), ["item_id"], hashing_vector, thr).collect()}
-        assert {k: got.get(k, 0) for k in want} == want
+def test_greedy_matching_of_a_sweep(spark):
+    rng = random.Random(2)
+    texts = ["red ring", "red rings", "blue bolt", "green gear", "blue bolts", "green gears x", ""]
+    left, right = ([(item, i, rng.choice(texts)) for item in range(12) for i in range(rng.randint(0, 6))] for _ in range(2))
+    make = lambda rows: spark.createDataFrame(rows, "item_id long, i long, text string")
+    got = [tuple(r) for r in M.one_to_one(make(left), make(right), ["item_id"], hashing_vector, 0.3).collect()]
+    for least in (0.3, 0.5, 0.8, 1.0):
+        for item in range(12):
+            p, g = ([t for x, _, t in rows if x == item] for rows in (left, right))
+            s = np.round(hash_rows(p) @ hash_rows(g).T, 12) if p and g else np.zeros((0, 0))
+            used_p, used_g, want = set(), set(), []
+            for x, i, j in sorted(((1.0 if p[i] == g[j] else s[i, j], i, j) for i in range(len(s)) for j in range(s.shape[1])), reverse=True):
+                if x >= least and i not in used_p and j not in used_g:
+                    used_p.add(i), used_g.add(j), want.append(x)
+            assert sorted(s for k, s in got if k == item and s >= least) == pytest.approx(sorted(want))
+    assert M.one_to_one(make([]), make(right), ["item_id"], hashing_vector, 0.3).count() == 0
+
+
+def test_inclusive_range(spark):
+    row = spark.range(1).select(*[M.inclusive_range(*x).alias(str(i)) for i, x in enumerate([(0.5, 0.95, 0.05), (0.3, 0.7, 0.1), (0.5, 0.5, 0.1), (1, 0, 0.5)])]).first()
+    assert list(row) == [[round(0.5 + 0.05 * k, 4) for k in range(10)], [0.3, 0.4, 0.5, 0.6, 0.7], [0.5], []]
 
 
 def test_kth_occurrence_buckets(spark):

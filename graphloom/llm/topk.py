@@ -11,7 +11,7 @@ depends on the block sizes alone. Each gives k rows a query, which a ranked wind
 
 Defined results: a vector that is null or holds a null or non-finite component, or has no id, takes no part; of rows
 repeating an id the smallest vector counts; missing components of the shorter vector count as 0; ties go to the
-smaller id.
+smaller id. Components and scores that 64 bits cannot hold are the nearest 64-bit integer, and scores are ranked as that.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import cut
 SEGMENTS = (1, 4, 16)
 BLOCK, QUERY_BLOCK, TILE = 8192, 2048, 128
 SCALE = 1024
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -45,7 +46,7 @@ def segment_features(x: np.ndarray, count: int) -> np.ndarray:
 def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact best ``k`` of a candidate block for each query: query ids, candidate ids and scores."""
     features = [(segment_features(q, s), segment_features(x, s)) for s in SEGMENTS]
-    safe = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2.0 ** 52
+    safe = np.abs(x.astype(float)).max(initial=0) * np.abs(q.astype(float)).max(initial=0) * max(1, x.shape[1]) < 2.0 ** 52
     exact_x, exact_q = (x.astype(float), q.astype(float)) if safe else (x.astype(object), q.astype(object))
     norm_q, norm_x = (np.square(m.astype(float)).sum(1) for m in (q, x))
     out = []
@@ -58,12 +59,14 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
         first = np.stack([(exact_x[near[i]] * exact_q[p]).sum(1) for i, p in enumerate(part)]).astype(float)
         first[~np.isfinite(np.take_along_axis(coarse, near, 1))] = -np.inf
         beat = np.sort(first, axis=1)[:, -k] if most >= k else np.full(len(part), -np.inf)
+        beat = np.where(beat <= float(LEAST), -np.inf, np.minimum(beat, float(MOST)))  # beyond 64 bits all scores tie
         i, j = np.nonzero((coarse >= beat[:, None]) & np.isfinite(coarse))
         for fq, fx in features[1:]:
             keep = _upper(norm_q[part[i]], norm_x[j], np.einsum("ij,ij->i", fq[part[i]], fx[j])) >= beat[i]
             i, j = i[keep], j[keep]
-        score = (exact_x[j] * exact_q[part[i]]).sum(1).astype(np.int64) if len(i) else np.zeros(0, np.int64)
-        order = np.lexsort((ids[j], -score, i))
+        score = np.clip((exact_x[j] * exact_q[part[i]]).sum(1), LEAST, MOST).astype(np.int64) if len(i) and safe else np.array(
+            [max(LEAST, min(MOST, int(s))) for s in (exact_x[j] * exact_q[part[i]]).sum(1)] if len(i) else [], np.int64)
+        order = np.lexsort((ids[j], ~score, i))  # not minus: the least of 64 bits has no opposite
         i, j, score = i[order], j[order], score[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         out.append((query_ids[part[i[rank < k]]], ids[j[rank < k]], score[rank < k]))

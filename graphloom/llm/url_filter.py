@@ -8,7 +8,9 @@
   share of blocked labels does not differ from their parent's by ``Z`` standard errors are merged into one; branches
   without labels are merged with each other, never with labelled ones.
 * A merged template is rejected if its smoothed purity ``(blocked + 1) / (labelled + 2)`` reaches ``REJECT``. One without
-  labels has the purity of its nearest labelled ancestor among the merged branches of its host, all of the host at last.
+  labels is judged by the same template on other hosts, each labelled host counting once, however many pages it has; where
+  no host labels it, by its nearest labelled ancestor among the merged branches of its own host. Such borrowed purity is the lower
+  end of an interval of ``Z`` standard errors. A whole host whose labels all block does not speak for its other branches.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed; the host keeps port and
 user; a url with no path fits no rule, as every rule's path starts with a slash; rows repeating a page are judged each.
@@ -83,18 +85,30 @@ def generalise(counts: DataFrame) -> DataFrame:
     return counts.join(cut(merged), ["host", "segments"], "left").withColumn("merged", F.coalesce("merged", F.array().cast("array<string>")))
 
 
+def _lower(blocked: str, labelled: str) -> Column:
+    """The lower end of the interval of a smoothed purity."""
+    n = F.col(labelled) + 2
+    p = (F.col(blocked) + 1) / n
+    return p - Z * F.sqrt(p * (1 - p) / n)
+
+
 def purities(trees: DataFrame) -> DataFrame:
-    """``(host, merged, purity)`` of each merged template; 0.5 on a host without labels."""
-    share = (F.col("blocked") + 1) / (F.col("labelled") + 2)
+    """``(host, segments, purity)`` of each template; 0.5 where neither other hosts nor an ancestor have labels for it."""
     known = cut(trees.groupBy("host", "merged").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
+    told = known.filter("labelled > 0").select("host", "merged", ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("own"))
+    placed = cut(trees.select("host", "segments", "merged").join(told, ["host", "merged"], "left"))
+    bare = placed.filter("own is null").select("host", "segments", "merged")
+    hosts = trees.filter("labelled > 0").groupBy("segments").agg(F.sum(F.col("blocked") / F.col("labelled")).alias("blocked"), F.count(F.lit(1)).alias("labelled"))
+    elsewhere = bare.join(hosts.select("segments", _lower("blocked", "labelled").alias("elsewhere")), "segments").select("host", "segments", "elsewhere")
     depth = F.explode(F.sequence(F.lit(0), F.size("merged"))).alias("depth")
     above = F.slice("merged", F.lit(1), F.col("depth")).alias("branch")
     branches = known.filter("labelled > 0").select("*", depth).select("host", above, "blocked", "labelled").groupBy("host", "branch").agg(
-        F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")).select("host", "branch", share.alias("share"))
-    bare = known.filter("labelled = 0").select("host", "merged", depth).select("host", "merged", "depth", above)
-    nearest = bare.join(cut(branches), ["host", "branch"]).groupBy("host", "merged").agg(F.max_by("share", "depth").alias("nearest"))
-    own = F.when(F.col("labelled") > 0, share).otherwise(F.coalesce("nearest", F.lit(0.5)))
-    return known.join(cut(nearest), ["host", "merged"], "left").select("host", "merged", own.alias("purity"))
+        F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")).filter("size(branch) > 0 or blocked < labelled").select(
+        "host", "branch", _lower("blocked", "labelled").alias("share"))
+    steps = bare.select("host", "segments", "merged", depth).select("host", "segments", "depth", above)
+    nearest = steps.join(cut(branches), ["host", "branch"]).groupBy("host", "segments").agg(F.max_by("share", "depth").alias("nearest"))
+    rows = placed.join(cut(elsewhere), ["host", "segments"], "left").join(cut(nearest), ["host", "segments"], "left")
+    return rows.select("host", "segments", F.coalesce("own", "elsewhere", "nearest", F.lit(0.5)).alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -106,7 +120,6 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     counts = cut(rows.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("told") == "block").alias("blocked"), F.count("told").alias("labelled")))
     trees = cut(generalise(counts))
-    of = cut(trees.select("host", "segments", "merged").join(cut(purities(trees)), ["host", "merged"]).select("host", "segments", "purity"))
-    out = rows.join(of, ["host", "segments"], "left")
+    out = rows.join(cut(purities(trees)), ["host", "segments"], "left")
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("told", own).alias("verdict"), "purity")

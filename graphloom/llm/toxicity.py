@@ -177,7 +177,7 @@ def _threshold(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray, shift: f
         at = (s[i] + s[i + 1] + 1) / 2 / STEPS - shift
     else:
         at = (s[i] / STEPS - shift + _logit(1 / (1 + np.exp(-np.clip(s[i] / STEPS - shift, -30, 30))) / 2)) / 2
-    return float(np.clip(1 / (1 + np.exp(-np.clip(at, -30, 30))), 0.3, 0.7))
+    return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
 
 
 def counts_by_score(docs: DataFrame, ours: DataFrame, net: Net, trained: DataFrame) -> DataFrame:

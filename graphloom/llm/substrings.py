@@ -269,9 +269,12 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, bits: int | None = None)
 
 
 def replace_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the words of repeated windows cut from ``text`` and ``n_chars`` set anew where any were."""
-    gone = deduplicate(docs, window).filter("n_removed > 0").select("doc_id", "key", "kept_text").dropDuplicates(["doc_id", "key"])
-    out = docs.withColumn("key", text_key(F.col("text"))).join(gone, ["doc_id", "key"], "left")
-    text = F.coalesce("kept_text", "text")
-    return out.withColumns({"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(
-        F.col("n_chars"))}).select(*docs.columns)
+    """``docs`` with the words of repeated windows cut from ``text`` and ``n_chars``, of its own type, set anew where any were.
+
+    Other columns come back as they are, whatever their names.
+    """
+    gone = deduplicate(docs, window).filter("n_removed > 0").groupBy("doc_id", "key").agg(F.first("kept_text").alias("kept_text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), text_key(F.col("text")).alias("key"))
+    out = held.join(gone, ["doc_id", "key"], "left")
+    anew = {"text": F.coalesce("kept_text", "row.text"), "n_chars": F.coalesce(F.length("kept_text").cast(docs.schema["n_chars"].dataType), "row.n_chars")}
+    return out.select(*[anew.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -89,7 +89,7 @@ def _lower(blocked: str, labelled: str) -> Column:
     """The lower end of the interval of a smoothed purity."""
     n = F.col(labelled) + 2
     p = (F.col(blocked) + 1) / n
-    return p - Z * F.sqrt(p * (1 - p) / n)
+    return F.greatest(p - Z * F.sqrt(p * (1 - p) / n), F.lit(0.0))
 
 
 def purities(trees: DataFrame) -> DataFrame:

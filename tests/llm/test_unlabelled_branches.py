@@ -16,7 +16,7 @@ def judged(spark, urls, rules=url_filter.RULES):
 
 def lower(blocked, labelled):
     n, p = labelled + 2, (blocked + 1) / (labelled + 2)
-    return pytest.approx(p - url_filter.Z * (p * (1 - p) / n) ** 0.5)
+    return pytest.approx(max(0, p - url_filter.Z * (p * (1 - p) / n) ** 0.5))
 
 
 def test_templates_without_labels_are_judged_by_other_hosts(spark):
@@ -67,7 +67,7 @@ def plain_tree(urls, rules):
             alike = abs((mine[0] + 1) / (mine[1] + 2) - p) <= url_filter.Z * (p * (1 - p) / max(mine[1], 1)) ** 0.5
             parts.append("**" if children > url_filter.BRANCHES and ours[2] / children < url_filter.THIN else "*-" if not mine[1] else "*+" if alike else segments[d])
         name[host, segments] = tuple(parts)
-    low = lambda b, n: (b + 1) / (n + 2) - url_filter.Z * ((b + 1) / (n + 2) * (n + 1 - b) / (n + 2) / (n + 2)) ** 0.5
+    low = lambda b, n: max(0, (b + 1) / (n + 2) - url_filter.Z * ((b + 1) / (n + 2) * (n + 1 - b) / (n + 2) / (n + 2)) ** 0.5)
     purity = {}
     for host, segments in name:
         under = lambda branch: count(lambda h, s: h == host and name[h, s][:len(branch)] == branch)  # noqa: E731, B023

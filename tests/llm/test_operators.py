@@ -297,7 +297,7 @@ def test_fingerprints(spark, docs, nothing):
     assert len(got) == len(rows) and fingerprints.fingerprint(nothing).count() == 0
     plain = spark.createDataFrame([r for r in rows if r[0] is not None and r != (9, "another text of a repeated id")], "doc_id long, text string")
     order = sorted(((r["doc_id"], r["text"]) for r in plain.collect()), reverse=True)
-    parts = lambda s: set(re.findall(r"[^\n]{1,200}", s))
+    parts = lambda s: set(re.findall(r"[^\n.!?]{1,200}[.!?]*|[.!?]+", s))
     near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     found = {r["doc_id"]: r for r in fingerprints.fingerprint(plain).collect()}
     for i, (k, s) in enumerate(order):
@@ -316,12 +316,61 @@ def test_peeling_recovers_differences_of_any_size(spark):
     r = random.Random(6)
     rows = []
     for i, n in enumerate([0, 1, 2, 5, 17, 60, 400, 3000]):
-        a = {r.getrandbits(62) for _ in range(n)}
-        b = set(list(a)[:n // 2]) | {r.getrandbits(62) for _ in range(n // 3)}
-        rows.append((i, list(a), list(b)))
-    df = spark.createDataFrame(rows, "id int, a array<long>, b array<long>")
-    got = {x["id"]: x["d"] for x in fingerprints.differences(df, ["id"], 3).collect()}
-    assert got == {i: len(set(a) ^ set(b)) for i, a, b in rows if a or b}
+        a = {r.getrandbits(64) - (1 << 63) for _ in range(n)}
+        b = set(list(a)[:n // 2]) | {r.getrandbits(64) - (1 << 63) for _ in range(n // 3)}
+        rows.append((i, list(a), list(b), list(a)[: n // 100]))
+    df = spark.createDataFrame(rows, "id int, own array<long>, changed array<long>, after array<long>")
+    got = {x["id"]: x for x in fingerprints.compare(df, ["id"], []).collect()}
+    for i, a, b, c in rows:
+        a, b, c = set(a), set(b), set(c)
+        assert (set(got[i]["only_own"]), set(got[i]["only_edited"])) == (a - b, b - a)
+        for name, other in (("near_edited", b), ("near_next", c)):
+            assert got[i][name] == pytest.approx(len(a & other) / len(a | other) if a | other else 1.0)
+
+
+def cells_of(fingerprint):
+    """``(n, level, {part: cells})`` of a fingerprint's text."""
+    n, level, *cells = re.split(r"(?<=[0-9a-f])-", fingerprint)
+    out = {part: [(0, 0, 0)] * (fingerprints.TABLES * fingerprints.CELLS) for part in range(1 << int(level))}
+    for cell in cells:
+        part, at, count, k, c = cell.split(".")
+        out[int(part)][int(at)] = (int(count), int(k, 16) - (int(k, 16) >> 63 << 64), int(c, 16))
+    return int(n), int(level), out
+
+
+def test_two_fingerprints_of_one_level_tell_the_difference(spark):
+    """The texts of two fingerprints alone, subtracted and peeled, give the recovered digests and the likeness."""
+    r = random.Random(8)
+    rows = []
+    for i, n in enumerate([0, 3, 8, 30, 200]):
+        a = [r.getrandbits(64) - (1 << 63) for _ in range(n)]
+        rows.append((i, a, a[: n - 2] + [r.getrandbits(64) - (1 << 63) for _ in range(2)] if a else a, []))
+    df = spark.createDataFrame(rows, "id int, own array<long>, changed array<long>, after array<long>")
+    told = {x["id"]: x for x in fingerprints.compare(df, ["id"], []).collect()}
+    pairs = {i: (cells_of(x["fingerprint"]), cells_of(x["edited_fingerprint"])) for i, x in told.items()}
+    assert all(one[1] == two[1] for one, two in pairs.values())
+    cells = "array<struct<n:int,k:bigint,c:bigint>>"
+    sketches = spark.createDataFrame([(i, one[2][p], two[2][p]) for i, (one, two) in pairs.items() for p in one[2]], f"id int, one {cells}, two {cells}")
+    size = F.lit(fingerprints.CELLS)
+    left = sketches.select("id", fingerprints.peel(fingerprints.subtract(F.col("one"), F.col("two")), size).alias("s")).collect()
+    for i, (one, two) in pairs.items():
+        assert not any(c != (0, 0, 0) for x in left if x["id"] == i for c in x["s"]["cells"])
+        found = {s: {f["k"] for x in left if x["id"] == i for f in x["s"]["found"] if f["n"] == s} for s in (1, -1)}
+        assert found == {1: set(told[i]["only_own"]), -1: set(told[i]["only_edited"])}
+        d, both = len(found[1]) + len(found[-1]), one[0] + two[0]
+        assert told[i]["near_edited"] == pytest.approx((both - d) / (both + d) if both else 1.0)
+
+
+def test_documents_without_ids_stand_in_blocks_of_their_own(spark):
+    texts = [f"text {i}. Of many. Sentences {i % 3}." for i in range(40)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(7, "seven."), (300, None)], "doc_id long, text string")
+    got = fingerprints.fingerprint(df)
+    found = got.collect()
+    assert len(found) == 42
+    keyed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).collect()
+    order = [r["text"] for r in sorted(keyed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["key"]))]
+    want = sorted(hashlib.sha256((s[:len(s) - len(s) // 2] + order[(i + 1) % len(order)][:len(s) // 2]).encode()).hexdigest() for i, s in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in found) == want
 
 
 def test_next_lower_over_blocks(spark, monkeypatch):

@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of sentence digests, with DataFrame functions only.
 
-A piece is a sentence of a line, or 200 characters of a longer one; its end follows from the words, so that an edit leaves the
-pieces after it as they were. A text with ``n`` distinct pieces has ``2 ** level`` sketches, for at most ``PER_PART`` pieces each on
+A piece is one or more whole sentences of a line, 48 characters at least, or 200 characters of a longer one. It ends where a sentence
+does, so that an edit leaves most pieces after it as they were. A text with ``n`` distinct pieces has ``2 ** level`` sketches, for at most ``PER_PART`` pieces each on
 average, and the low bits of a piece's 64-bit digest choose one. A sketch has three tables of ``CELLS`` cells; a digest goes into
 one cell of each, and a cell holds a count, the xor of its digests and the xor of their check values. ``fingerprint`` is the text of
 these sketches: ``n-level`` and ``part.cell.count.digests.checks`` of each cell in use.
@@ -9,7 +9,7 @@ these sketches: ``n-level`` and ``part.cell.count.digests.checks`` of each cell
 Two versions are compared at the higher of their levels: where both have it, by the sketches that are returned. One version's cells are
 subtracted from the other's, so that what both have cancels. Peeling reads a digest off each cell of a table that holds just
 one, takes it out of its other two cells, and goes on with the next table. What does not peel down to nothing is sketched
-again with four times the cells. The recovered digests are the differing pieces; likeness is the Jaccard similarity of the two
+again with twice the cells. The recovered digests are the differing pieces; likeness is the Jaccard similarity of the two
 sets, from their sizes and the number of recovered digests.
 
 A part of a document is a row with a bounded number of digests on average, so sketching and peeling are expressions of one row, and
@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, sha_hex, text_key
 
-PIECE = "[^\\n.!?]{1,200}[.!?]*|[.!?]+"
+PIECE = "[^\\n]{48,200}?[.!?]+|[^\\n]{1,200}"
 BLOCK_BITS, FEW = 8, 4096
-TABLES, CELLS, PER_PART, FAN_BITS = 3, 8, 4, 6
-SIZES = tuple(CELLS * 4 ** i for i in range(1, 9))
-ROUNDS = 12
+TABLES, CELLS, PER_PART, FAN_BITS = 3, 8, 8, 6
+SIZES = tuple(CELLS * 2 ** i for i in range(1, 15))
+ROUNDS = 9
 ALONE, EDIT, NEXT = range(3)
 
 
@@ -96,9 +96,9 @@ def peel(cells: Column, size: Column) -> Column:
     def turn(state: Column, table: Column) -> Column:
         pure = F.transform(F.filter(F.slice(state["cells"], table * size + 1, size), lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))),
                            lambda c: _entry(c["n"], c["k"], c["c"], size))
-        after = _let(pure, lambda p: F.struct(
+        after = _let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(F.struct(
             F.transform(state["cells"], lambda c, at: _without(c, p, at)).alias("cells"),
-            F.concat(state["found"], F.transform(p, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n")))).alias("found")))
+            F.concat(state["found"], F.transform(p, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n")))).alias("found"))))
         return F.when(settled(state["cells"]), state).otherwise(after)
 
     start = F.struct(cells.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"))
@@ -137,16 +137,16 @@ def split(rows: DataFrame, kept: list[str]) -> DataFrame:
 
     Each step reads a row's digests once per part of that step only, so long documents cost little more than short ones.
     """
-    def fan(df: DataFrame, first: Column, bits: Column, into: str) -> DataFrame:
-        here = lambda keys, h: F.filter(keys, lambda k: F.pmod(F.call_function("shiftrightunsigned", k, first), F.pow(F.lit(2), bits).cast("long")) == h)
-        every = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), bits).cast("long") - 1)
+    def fan(df: DataFrame, first: str, bits: str, into: str) -> DataFrame:
         rest = [c for c in df.columns if c not in ("a", "b")]
-        return df.select(*rest, F.explode(F.transform(every, lambda h: F.struct(h.alias(into), here(F.col("a"), h).alias("a"), here(F.col("b"), h).alias("b")))).alias("f")) \
-            .select(*rest, "f.*")
-
-    low = F.least(F.col("level"), F.lit(FAN_BITS))
-    halved = fan(fan(rows, F.lit(0), low, "low"), low, F.col("level") - low, "high")
-    return halved.select(*kept, (F.col("low") + F.col("high") * F.pow(F.lit(2), low).cast("long")).alias("part"), "a", "b")
+        masked = df.withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1)
+        here = lambda keys, h: F.filter(keys, lambda k: F.call_function("shiftrightunsigned", k, F.col(first)).bitwiseAND(F.col("mask")) == h)
+        return masked.select(*rest, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("mask")), lambda h: F.struct(
+            h.alias(into), here(F.col("a"), h).alias("a"), here(F.col("b"), h).alias("b")))).alias("f")).select(*rest, "f.*")
+
+    bits = rows.withColumns({"none": F.lit(0), "few": F.least(F.col("level"), F.lit(FAN_BITS))}).withColumn("others", F.col("level") - F.col("few"))
+    fanned = fan(fan(bits, "none", "few", "low"), "few", "others", "high")
+    return fanned.select(*kept, (F.col("low") + F.call_function("shiftleft", F.col("high"), F.col("few"))).alias("part"), "a", "b")
 
 
 def compare(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:

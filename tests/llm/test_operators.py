@@ -297,7 +297,7 @@ def test_fingerprints(spark, docs, nothing):
     assert len(got) == len(rows) and fingerprints.fingerprint(nothing).count() == 0
     plain = spark.createDataFrame([r for r in rows if r[0] is not None and r != (9, "another text of a repeated id")], "doc_id long, text string")
     order = sorted(((r["doc_id"], r["text"]) for r in plain.collect()), reverse=True)
-    parts = lambda s: set(re.findall(r"[^\n.!?]{1,200}[.!?]*|[.!?]+", s))
+    parts = lambda s: set(re.findall(r"[^\n]{48,200}?[.!?]+|[^\n]{1,200}", s))
     near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     found = {r["doc_id"]: r for r in fingerprints.fingerprint(plain).collect()}
     for i, (k, s) in enumerate(order):

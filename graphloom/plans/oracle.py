@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.functions.text import TYPE_NOUNS
 from graphloom.plans.oracle_views import (dot, f1, fold, norm_entity, norm_open, norm_relation, ratio,
                                           trigram_vectors, with_views)
 
@@ -602,14 +603,7 @@ ORACLE["ec_schema"] = V(" UNION ALL ".join(f"SELECT '{c[0]}' AS ec_case, fine AS
 
 # ---------------------------------------------------------------- instances
 ORACLE["surface_freq"] = V("SELECT surface, count(*) AS freq FROM (SELECT h AS surface FROM kg_pred UNION ALL SELECT t FROM kg_pred) GROUP BY 1", "kg_pred")
-NOUNS = ("county city state province district region territory town village borough municipality area river lake island mountain sea ocean bay valley "
-         "peninsula desert forest university college school academy institute hospital airport station stadium arena museum library church temple mosque "
-         "prison park bridge tower castle palace company corporation firm agency organization organisation association federation union party band group "
-         "orchestra choir ensemble team club league franchise squad film movie album song single track series season episode novel book magazine newspaper "
-         "journal comic game show programme program tour actor actress singer songwriter comedian musician composer producer director writer author poet "
-         "novelist painter artist politician president governor senator mayor player coach manager engineer scientist lawyer doctor physician professor "
-         "journalist economist philosopher soldier general").split()
-NOUN_SQL = "[" + ", ".join(f"'{n}'" for n in NOUNS) + "]"
+NOUN_SQL = "[" + ", ".join(f"'{n}'" for n in TYPE_NOUNS) + "]"
 _S = dict(
     raw="""SELECT surface, count(*) AS freq FROM (SELECT h AS surface FROM kg_pred WHERE r IN ('containsPart','containsPartOf','partOf','locatedIn','situatedIn')
         UNION ALL SELECT t FROM kg_pred WHERE r IN ('containsPart','containsPartOf','partOf','locatedIn','situatedIn'))

@@ -47,3 +47,15 @@ def test_label_crosstab_keeps_unlabelled(spark):
                                        "item_id long, pos long, h string, r string, t string, category string")
     got = E.label_crosstab(labels, classified).orderBy(F.col("label")).collect()
     assert [tuple(r) for r in got] == [(None, "two", 1), ("x", "one", 1)]
+
+
+def test_funnel_both_ways(spark, folder):
+    t = D.Tables(spark, folder)
+    gold, found, _ = _inputs(spark)
+    shown = F.when(F.col("pos") == 1, F.array(F.lit("Knows"), F.lit(None))).when(F.col("pos") == 0, F.array(F.lit("lives in"), F.lit("x")))
+    odd = found.withColumn("case_id", F.explode(F.array(F.lit(1), F.lit(2)))).filter("case_id + pos <> 3").withColumn("top_k", shown).withColumn("pred", F.col("r"))
+    for g, trace in ((gold, odd), (D.kg_gold(t), D.kg_trace(t))):
+        short, long = (sorted(map(tuple, E.error_funnel(g, trace, longest=n).collect())) for n in (1, E.RECORD_ROWS + 1))
+        assert short == long
+    plan = E.error_funnel(gold, odd, (1, 2), longest=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2, plan  # by record, by case

@@ -59,3 +59,18 @@ def test_funnel_both_ways(spark, folder):
         assert short == long
     plan = E.error_funnel(gold, odd, (1, 2), longest=1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 2, plan  # by record, by case
+
+
+def test_flips_meet_in_one_shuffle(spark):
+    gold, found, _ = _inputs(spark)
+    odd = found.withColumn("case_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn(
+        "top_k", F.when(F.col("pos") < 3, F.array(F.lit("livesIn"), F.lit("born")))).withColumn("pred", F.when(F.col("case_id") < 2, F.lit("born")).otherwise(F.col("r")))
+    flips = E.paired_flips(gold, odd, 1, 2)
+    plan = flips._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1, plan
+    got = sorted((r["item_id"], r["nh"], r["nt"], r["gr"], r["kind"]) for r in flips.collect())
+    assert got == [(1, "ann_lee", "rome", "lives in", "loser_only")]
+    assert [r["kind"] for r in E.paired_flips(gold, odd, 2, 1).collect()] == ["decision_error"]
+    ranks = E.gold_rank(gold, odd)
+    assert [r["rank"] for r in ranks.filter("matched").collect()] == [1, 1, 1]
+    assert ranks.filter("not matched and cands is not null").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions.text import norm_entity, norm_open, norm_relation
@@ -88,11 +89,7 @@ def aligned_f1(pred: DataFrame, gold: DataFrame, embed, thresholds=(0.7,)) -> Da
 
 def sample_entities(triples: DataFrame, by=("item_id",)) -> DataFrame:
     """Distinct normalised head and tail texts per record."""
-    return _entities(triples, by).distinct()
-
-
-def _entities(triples: DataFrame, by) -> DataFrame:
-    return triples.select(*by, F.explode(F.array(norm_open(F.col("h")), norm_open(F.col("t")))).alias("text"))
+    return triples.select(*by, F.explode(F.array(norm_open(F.col("h")), norm_open(F.col("t")))).alias("text")).distinct()
 
 
 def triple_text(h="h", r="r", t="t"):
@@ -177,8 +174,8 @@ def open_matches(pred: DataFrame, gold: DataFrame, texts, embed, least: float, c
     matched in one shuffle by record that holds the reference once for all cases, long ones by joins on pairs (:func:`one_to_one`).
     """
     keys = ["case_id", "item_id"]
-    if (_longest(pred, gold) if longest is None else longest) <= RECORD_ROWS and hasattr(embed, "func"):
-        return _matches_by_record(pred, gold, texts, embed.func, least, cases)
+    if (_longest(pred, gold) if longest is None else longest) <= RECORD_ROWS and texts in (entity_texts, triple_texts) and hasattr(embed, "func"):
+        return _matches_by_record(pred, gold, texts is entity_texts, embed.func, least, list(cases))
     p, g = texts(pred, keys), texts(reference_of_cases(gold, cases), keys)
     count = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     pairs = one_to_one(p, g, keys, embed, least).groupBy(*keys).agg(F.collect_list("s").alias("near"))
@@ -187,18 +184,17 @@ def open_matches(pred: DataFrame, gold: DataFrame, texts, embed, least: float, c
         F.coalesce("near", F.array().cast("array<double>")).alias("near"))
 
 
-def _matches_by_record(pred, gold, texts, embed, least, cases):
-    entities = texts is entity_texts
+def _matches_by_record(pred, gold, entities, embed, least, cases):
+    """Texts are normalised behind the shuffle, each different one of a record once."""
     kind = dict(pred.dtypes)
-    side = lambda df, by: (_entities(df, by).withColumn("i", F.col("text")) if entities else texts(df, by))
-    p = side(pred, ["case_id", "item_id"]).select("item_id", F.struct("case_id", "i", "text").alias("pred"))
-    g = side(gold, ["item_id"]).select("item_id", F.struct("i", "text").alias("gold"))
+    p = pred.select("item_id", F.struct("case_id", "pos", "h", "r", "t").alias("pred"))
+    g = gold.select("item_id", F.struct("pos", "h", "r", "t").alias("gold"))
     rows = p.withColumn("gold", F.lit(None).cast(g.schema["gold"].dataType)).unionByName(
         g.withColumn("pred", F.lit(None).cast(p.schema["pred"].dataType))).repartition("item_id")
-    gathered = F.collect_set if entities else F.collect_list
-    latest = lambda c: F.sort_array(gathered(c), asc=False).alias(c)
-    records = rows.groupBy("item_id").agg(latest("pred"), latest("gold"))
-    cases = list(cases)
+    records = rows.groupBy("item_id").agg(F.collect_list("pred").alias("pred"), F.collect_list("gold").alias("gold"))
+    parts = "ht" if entities else "hrt"
+    raw = F.array_distinct(F.concat(*[F.col(c)[x] for c in ("pred", "gold") for x in parts]))
+    records = records.withColumn("raw", F.filter(raw, lambda x: x.isNotNull())).withColumn("norm", F.transform("raw", norm_open))
 
     def match(batches):
         for b in batches:
@@ -207,28 +203,54 @@ def _matches_by_record(pred, gold, texts, embed, least, cases):
             cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), b.num_rows]
             for start, end in zip(cuts, cuts[1:]):
                 if end > start:
-                    yield _match_records(b.slice(start, end - start), cases, embed, least)
+                    yield _match_records(b.slice(start, end - start), cases, parts, embed, least)
 
     return records.mapInArrow(match, f"case_id {kind['case_id']}, item_id {kind['item_id']}, n_pred long, n_gold long, n_equal long, near array<double>")
 
 
-def _match_records(b: pa.RecordBatch, listed: list, embed, least: float) -> pa.RecordBatch:
-    """The matchings of all cases of a batch of records, whose lists hold the latest first."""
+def _texts(b: pa.RecordBatch, lists: list, parts: str):
+    """Different texts of a batch, in ascending order, and for each list the number of each entry's text (-1: none): of heads, then
+    of tails, for ``parts`` "ht", of whole triples for "hrt"."""
+    raw = pa.concat_arrays([x.field(c) for x in lists for c in parts]).dictionary_encode()
+    norms = b.column("norm").flatten().take(pc.index_in(raw.dictionary, value_set=b.column("raw").flatten())).to_pylist() + [None]
+    code = raw.indices.fill_null(-1).to_numpy().astype(np.int64)
+    columns = np.split(code, np.cumsum([len(x) for x in lists for _ in parts])[:-1])
+    columns = columns[:len(parts)], columns[len(parts):]
+    if parts == "hrt":
+        triples, at = np.unique(np.concatenate([np.stack(c, axis=1) for c in columns]), axis=0, return_inverse=True)
+        norms = [" ".join(x for x in (norms[i] for i in t) if x is not None) for t in triples.tolist()] + [None]
+        code = np.split(at.ravel(), [len(lists[0])])
+    else:
+        code = [np.concatenate(c) for c in columns]
+    texts = sorted(set(norms) - {None})
+    number = {t: k for k, t in enumerate(texts)} | {None: -1}
+    of = np.array([number[t] for t in norms], dtype=np.int64)
+    return texts, [of[c] for c in code]
+
+
+def _match_records(b: pa.RecordBatch, listed: list, parts: str, embed, least: float) -> pa.RecordBatch:
+    """The matchings of all cases of a batch of records."""
     at = [np.repeat(np.arange(b.num_rows), b.column(c).value_lengths().to_numpy()) for c in ("pred", "gold")]
     p, g = b.column("pred").flatten(), b.column("gold").flatten()
     names = p.field("case_id").dictionary_encode()
     cases = listed + [c for c in names.dictionary.to_pylist() if c not in listed]
     place = np.array([cases.index(c) for c in names.dictionary.to_pylist()], dtype=np.int64)
     n = len(cases)
-    groups = (at[0] * n + place[names.indices.to_numpy()], (at[1][None, :] * n + np.arange(len(listed))[:, None]).ravel())  # a group: one case of one record
+    groups = [at[0] * n + place[names.indices.to_numpy()], at[1] * n]  # a group: one case of one record
+    texts, codes = _texts(b, [p, g], parts)
+    for k, x in enumerate((p, g)):  # by group, the latest first
+        if parts == "ht":  # a set, whose order is that of the texts
+            both = np.unique(np.concatenate([groups[k]] * 2) * (len(texts) + 1) + codes[k] + 1)[::-1]
+            groups[k], codes[k] = both // (len(texts) + 1), both % (len(texts) + 1) - 1
+        order = np.argsort(groups[k], kind="stable") if parts == "ht" else np.lexsort((-x.field("pos").to_numpy(), groups[k]))
+        groups[k], codes[k] = groups[k][order], codes[k][order]
+    groups[1] = (groups[1][None, :] + np.arange(len(listed))[:, None]).ravel()
+    codes[1] = np.tile(codes[1], len(listed))
     sizes = [np.bincount(x, minlength=b.num_rows * n) for x in groups]
 
-    texts = pa.concat_arrays([p.field("text"), g.field("text")]).dictionary_encode()
-    code = texts.indices.fill_null(-1).to_numpy().astype(np.int64)
-    vec = matrix(embed(texts.dictionary)) + 0.0
+    vec = matrix(embed(pa.array(texts, pa.string()))) + 0.0
     known: dict = {}
     same = np.array([known.setdefault(v.tobytes(), k) for k, v in enumerate(vec)] + [-1], dtype=np.int64)  # equal vectors; -1: no text
-    codes = (code[:len(p)], np.tile(code[len(p):], len(listed)))
     some = [np.flatnonzero(c >= 0) for c in codes]
     key = [x[k] * (len(vec) + 1) + same[c[k]] for x, c, k in zip(groups, codes, some)]
     kinds, kind = np.unique(np.concatenate(key), return_inverse=True)
@@ -238,7 +260,7 @@ def _match_records(b: pa.RecordBatch, listed: list, embed, least: float) -> pa.R
     equal = np.bincount(groups[0][some[0][paired[0]]], minlength=b.num_rows * n)
 
     left, right = (k[~done] for k, done in zip(some, paired))
-    left, right = (x[np.argsort(y[x], kind="stable")] for x, y in zip((left, right), groups))  # by group, the latest first
+    right = right[np.argsort(groups[1][right], kind="stable")]
     there = np.bincount(groups[1][right], minlength=b.num_rows * n)
     of = groups[0][left]
     a = np.repeat(np.arange(len(left)), there[of])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions.text import norm_schema_relation
 from graphloom.operators.growth import leader_clusters, order_number
-from graphloom.operators.retrieval import nearest_other, top_k
+from graphloom.operators.retrieval import STRIP_BYTES, nearest_other, top_k
 from graphloom.session import cut_lineage, ratio
 
 
@@ -70,10 +72,13 @@ def redundant_pairs(schema: DataFrame, threshold: float = 0.85, batch: int = 204
     """Pairs of schema elements with cosine above the threshold: ``(a, b, score)`` with ``a`` before ``b``.
 
     The result is the pair list itself, so its size is the answer's size. Elements meet in the same exact
-    block join as instances do: blocks of bounded size against blocks of bounded size.
+    block join as instances do: strips of bounded size against strips of bounded size, ``batch`` rows at a time. A row is
+    copied once per strip.
     """
-    n = schema.count()
-    blocks = max(1, -(-n // batch))
+    size = schema.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    n, strip = size["n"], max(batch, STRIP_BYTES // (8 * max(1, size["d"] or 1)))
+    spread = math.isqrt(8 * schema.sparkSession.sparkContext.defaultParallelism)  # strips that give each core some pairs of them
+    blocks = max(1, -(-n // strip), min(-(-n // batch), spread))
     rows = schema.select("ord", "name", F.col("vec").cast("array<double>").alias("vec")).withColumn(
         "home", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(
@@ -82,16 +87,19 @@ def redundant_pairs(schema: DataFrame, threshold: float = 0.85, batch: int = 204
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord").reset_index(drop=True)
-        v = np.stack(pdf["vec"].to_numpy())
-        s = v @ v.T
-        ok = np.triu(s > threshold, 1)
-        if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
-            home = pdf["home"].to_numpy()
-            ok &= home[:, None] != home[None, :]
-        i, j = np.nonzero(ok)
-        name = pdf["name"].to_numpy(dtype=object)
+        v, home, name = np.stack(pdf["vec"].to_numpy()), pdf["home"].to_numpy(), pdf["name"].to_numpy(dtype=object)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a in range(0, len(v), batch):
+            for b in range(a, len(v), batch):
+                s = v[a:a + batch] @ v[b:b + batch].T
+                ok = np.triu(s > threshold, 1) if a == b else s > threshold
+                if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
+                    ok &= home[a:a + batch, None] != home[None, b:b + batch]
+                i, j = np.nonzero(ok)
+                found.append((i + a, j + b, s[i, j]))
+        i, j, scores = (np.concatenate(x) for x in zip(*found, strict=True))
         column = lambda at: pd.Series(name[at], dtype=object)
-        return pd.DataFrame({"a": column(i), "b": column(j), "score": s[i, j]})
+        return pd.DataFrame({"a": column(i), "b": column(j), "score": scores})
 
     return tasks.groupBy("x", "y").applyInPandas(pairs, "a string, b string, score double")
 

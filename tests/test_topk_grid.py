@@ -35,3 +35,20 @@ def test_unit_vectors(spark):
     assert [r[0] for r in rows.select(VF.l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
     text = rows.select(VF.l2_normalize(F.col("v")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("SQRT(") == 1
+
+
+def test_redundant_pairs_by_strips(spark, folder, monkeypatch):
+    t = D.Tables(spark, folder)
+    rows = lambda df: sorted((r["a"], r["b"], round(r["score"], 9)) for r in df.collect())
+    want = rows(S.redundant_pairs(D.vector_pool(t), 0.85))
+    assert want and rows(S.redundant_pairs(D.vector_pool(t), 0.85, batch=7)) == want
+    monkeypatch.setattr(S, "STRIP_BYTES", 1)
+    assert rows(S.redundant_pairs(D.vector_pool(t), 0.85, batch=30)) == want
+    empty = D.vector_pool(t).limit(0)
+    assert S.redundant_pairs(empty, 0.85).count() == 0
+
+
+def test_copies_do_not_follow_blocks(spark, folder):
+    t = D.Tables(spark, folder)
+    text = S.redundant_pairs(D.vector_pool(t), 0.85, batch=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64(ord" in text and ", 42), 8)" in text  # 8 strips on 8 cores instead of a strip for every two rows

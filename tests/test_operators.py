@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.vectors import dot, hash_rows, hashing_vector
 from graphloom.operators import (agreement as A, canonical as C, clustering as K, growth as G, instances as I, retrieval as R,
                                  sampling as S, schemas as H, setmetrics as M, spans as SP)
-from graphloom.operators.components import connected_components
+from graphloom.operators.components import _look_up, connected_components
 from graphloom.operators.pairing import kth_occurrence
 
 RNG = np.random.default_rng(5)
@@ -60,6 +60,26 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in got.collect()} == {n: find(n) for n in nodes}
 
 
+@pytest.mark.parametrize("heavy", [None, 3])
+def test_components_of_names_with_heavy_nodes(spark, heavy):
+    edges = [(f"x{i}", "hub") for i in range(40)] + [("zz", f"y{i}") for i in range(20)] + [(f"p{i}", f"p{i + 1}") for i in range(9)]
+    edges += [("a", "a"), ("hub", "x3"), (None, "q")]
+    got = connected_components(spark.createDataFrame([(x,) for e in edges for x in e], "id string"), spark.createDataFrame(edges, "a string, b string"),
+                               heavy)
+    want = {x: "hub" for x in ["hub", *[f"x{i}" for i in range(40)]]} | {x: "y0" for x in ["zz", *[f"y{i}" for i in range(20)]]}
+    want |= {f"p{i}": "p0" for i in range(10)} | {"a": "a", "q": "q", None: None}
+    assert {r["id"]: r["component"] for r in got.collect()} == want
+
+
+def test_component_steps_keep_heavy_nodes_out_of_the_join(spark):
+    """A join by key would put all edges of the hub into one partition; it must hold the others only."""
+    rows = spark.createDataFrame([(7, i) for i in range(100)] + [(i, 0) for i in range(20, 30)], "a long, b long")
+    table = spark.createDataFrame([(7, 1), *[(i, 2) for i in range(20, 30)]], "a long, m long")
+    got = _look_up(rows, "a", table, 50)
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(7, i, 1) for i in range(100)] + [(i, 0, 2) for i in range(20, 30)])
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def brute_leaders(v, thr, strict):
     lead, owner = [], []
     for i, x in enumerate(v):

@@ -118,3 +118,29 @@ def test_expected_information_in_chunks_of_any_size():
         for chunk in (1, 7, 4096):
             assert abs(_expected_term(n, x, y, chunk) - whole(n, x, y)) < 1e-12
     assert 0 < _expected_term(3 * 10 ** 9, 10 ** 9, 10 ** 9) < 1e-8
+
+
+def test_wide_rounds_settle_more_points_than_heads_hold(spark):
+    """Points that hardly reach each other lead at once; a round per head would take one for every few points."""
+    v = np.random.default_rng(5).normal(size=(400, 16))
+    v[200:300] = v[:100] + 0.05 * v[100:200]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, vec array<double>")
+    rounds, wide = [], L._wide
+
+    def counted(*args):
+        rounds.append(1)
+        return wide(*args)
+
+    L._wide = counted
+    try:
+        got = {r.ord: r.leader for r in L.clusters(df, L.Reach(0.8, True), head=20).collect()}
+    finally:
+        L._wide = wide
+    want, lead = {}, []
+    for i, x in enumerate(v):
+        want[i] = next((j for j in lead if v[j] @ x > 0.8), i)
+        if want[i] == i:
+            lead.append(i)
+    assert got == want
+    assert 1 <= len(rounds) <= 3

@@ -1,5 +1,7 @@
 """How often the queries go over the big tables, read off their plans."""
 
+import pytest
+
 from graphloom.plans import catalog as C, derived as D
 
 
@@ -10,3 +12,9 @@ def optimized(df):
 def test_instance_surfaces_are_counted_once(spark, folder):
     plan = optimized(C.instance_inputs(D.Tables(spark, folder)))
     assert "Relation" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["literal_date", "literal_number"])
+def test_literals_are_parsed_after_the_surfaces_are_distinct(spark, folder, name):
+    above, below = optimized(C.QUERIES[name](spark, folder)).split("Aggregate", 1)
+    assert "RLIKE" in above and "RLIKE" not in below

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from graphloom.session import f1, ratio
+from graphloom.session import cut_lineage, f1, ratio
 
 # Terms of the expected mutual information computed at once, and the log of a chance that is left out.
 EMI_CHUNK, NEGLIGIBLE = 4096, -80.0
@@ -21,7 +21,8 @@ EMI_CHUNK, NEGLIGIBLE = 4096, -80.0
 def contingency(mentions: DataFrame, by=("case_id",)) -> DataFrame:
     """``(by…, pred, gold, o)`` with the row, column and total sums ``np``, ``ng``, ``n``."""
     by = list(by)
-    cells = mentions.groupBy(*by, "pred", "gold").agg(F.count(F.lit(1)).alias("o"))
+    # every score reads the cells more than once; a row per pair of labels is written, the mentions are paired once
+    cells = cut_lineage(mentions.groupBy(*by, "pred", "gold").agg(F.count(F.lit(1)).alias("o")))
     return (cells.withColumn("np", F.sum("o").over(W.partitionBy(*by, "pred")))
             .withColumn("ng", F.sum("o").over(W.partitionBy(*by, "gold")))
             .withColumn("n", F.sum("o").over(W.partitionBy(*by))))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from graphloom.operators import clustering
 from graphloom.plans import catalog as C, derived as D
 
 
@@ -18,3 +19,8 @@ def test_instance_surfaces_are_counted_once(spark, folder):
 def test_literals_are_parsed_after_the_surfaces_are_distinct(spark, folder, name):
     above, below = optimized(C.QUERIES[name](spark, folder)).split("Aggregate", 1)
     assert "RLIKE" in above and "RLIKE" not in below
+
+
+def test_cells_of_labels_are_counted_once(spark, folder):
+    plan = optimized(clustering.contingency(C.mentions(D.Tables(spark, folder))))
+    assert "Relation" not in plan

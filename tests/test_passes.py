@@ -1,5 +1,7 @@
 """How often the queries go over the big tables, read off their plans."""
 
+import re
+
 import pytest
 
 from graphloom.operators import clustering
@@ -24,3 +26,11 @@ def test_literals_are_parsed_after_the_surfaces_are_distinct(spark, folder, name
 def test_cells_of_labels_are_counted_once(spark, folder):
     plan = optimized(clustering.contingency(C.mentions(D.Tables(spark, folder))))
     assert "Relation" not in plan
+
+
+def test_triples_are_not_shuffled_by_relation_name(spark, folder):
+    assert not by_relation_alone(C.QUERIES["aligned_triple_f1"](spark, folder))
+
+
+def by_relation_alone(df):
+    return re.findall(r"SortMergeJoin \[r#\d+\], \[r#\d+\]", df._jdf.queryExecution().executedPlan().toString())

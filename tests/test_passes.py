@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from graphloom.operators import clustering
+from graphloom.operators import clustering, instances
 from graphloom.plans import catalog as C, derived as D
 
 
@@ -34,3 +34,17 @@ def test_triples_are_not_shuffled_by_relation_name(spark, folder):
 
 def by_relation_alone(df):
     return re.findall(r"SortMergeJoin \[r#\d+\], \[r#\d+\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_surfaces_are_folded_in_one_pass(spark, folder):
+    plan = optimized(C.fold_canon(D.Tables(spark, folder)))
+    assert "Join" not in plan.split("Aggregate", 1)[0]
+
+
+def test_surfaces_that_stay_are_not_joined(spark):
+    triples = spark.createDataFrame([(1, 0, "A", "r", "b"), (1, 1, "a", "r", "b"), (1, 2, "a", "r", "A"), (1, 3, None, "r", "b")],
+                                    "item_id long, pos long, h string, r string, t string")
+    canon = spark.createDataFrame([("A", "a"), ("a", "a"), ("b", "b")], "surface string, canonical string")
+    out = instances.rewrite_triples(triples, canon)
+    assert "NOT (surface" in optimized(out)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "a", "r", "b")]

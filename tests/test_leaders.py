@@ -144,3 +144,15 @@ def test_wide_rounds_settle_more_points_than_heads_hold(spark):
             lead.append(i)
     assert got == want
     assert 1 <= len(rounds) <= 3
+
+
+def test_cells_that_prune_nothing_are_not_used(spark):
+    from graphloom.operators.leaders import Reach, _Cells
+
+    rng = np.random.default_rng(1)
+    far = rng.normal(size=(1500, 48))
+    close = np.repeat(np.eye(48)[:5], 300, axis=0) + 0.001 * rng.normal(size=(1500, 48))
+    for v, used in ((far, False), (close, True)):
+        v = v / np.linalg.norm(v, axis=1)[:, None]
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, vec array<double>")
+        assert (len(_Cells(df, Reach(0.85, True), 4).pivots) > 1) == used
